@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, order_minhash, quality_rules, sharding, suffix_dedup, toxicity
+from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from .common import shared_dir, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +91,16 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f
 """
 
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = stored(token_counts.count_tokens(table(spark, sf_dir, "documents")), "counted")
+    rollups = token_counts.Rollups(spark, f"{shared_dir(spark)}/riskpanel/{uuid.uuid4().hex}/rollups")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for name in ("0", "1", "0"):  # a batch that comes again changes nothing
+        rollups.commit(name, counted.filter(batch == int(name)).withColumn("op", F.lit("insert")))
+    return rollups.totals()
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -97,6 +109,32 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT k, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(lower(text), chr(10)), 1) AS i FROM d),
+w AS (SELECT k, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+e AS (SELECT k, i, w, len(w) AS n, array_to_string(w, ' ') AS s FROM w WHERE len(w) > 0),
+u AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min((k, i)) AS first FROM e GROUP BY s),
+h AS (
+  SELECT u.*, m, side, CASE side WHEN 1 THEN array_to_string(w[1 : (m - 1) // 2], ' ') ELSE array_to_string(w[n - (m - 1 - (m - 1) // 2) + 1 :], ' ') END AS half
+  FROM u, (VALUES (0), (1)) x(more), (VALUES (1), (2)) y(side), LATERAL (SELECT n + more AS m) z WHERE n >= 5),
+p AS (SELECT DISTINCT a.s, a.w, a.n, b.w AS v, b.n AS o FROM h a JOIN h b USING (m, side, half) WHERE b.first < a.first AND abs(a.n - b.n) <= 1 AND greatest(a.n, b.n) = m),
+q AS (SELECT s, CASE WHEN n >= o THEN w ELSE v END AS x, CASE WHEN n >= o THEN v ELSE w END AS y FROM p),
+r AS (SELECT s, x, y, coalesce(list_position(list_transform(generate_series(1, len(y)), lambda j: x[j] <> y[j]), true), len(y) + 1) AS c FROM q),
+near AS (SELECT DISTINCT s FROM r WHERE CASE WHEN len(x) = len(y) THEN x[c + 1 :] = y[c + 1 :] ELSE x[c + 1 :] = y[c :] END),
+g AS (
+  SELECT e.k, count(*) AS n_lines, count(*) FILTER (WHERE (e.k, e.i) <> u.first) AS n_equal,
+         count(*) FILTER (WHERE (e.k, e.i) = u.first AND near.s IS NOT NULL) AS n_near
+  FROM e JOIN u USING (s) LEFT JOIN near ON near.s = e.s GROUP BY e.k)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN g USING (k)
+"""
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -121,12 +159,14 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAV
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_chat_format": op4_chat_format,
     "op5_order_minhash": op5_order_minhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}
