@@ -60,10 +60,10 @@ def gains(scored: DataFrame, groups: int = 10) -> DataFrame:
     parts = t.select("*", above.alias("above"), F.explode(F.sequence(F.lit(1), F.lit(groups))).alias("decile"))
     own = F.greatest(F.lit(0), F.least(F.col("above") + F.col("n"), cut(F.col("decile"))) - F.greatest(F.col("above"), cut(F.col("decile") - 1)))
     parts = parts.withColumn("own", own).filter("own > 0")
-    out = parts.groupBy("decile").agg(F.sum("own").alias("n"), F.sum(F.col("e") * F.col("own") / F.col("n")).alias("events"), (F.sum(F.col("p") * F.col("own")) / F.sum("own")).alias("mean_predicted"), F.max("all_e").alias("E"), F.max("all_n").alias("N"))
+    out = parts.withColumn("_events", F.col("e") * F.col("own") / F.col("n")).groupBy("decile").agg(F.sum("own").alias("rows"), F.sum("_events").alias("events"), (F.sum(F.col("p") * F.col("own")) / F.sum("own")).alias("mean_predicted"), F.max("all_e").alias("E"), F.max("all_n").alias("N"))
     cum = F.sum("events").over(Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0))
-    rate = F.col("events") / F.col("n")
-    return out.select("decile", "n", F.round("events", 6).alias("events"), F.round(rate, 8).alias("event_rate"), F.round("mean_predicted", 8).alias("mean_predicted"), F.round(100 * F.col("events") / F.col("E"), 6).alias("capture_pct"), F.round(100 * cum / F.col("E"), 6).alias("cumulative_pct"), F.round(rate / (F.col("E") / F.col("N")), 6).alias("lift"))
+    rate = F.col("events") / F.col("rows")
+    return out.select("decile", F.col("rows").alias("n"), F.round("events", 6).alias("events"), F.round(rate, 8).alias("event_rate"), F.round("mean_predicted", 8).alias("mean_predicted"), F.round(100 * F.col("events") / F.col("E"), 6).alias("capture_pct"), F.round(100 * cum / F.col("E"), 6).alias("cumulative_pct"), F.round(rate / (F.col("E") / F.col("N")), 6).alias("lift"))
 
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:

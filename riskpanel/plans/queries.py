@@ -306,10 +306,10 @@ def auc_sql(by: str = "") -> str:
 s1 AS (SELECT *, sum(n) OVER ({part}ORDER BY p) AS cn, sum(e) OVER ({part}ORDER BY p) AS ce, sum(n) OVER ({part}) AS tn, sum(e) OVER ({part}) AS te FROM s0),
 s2 AS (SELECT *, round(abs(ce / te - (cn - ce) / (tn - te)), 12) AS gap FROM s1),
 auc AS (SELECT {comma}any_value(tn)::BIGINT AS n, any_value(te)::BIGINT AS events, (sum(e * (cn - n + (n + 1) / 2)) - any_value(te) * (any_value(te) + 1) / 2) / nullif(any_value(te) * (any_value(tn) - any_value(te)), 0) AS a, max(gap) AS k,
-               arg_max(p, struct_pack(gap := gap, q := -p)) AS at FROM s2 {f"GROUP BY {keys}" if keys else ""})"""
+               arg_max(p, struct_pack(gap := gap, q := -p)) AS ks_at FROM s2 {f"GROUP BY {keys}" if keys else ""})"""
 
 
-AUC_OUT = "n, events, round(a, 8) AS auc, round(2 * a - 1, 8) AS gini, round(k, 8) AS ks, round(at, 8) AS ks_score FROM auc"
+AUC_OUT = "n, events, round(a, 8) AS auc, round(2 * a - 1, 8) AS gini, round(k, 8) AS ks, round(ks_at, 8) AS ks_score FROM auc"
 
 
 @query(f"WITH {SCORED_SQL}, {auc_sql()} SELECT {AUC_OUT}")
@@ -665,14 +665,14 @@ def combination_fits(spark: SparkSession, sf: str) -> DataFrame:
 l AS (SELECT *, coalesce(auc_oot, auc_in) AS a FROM r WHERE NOT filtered), e AS (SELECT min(a) AS lo, max(a) AS hi FROM l),
 s AS (SELECT id, round(0.30::DOUBLE * (a - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + 0.15::DOUBLE * sig::INT + 0.15::DOUBLE * mono::INT + 0.10::DOUBLE * (NOT shifted)::INT
   + 0.20::DOUBLE * CASE WHEN vif <= 5 THEN 1 WHEN vif <= 10 THEN (10 - vif) / 5 ELSE greatest(-1, -(vif - 10) / 10) END + 0.10::DOUBLE * greatest(0, 1 - greatest(0, auc_in - a) / 0.10::DOUBLE), 10) AS score FROM l, e)
-SELECT r.id::VARCHAR AS hash, round(score, 8) AS score, k AS auto_rank FROM r LEFT JOIN (SELECT *, row_number() OVER (ORDER BY score DESC, id::VARCHAR)::INT AS k FROM s) USING (id)""")
+SELECT r.id::VARCHAR AS hash, round(score, 8) + 0::DOUBLE AS score, k AS auto_rank FROM r LEFT JOIN (SELECT *, row_number() OVER (ORDER BY score DESC, id::VARCHAR)::INT AS k FROM s) USING (id)""")
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = table(spark, sf, "customer").select(
         k.cast("string").alias("hash"), (0.6 + (k % 17) / F.lit(100.0)).alias("auc_in"), F.when(k % 5 != 0, 0.58 + (k % 13) / F.lit(100.0)).alias("auc_oot"), (k % 3 == 0).alias("all_significant"), (k % 4 != 1).alias("stress_monotone"),
         (k % 7 == 2).alias("core_shifted"), (1 + k % 23).cast("double").alias("max_vif"), (k % 11 == 0).alias("filtered"),
     )
-    return specs.composite_rank(rows).select("hash", F.round("score", 8).alias("score"), "auto_rank")
+    return specs.composite_rank(rows).select("hash", (F.round("score", 8) + 0.0).alias("score"), "auto_rank")
 
 
 def seller_tape(spark: SparkSession, sf: str) -> DataFrame:
