@@ -8,8 +8,8 @@ costs its size, not its square; the pairs are verified by their edit distance on
 is equal or near.
 
 Before variants are emitted, lines that can have no partner are set aside: of two near lines, which have M words at
-most, the first (M - 1) // 2 words are equal or the last M - 1 - (M - 1) // 2 are; only lines whose half
-another line has emit variants. That loses no pair.
+most, the first (M - 1) // 2 words are equal or the last (M - 1) // 2 are (that number is rounded down, so that
+M and M - 1 mostly give the same keys); only lines whose half another line has emit variants. That loses no pair.
 
 Lines of fewer than MIN_WORDS words are compared for equality only, as one word is much of them. A bound of two words
 would emit the square of a line's words as variants, which for lines of hundreds of words is more than the text.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_key, within
+from .common import ship, stored, text_key
 
 MIN_WORDS = 5
 BASE = 0x9E3779B97F4A7C15
@@ -48,13 +48,18 @@ def hashed(words: list[bytes], seed: int) -> int:
     return key - ((key >> 63) << 64)
 
 
+def half_of(most: int) -> int:
+    """A length that two ends of a line of most words can have beside one word: half, rounded down to two leading binary digits."""
+    half = (most - 1) // 2
+    step = 1 << max(0, half.bit_length() - 2)
+    return half // step * step
+
+
 def halves(words: list[bytes]) -> list[int]:
     """Keys of the first and last words that a near line of at most n, and of at most n + 1 words, can share."""
     n, found = len(words), []
-    for most in (n, n + 1):
-        first = (most - 1) // 2
-        last = most - 1 - first
-        found += [hashed(words[:first], 4 * most + 1), hashed(words[n - last :], 4 * most + 2)]
+    for size in {half_of(n), half_of(n + 1)}:
+        found += [hashed(words[:size], 2 * size + 1), hashed(words[n - size :], 2 * size + 2)]
     return found
 
 
@@ -143,19 +148,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     shared = lines.select(F.explode("half").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     shared = stored(shared, "shared")
-    able = lines.select(*at, "first", F.explode("half").alias("key")).join(within(shared), "key", "left_semi").select(*at, "first").distinct()
+    able = lines.select(*at, "first", F.explode("half").alias("key")).join(shared, "key", "left_semi").select(*at, "first").distinct()
     wanted = able.groupBy("first._id", "first._h1", "first._h2").agg(F.collect_list("first.line").alias("wanted"))
     wanted = stored(wanted.select(*[F.col(c).alias(f"{c}w") for c in by], "wanted"), "wanted")
     same = F.col("_id").eqNullSafe(F.col("_idw")) & (F.col("_h1") == F.col("_h1w")) & (F.col("_h2") == F.col("_h2w"))
     # Of repeated rows one is enough; their lines would only give the same keys again.
-    texts = slim.join(within(wanted, bound=100_000), same).select("_text", "wanted")
+    texts = slim.join(wanted, same).select("_text", "wanted")
     emitted = stored(texts.mapInPandas(variant_rows, "l1 long, l2 long, words binary, placed array<long>, plain array<long>, own long"), "variants")
-    emitted = emitted.join(within(lines.select(*at, "first")), at)
+    emitted = emitted.join(lines.select(*at, "first"), at)
 
     # Variants that lack a word at one place: all of a key are near each other, so the earliest stands for all.
     placed = emitted.select(*at, "first", F.explode("placed").alias("key"))
     lead = placed.groupBy("key").agg(F.min(F.struct("first", *at)).alias("lead"), F.max("first").alias("least")).filter("lead.first != least").select("key", "lead")
-    pairs = placed.join(within(stored(lead, "placed")), "key").filter("first > lead.first").select(*at, F.col("lead.l1").alias("m1"), F.col("lead.l2").alias("m2"))
+    pairs = placed.join(stored(lead, "placed"), "key").filter("first > lead.first").select(*at, F.col("lead.l1").alias("m1"), F.col("lead.l2").alias("m2"))
     # Variants that equal a shorter line: near to that line.
     longer = emitted.select(*at, "first", F.explode("plain").alias("key"))
     short = emitted.select("own", F.struct("first", *at).alias("short"))
@@ -163,7 +168,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     # A key of placed variants has one own line at most, so this join makes a row per key.
     met = stored(most.join(short, most["key"] == short["own"]).select("key", "long", "short"), "plain")
     earlier = met.filter("long.first < short.first").select(F.col("short.l1").alias("l1"), F.col("short.l2").alias("l2"), F.col("long.l1").alias("m1"), F.col("long.l2").alias("m2"))
-    later = longer.join(within(met.select("key", "short")), "key").filter("first > short.first").select(*at, F.col("short.l1").alias("m1"), F.col("short.l2").alias("m2"))
+    later = longer.join(met.select("key", "short"), "key").filter("first > short.first").select(*at, F.col("short.l1").alias("m1"), F.col("short.l2").alias("m2"))
     pairs = stored(pairs.unionByName(earlier).unionByName(later).distinct(), "pairs")
     texts = emitted.select(*at, "words").dropDuplicates(at)
     other = texts.select(F.col("l1").alias("m1"), F.col("l2").alias("m2"), F.col("words").alias("other"))
@@ -171,7 +176,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     near = stored(near.withColumn("near", F.lit(True)), "near")
 
     # Lines that occur once and are near none are not looked at again.
-    verdict = lines.select(*at, "first").join(within(near), at, "left").select(*at, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    verdict = lines.select(*at, "first").join(near, at, "left").select(*at, "first", F.coalesce("near", F.lit(False)).alias("near"))
     own = each.select(*by, "line", *at, when).join(verdict, at)
     gone = own.filter("near OR at != first").groupBy(*by).agg(
         F.sort_array(F.collect_set(F.when(F.col("at") != F.col("first"), F.col("line")))).alias("equal"),
@@ -183,7 +188,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 def matched(left: DataFrame, gone: DataFrame) -> DataFrame:
     names = [F.col(c).alias(f"{c}g") for c in ("_id", "_h1", "_h2")]
     same = F.col("_id").eqNullSafe(F.col("_idg")) & (F.col("_h1") == F.col("_h1g")) & (F.col("_h2") == F.col("_h2g"))
-    return left.join(within(gone.select(*names, "equal", "near"), bound=300_000), same, "left").drop("_idg", "_h1g", "_h2g")
+    return left.join(gone.select(*names, "equal", "near"), same, "left").drop("_idg", "_h1g", "_h2g")
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
