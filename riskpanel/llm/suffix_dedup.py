@@ -185,7 +185,8 @@ def matched_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = row[begins]
         lo, hi = ranges(row)
         found = rows.iloc[row[lo]][["seed", "digest"]]
-        return found.assign(runs=[both[2 * x : 2 * y] for x, y in zip(lo, hi, strict=True)])
+        # Of dtype object even where no window matches: Arrow takes no other for lists.
+        return found.assign(runs=pd.Series([both[2 * x : 2 * y] for x, y in zip(lo, hi, strict=True)], found.index, object))
 
     kept: list[pd.DataFrame] = []
     for batch in batches:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from riskpanel.llm import suffix_dedup as S
 
@@ -75,3 +76,14 @@ def test_rolled_is_by_content():
 
 def test_empty_table(spark):
     assert S.repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_surroundings_without_a_common_window_give_no_runs():
+    r = np.random.default_rng(12)
+    around = [r.integers(0, 256, 260, dtype=np.uint8).tobytes() for _ in range(2)]
+    rows = pd.DataFrame({"seed": [1, 1], "digest": [5, 6], "windows": [61, 61], "around": around})
+    (out,) = S.matched_runs(iter([rows]))
+    assert not len(out) and out["runs"].dtype == object
+    rows["around"] = [around[0]] * 2
+    (out,) = S.matched_runs(iter([rows]))
+    assert [x.tolist() for x in out["runs"]] == [[0, 60]] * 2
