@@ -155,22 +155,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     # Of repeated rows one is enough; their lines would only give the same keys again.
     texts = slim.join(wanted, same).select("_text", "wanted")
     emitted = stored(texts.mapInPandas(variant_rows, "l1 long, l2 long, words binary, placed array<long>, plain array<long>, own long"), "variants")
-    emitted = emitted.join(lines.select(*at, "first"), at)
+    when_of = lines.select(*at, "first")
 
     # Variants that lack a word at one place: all of a key are near each other, so the earliest stands for all.
-    placed = emitted.select(*at, "first", F.explode("placed").alias("key"))
-    lead = placed.groupBy("key").agg(F.min(F.struct("first", *at)).alias("lead"), F.max("first").alias("least")).filter("lead.first != least").select("key", "lead")
-    pairs = placed.join(stored(lead, "placed"), "key").filter("first > lead.first").select(*at, F.col("lead.l1").alias("m1"), F.col("lead.l2").alias("m2"))
-    # Variants that equal a shorter line: near to that line.
-    longer = emitted.select(*at, "first", F.explode("plain").alias("key"))
-    short = emitted.select("own", F.struct("first", *at).alias("short"))
-    most = longer.groupBy("key").agg(F.min(F.struct("first", *at)).alias("long"))
-    # A key of placed variants has one own line at most, so this join makes a row per key.
-    met = stored(most.join(short, most["key"] == short["own"]).select("key", "long", "short"), "plain")
-    earlier = met.filter("long.first < short.first").select(F.col("short.l1").alias("l1"), F.col("short.l2").alias("l2"), F.col("long.l1").alias("m1"), F.col("long.l2").alias("m2"))
-    later = longer.join(met.select("key", "short"), "key").filter("first > short.first").select(*at, F.col("short.l1").alias("m1"), F.col("short.l2").alias("m2"))
-    pairs = stored(pairs.unionByName(earlier).unionByName(later).distinct(), "pairs")
-    texts = emitted.select(*at, "words").dropDuplicates(at)
+    # Keys are counted alone first; only rows whose key comes again are looked at further.
+    placed = emitted.select(*at, F.explode("placed").alias("key"))
+    again = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    hits = stored(placed.join(stored(again, "again"), "key").join(when_of, at), "hits")
+    lead = hits.groupBy("key").agg(F.min(F.struct("first", *at)).alias("lead"))
+    pairs = hits.join(lead, "key").filter("first > lead.first").select(*at, F.col("lead.l1").alias("m1"), F.col("lead.l2").alias("m2"))
+    # Variants that equal a shorter line: a key has one own line at most, so this makes a row per variant at most.
+    longer = emitted.select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), F.explode("plain").alias("own"))
+    met = longer.join(emitted.select("own", F.col("l1").alias("b1"), F.col("l2").alias("b2")), "own").drop("own").distinct()
+    side = lambda x: when_of.select(*[F.col(c).alias(f"{x}{c[1]}") for c in at], F.col("first").alias(f"first_{x}"))
+    met = stored(met, "met").join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    late = F.col("first_a") > F.col("first_b")
+    pick = lambda i, yes, no: F.when(late, F.col(f"{yes}{i}")).otherwise(F.col(f"{no}{i}"))
+    met = met.select(*[pick(i, "a", "b").alias(f"l{i}") for i in (1, 2)], *[pick(i, "b", "a").alias(f"m{i}") for i in (1, 2)])
+    pairs = stored(pairs.unionByName(met).distinct(), "pairs")
+    ends = pairs.select(*at).unionByName(pairs.select(F.col("m1").alias("l1"), F.col("m2").alias("l2"))).distinct()
+    texts = stored(emitted.select(*at, "words").join(ends, at), "texts").dropDuplicates(at)
     other = texts.select(F.col("l1").alias("m1"), F.col("l2").alias("m2"), F.col("words").alias("other"))
     near = pairs.join(texts, at).join(other, ["m1", "m2"]).mapInPandas(verified, "l1 long, l2 long").distinct()
     near = stored(near.withColumn("near", F.lit(True)), "near")
