@@ -12,15 +12,19 @@ Candidates are then verified by exact shingle containment, on the shingles' text
 
 Defined results: a null or empty text has no shingles; an item of fewer than five words has none and
 matches nothing; repeated rows of a document give one pair, repeated items of one id are one item with
-the shingles of all its rows; a null id is an id like others; other columns are not looked at.
+the shingles of all its rows; a null id is an id like others; other columns are not looked at. As its SQL
+does, contaminated takes the rows of one id as one document; filter_documents judges each row by its text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, within
+from .common import stored, text_key, within
 
 WORDS, SHARE = 5, 0.8
 
@@ -47,23 +51,32 @@ def item_shingles(items: DataFrame, item_id: str, text: str, share: float) -> Da
     return whole.select("_item", n.alias("_n"), F.posexplode("_all").alias("_i", "_x"), k.alias("_k")).select("_item", "_n", F.col("_x.s").alias("_s"), (F.col("_i") < F.col("_k")).alias("_sketch"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
-    """Pairs of a document and an item of whose distinct shingles it holds the share or more: id, item id, n_shingles, n_found, containment."""
+def contained(docs: DataFrame, key: list[str], items: DataFrame, text: str, item_id: str, item_text: str, share: float) -> DataFrame:
+    """Pairs of a key of docs and an item of whose distinct shingles its rows hold the share or more: key, _item, _n, _found."""
     parts = stored(item_shingles(items, item_id, item_text, share), "items")
     sketch = parts.filter("_sketch").select("_item", "_s")
-    words = docs.select(F.col(id_col).alias("_id"), words_of(text).alias("_w"))
-    probes = words.select("_id", F.explode(shingles_of("_w")).alias("_s"))
-    found = stored(probes.join(within(sketch), "_s").select("_id", "_item").distinct(), "candidates")
+    words = docs.select(*key, words_of(text).alias("_w"))
+    probes = words.select(*key, F.explode(shingles_of("_w")).alias("_s"))
+    found = stored(probes.join(within(sketch), "_s").select(*key, "_item").distinct(), "candidates")
     # Verification reads the candidate documents only.
-    holders = within(found.select(F.col("_id").alias("_held")).distinct())
-    again = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(holders, F.col("_id").eqNullSafe(F.col("_held")), "left_semi")
-    own = again.select("_id", words_of("_text").alias("_w")).select("_id", F.explode(F.array_distinct(shingles_of("_w"))).alias("_s"))
-    hits = own.join(within(parts.select("_item", "_n", "_s")), "_s").groupBy("_id", "_item", "_n").agg(F.count_distinct("_s").alias("_found"))
-    kept = hits.filter(F.col("_found") >= F.ceil(F.round(F.col("_n") * F.lit(share), 6)))
+    holders = within(found.select(*[F.col(c).alias(f"{c}g") for c in key]).distinct())
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}g")) for c in key])
+    again = docs.select(*key, F.col(text).alias("_text")).join(holders, same, "left_semi")
+    own = again.select(*key, words_of("_text").alias("_w")).select(*key, F.explode(F.array_distinct(shingles_of("_w"))).alias("_s"))
+    hits = own.join(within(parts.select("_item", "_n", "_s")), "_s").groupBy(*key, "_item", "_n").agg(F.count_distinct("_s").alias("_found"))
+    return hits.filter(F.col("_found") >= F.ceil(F.round(F.col("_n") * F.lit(share), 6)))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
+    """Pairs of a document and an item of whose distinct shingles it holds the share or more: id, item id, n_shingles, n_found, containment."""
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_whole"))
+    kept = contained(slim, ["_id"], items, "_whole", item_id, item_text, share)
     return kept.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id), F.col("_n").cast("long").alias("n_shingles"), F.col("_found").alias("n_found"), F.round(F.col("_found") / F.col("_n"), 6).alias("containment"))
 
 
-def filter_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    held = stored(contaminated(docs, items, id_col, **options).select(F.col(id_col).alias("_held")).distinct(), "held")
-    return docs.join(within(held), F.col(id_col).eqNullSafe(F.col("_held")), "left_anti")
+def filter_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
+    """The rows of docs whose own text holds no item, with all their columns: ids are not looked at."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *text_key(text))
+    held = contained(own, ["_h1", "_h2"], items, names[text], item_id, item_text, share).select("_h1", "_h2").distinct()
+    return own.join(within(stored(held, "held")), ["_h1", "_h2"], "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])

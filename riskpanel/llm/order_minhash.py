@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, within
+from .common import ship, stored, text_key, within
 from .components import components
 
 K, SKETCHES, MINIMA, SIMILARITY = 5, 16, 4, 0.8
@@ -189,11 +189,11 @@ def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInPandas(verified, "a binary, b binary, similarity double")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, class_id (the least id of the class) and n_class (rows of the class)."""
+def classified(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """For each row: _id, text key, node (null: no words), class_id, n_class, and as first the (_id, text key) that stays of the class."""
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = stored(slim.mapInPandas(sketch_rows, f"_id {kind}, node binary, n long, keys array<long>"), "sketches")
+    slim = docs.select(F.col(id_col).alias("_id"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = stored(slim.mapInPandas(sketch_rows, f"_id {kind}, _h1 long, _h2 long, node binary, n long, keys array<long>"), "sketches")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.max(F.struct("_id", "keys")).alias("x")).select("node", F.col("x._id").alias("_id"), F.col("x.keys").alias("keys"))
     nodes = stored(nodes, "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
@@ -227,19 +227,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     links = stored(links.unionByName(rest), "links")
     labels = components(links)
     of = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    own = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    own = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("_last"), "_id", "_h1", "_h2")).alias("_least"), F.count(F.lit(1)).alias("_rows"))
     own = stored(own.join(of, "node"), "classes")
-    classes = own.groupBy("label").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("n_class"))
-    named = stored(own.join(classes, "label").select("node", "class_id", "n_class"), "named")
-    out = rows.select("_id", "node").join(named, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
+    classes = own.groupBy("label").agg(F.min("_least").alias("first"), F.sum("_rows").alias("n_class"))
+    named = stored(own.join(classes, "label").select("node", "first", "n_class"), "named")
+    out = rows.select("_id", "_h1", "_h2", "node").join(named, "node", "left")
+    return out.withColumn("class_id", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("first._id"))).withColumn("n_class", F.coalesce("n_class", F.lit(1)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, class_id (the least id of the class) and n_class (rows of the class)."""
+    return classified(docs, id_col, text).select(F.col("_id").alias(id_col), "class_id", "n_class")
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of least id of each class, with all columns of docs."""
-    classes = near_duplicates(docs, id_col, text).select(F.col(id_col).alias("_id"), "class_id")
-    gone = within(stored(classes.filter(~F.col("_id").eqNullSafe(F.col("class_id"))).select(F.col("_id").alias("_gone")).distinct(), "gone"))
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    # Rows of one id stay together so far; of those that have text, one is enough.
-    repeated = classes.filter("_id <=> class_id").groupBy("_id").count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates([id_col]) if repeated else left
+    """One row of each class, with all columns of docs: the one of least id (nulls last), then of least text key. Rows without words all stay."""
+    key, first = ["_id", "_h1", "_h2"], F.col("first")
+    rows = stored(classified(docs, id_col, text).filter("node IS NOT NULL").select(*key, "first"), "classified")
+    stays = F.col("_id").eqNullSafe(first["_id"]) & (F.col("_h1") == first["_h1"]) & (F.col("_h2") == first["_h2"])
+    other = lambda df: df.select(F.col("_id").alias("_idg"), F.col("_h1").alias("_h1g"), F.col("_h2").alias("_h2g"))
+    same = F.col("_id").eqNullSafe(F.col("_idg")) & (F.col("_h1") == F.col("_h1g")) & (F.col("_h2") == F.col("_h2g"))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(id_col).alias("_id"), *text_key(text))
+    left = own.join(within(stored(other(rows.filter(~stays).distinct()), "gone")), same, "left_anti")
+    # Of rows of one id and text one is enough, but not of those without words.
+    again = stored(other(rows.filter(stays).groupBy(*key).count().filter("count > 1")), "again")
+    if n := again.count():
+        again = within(again, n)
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(key))
+    return left.select(*[F.col(n).alias(c) for c, n in names.items()])
