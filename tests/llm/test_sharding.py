@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from riskpanel.llm import mixing, sharding
@@ -66,3 +67,17 @@ def _counts(out):
     for r in out:
         found[r.doc_id % 150][r.shard] += 1
     return found
+
+
+def test_pipeline_shards_follow_the_mix(spark):
+    rows = [(i, f"text {i} of its own", "hot" if i % 2 else f"s{i % 3}") for i in range(4001)]
+    table = docs(spark, rows)
+    out = corpus_pipeline.shards(spark, table, "").collect()
+    source = {i: s for i, _, s in rows}
+    weights = mixing.root_weights(Counter(f"={s}" for s in source.values()))
+    first = [r.slot for r in mixing.mix(table).filter("phase = 0").select(F.floor(F.col("position") / 8).alias("slot")).collect()]
+    for s in range(8):
+        done = Counter()
+        for r in sorted((x for x in out if x.shard == s and x.slot < max(first)), key=lambda x: x.slot):
+            done[source[r.doc_id]] += 1
+            assert all(abs(done[k[1:]] - (r.slot + 1) * a / sum(weights.values())) < mixing.BLOCK_ROWS for k, a in weights.items())
