@@ -29,18 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_key
+from .common import dropped, grown, mixed, ship, stored, text_key
 
 MIN_WORDS = 5
 BASE = 0x9E3779B97F4A7C15
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
 
 
 def hashed(words: list[bytes], seed: int) -> int:
@@ -70,13 +62,13 @@ def lines_of(text: str) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each text its lines: place, number of words, two hashes and the keys of halves."""
+    """Of each text its lines: place, two hashes and the keys of halves."""
     for batch in batches:
         found = []
         for text in batch.pop("_text"):
-            rows = [(i, len(w), hashed(w, 1), hashed(w, 2), halves(w) if len(w) >= MIN_WORDS else []) for i, w in lines_of(text)]
-            found.append(tuple(zip(*rows, strict=True)) if rows else ((), (), (), (), ()))
-        yield pd.concat([batch, pd.DataFrame(found, columns=["line", "n", "l1", "l2", "half"], index=batch.index)], axis=1)
+            rows = [(i, hashed(w, 1), hashed(w, 2), halves(w) if len(w) >= MIN_WORDS else []) for i, w in lines_of(text)]
+            found.append(tuple(zip(*rows, strict=True)) if rows else ((), (), (), ()))
+        yield pd.concat([batch, pd.DataFrame(found, columns=["line", "l1", "l2", "half"], index=batch.index)], axis=1)
 
 
 def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -98,15 +90,18 @@ def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def variant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the wanted lines of each text: hashes, words, and keys: placed, plain and own."""
+    """Of the wanted lines of each text: the text, the place, hashes, words, and keys: placed, plain and own."""
     for batch in batches:
-        for text, wanted in zip(batch["_text"], batch["wanted"], strict=True):
-            wanted, found = set(wanted), []
+        ids = batch[["_id", "_h1", "_h2"]]
+        at, found = [], []
+        for k, (text, wanted) in enumerate(zip(batch["_text"], batch["wanted"], strict=True)):
+            wanted = set(wanted)
             for i, words in lines_of(text):
                 if i in wanted:
-                    placed, plain, own = variants(words)
-                    found.append((hashed(words, 1), hashed(words, 2), b" ".join(words), placed, plain, own))
-            yield pd.DataFrame(found, columns=["l1", "l2", "words", "placed", "plain", "own"])
+                    at.append(k)
+                    found.append((i, hashed(words, 1), hashed(words, 2), b" ".join(words), *variants(words)))
+        out = pd.DataFrame(found, columns=["line", "l1", "l2", "words", "placed", "plain", "own"])
+        yield pd.concat([ids.iloc[at].reset_index(drop=True), out], axis=1)
 
 
 def within_edits(a: list, b: list, bound: int = 1) -> bool:
@@ -137,62 +132,76 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """The rows (_id, text key, n_lines), and by id and text key the places of lines that go: equal, near."""
     slim = docs.select(F.col(id_col).alias("_id"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = slim.mapInPandas(line_rows, f"_id {kind}, _h1 long, _h2 long, line array<int>, n array<int>, l1 array<long>, l2 array<long>, half array<array<long>>")
+    rows = slim.mapInPandas(line_rows, f"_id {kind}, _h1 long, _h2 long, line array<int>, l1 array<long>, l2 array<long>, half array<array<long>>")
     rows = stored(rows, "lines")
     by, at = ["_id", "_h1", "_h2"], ["l1", "l2"]
-    whole = rows.select(*by, "line", "n", *at, "half")
-    each = whole.select(*by, F.explode(F.arrays_zip("line", "n", "l1", "l2", "half")).alias("x")).select(*by, "x.*")
-    when = F.struct(F.col("_id").isNull().alias("last"), "_id", "_h1", "_h2", "line").alias("at")
-    lines = each.select(*at, "n", "half", when).groupBy(*at).agg(F.min("at").alias("first"), F.max("n").alias("n"), F.max("half").alias("half"))
+    whole = rows.select(*by, "line", *at, "half")
+    each = whole.select(*by, F.explode(F.arrays_zip("line", "l1", "l2", "half")).alias("x")).select(*by, "x.*")
+    when = F.struct(F.col("_id").isNull().alias("last"), "_id", "_h1", "_h2", "line")
+    lines = each.select(*at, "half", when.alias("at")).groupBy(*at).agg(F.min("at").alias("first"), F.max("half").alias("half"), F.count(F.lit(1)).alias("c"))
     lines = stored(lines, "distinct")
 
-    shared = lines.select(F.explode("half").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    shared = stored(shared, "shared")
-    able = lines.select(*at, "first", F.explode("half").alias("key")).join(shared, "key", "left_semi").select(*at, "first").distinct()
-    wanted = able.groupBy("first._id", "first._h1", "first._h2").agg(F.collect_list("first.line").alias("wanted"))
+    # Half keys travel with half of the line's hash only: two lines that share it emit variants that they needn't.
+    halves_of = lines.select("l1", F.explode("half").alias("key"))
+    shared = stored(halves_of.groupBy("key").agg(F.min("l1").alias("x"), F.max("l1").alias("y")).filter("x != y").select("key"), "shared")
+    able = stored(halves_of.join(grown(shared), "key", "left_semi").select("l1").distinct(), "able")
+    dropped(shared)
+    wanted = lines.join(grown(able), "l1", "left_semi").groupBy("first._id", "first._h1", "first._h2").agg(F.collect_list("first.line").alias("wanted"))
     wanted = stored(wanted.select(*[F.col(c).alias(f"{c}w") for c in by], "wanted"), "wanted")
+    dropped(able)
     same = F.col("_id").eqNullSafe(F.col("_idw")) & (F.col("_h1") == F.col("_h1w")) & (F.col("_h2") == F.col("_h2w"))
     # Of repeated rows one is enough; their lines would only give the same keys again.
-    texts = slim.join(wanted, same).select("_text", "wanted")
-    emitted = stored(texts.mapInPandas(variant_rows, "l1 long, l2 long, words binary, placed array<long>, plain array<long>, own long"), "variants")
-    when_of = lines.select(*at, "first")
+    texts = slim.join(grown(wanted), same).select(*by, "_text", "wanted")
+    kinds = f"_id {kind}, _h1 long, _h2 long, line int, l1 long, l2 long, words binary, placed array<long>, plain array<long>, own long"
+    emitted = stored(texts.mapInPandas(variant_rows, kinds), "variants")
+    dropped(wanted)
+    when_of = emitted.select(*at, when.alias("first")).distinct()
 
     # Variants that lack a word at one place: all of a key are near each other, so the earliest stands for all.
     # Keys are counted alone first; only rows whose key comes again are looked at further.
     placed = emitted.select(*at, F.explode("placed").alias("key"))
-    again = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    hits = stored(placed.join(stored(again, "again"), "key").join(when_of, at), "hits")
-    lead = hits.groupBy("key").agg(F.min(F.struct("first", *at)).alias("lead"))
-    pairs = hits.join(lead, "key").filter("first > lead.first").select(*at, F.col("lead.l1").alias("m1"), F.col("lead.l2").alias("m2"))
+    again = stored(placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "again")
+    hits = stored(placed.join(grown(again), "key").join(grown(when_of), at), "hits")
+    dropped(again)
+    lead = stored(hits.groupBy("key").agg(F.min(F.struct("first", *at)).alias("lead")), "lead")
+    pairs = hits.join(grown(lead), "key").filter("first > lead.first").select(*at, F.col("lead.l1").alias("m1"), F.col("lead.l2").alias("m2"))
     # Variants that equal a shorter line: a key has one own line at most, so this makes a row per variant at most.
     longer = emitted.select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), F.explode("plain").alias("own"))
-    met = longer.join(emitted.select("own", F.col("l1").alias("b1"), F.col("l2").alias("b2")), "own").drop("own").distinct()
+    met = longer.join(grown(emitted.select("own", F.col("l1").alias("b1"), F.col("l2").alias("b2")).distinct()), "own").drop("own").distinct()
+    met = stored(met, "met")
     side = lambda x: when_of.select(*[F.col(c).alias(f"{x}{c[1]}") for c in at], F.col("first").alias(f"first_{x}"))
-    met = stored(met, "met").join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    both = met.join(grown(side("a")), ["a1", "a2"]).join(grown(side("b")), ["b1", "b2"])
     late = F.col("first_a") > F.col("first_b")
     pick = lambda i, yes, no: F.when(late, F.col(f"{yes}{i}")).otherwise(F.col(f"{no}{i}"))
-    met = met.select(*[pick(i, "a", "b").alias(f"l{i}") for i in (1, 2)], *[pick(i, "b", "a").alias(f"m{i}") for i in (1, 2)])
-    pairs = stored(pairs.unionByName(met).distinct(), "pairs")
+    both = both.select(*[pick(i, "a", "b").alias(f"l{i}") for i in (1, 2)], *[pick(i, "b", "a").alias(f"m{i}") for i in (1, 2)])
+    pairs = stored(pairs.unionByName(both).distinct(), "pairs")
+    dropped(hits, lead, met)
     ends = pairs.select(*at).unionByName(pairs.select(F.col("m1").alias("l1"), F.col("m2").alias("l2"))).distinct()
-    texts = stored(emitted.select(*at, "words").join(ends, at), "texts").dropDuplicates(at)
+    texts = stored(emitted.select(*at, "words").join(grown(ends), at, "left_semi").dropDuplicates(at), "texts")
+    dropped(emitted)
     other = texts.select(F.col("l1").alias("m1"), F.col("l2").alias("m2"), F.col("words").alias("other"))
-    near = pairs.join(texts, at).join(other, ["m1", "m2"]).mapInPandas(verified, "l1 long, l2 long").distinct()
+    near = pairs.join(grown(texts), at).join(grown(other), ["m1", "m2"]).mapInPandas(verified, "l1 long, l2 long").distinct()
     near = stored(near.withColumn("near", F.lit(True)), "near")
+    dropped(pairs, texts)
 
     # Lines that occur once and are near none are not looked at again.
-    verdict = lines.select(*at, "first").join(near, at, "left").select(*at, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    own = each.select(*by, "line", *at, when).join(verdict, at)
-    gone = own.filter("near OR at != first").groupBy(*by).agg(
-        F.sort_array(F.collect_set(F.when(F.col("at") != F.col("first"), F.col("line")))).alias("equal"),
-        F.sort_array(F.collect_set(F.when(F.col("at") == F.col("first"), F.col("line")))).alias("near"),
+    verdict = lines.select(*at, "first", "c").join(grown(near), at, "left").filter("c > 1 OR near").select(*at, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    verdict = stored(verdict, "verdict")
+    dropped(lines, near)
+    own = each.select(*by, "line", *at).join(grown(verdict), at).withColumn("later", when != F.col("first"))
+    gone = own.filter("near OR later").groupBy(*by).agg(
+        F.sort_array(F.collect_set(F.when(F.col("later"), F.col("line")))).alias("equal"),
+        F.sort_array(F.collect_set(F.when(~F.col("later"), F.col("line")))).alias("near"),
     )
-    return rows.select(*by, F.size("line").cast("long").alias("n_lines")), stored(gone, "gone")
+    gone = stored(gone, "gone")
+    dropped(verdict)
+    return rows.select(*by, F.size("line").cast("long").alias("n_lines")), gone
 
 
 def matched(left: DataFrame, gone: DataFrame) -> DataFrame:
     names = [F.col(c).alias(f"{c}g") for c in ("_id", "_h1", "_h2")]
     same = F.col("_id").eqNullSafe(F.col("_idg")) & (F.col("_h1") == F.col("_h1g")) & (F.col("_h2") == F.col("_h2g"))
-    return left.join(gone.select(*names, "equal", "near"), same, "left").drop("_idg", "_h1g", "_h2g")
+    return left.join(grown(gone.select(*names, "equal", "near")), same, "left").drop("_idg", "_h1g", "_h2g")
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
