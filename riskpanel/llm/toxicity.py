@@ -12,7 +12,7 @@ characters each, those of least hash of their id. All windows of all whole texts
 
 Defined results: a text without words (null or empty too) scores 0; without rows of both labels to learn
 from, all texts score 0; repeated rows each get a score; labelled rows with a null id or label, or whose id no
-document has, teach nothing; an empty table gives an empty result; other columns are not looked at.
+document has, teach nothing; of an id with both labels the label is 1; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import grown, ship, stored
 
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 WINDOW, STEP, HIDDEN, SIZE = 64, 32, 12, 8
@@ -274,13 +274,16 @@ ship(__name__)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """At most rows texts of each label, of ids that aren't held out and at most chars characters: those of least hash."""
+    """At most rows texts of each label, of ids that aren't held out and at most chars characters: those of least hash among all that have a label."""
     own = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)").filter(~held_out("_id"))
+    own = own.groupBy("_id").agg(F.max("_y").alias("_y"))
     short = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).filter(F.length("_text") <= chars)
+    # Ids are chosen among those that documents have; texts are read for the chosen ones only, which are rows at most.
+    labelled = stored(short.select("_id").join(grown(own), "_id").distinct(), "labelled")
     order = [F.xxhash64("_id"), F.col("_id")]
     texts, y = [], []
     for value in (0, 1):
-        ids = F.broadcast(own.filter(F.col("_y") == value).select("_id").distinct().orderBy(*order).limit(2 * rows))
+        ids = F.broadcast(labelled.filter(F.col("_y") == value).select("_id").orderBy(*order).limit(rows))
         found = short.join(ids, "_id").orderBy(*order, "_text").limit(rows).collect()
         texts += [r["_text"] for r in found]
         y += [value] * len(found)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from riskpanel.llm import toxicity as T
 
@@ -76,3 +77,42 @@ def test_training_repeats():
     y = np.array([1, 0, 1, 0] * 5)
     a, b = (T.train(texts, y, 2) for _ in range(2))
     assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
+def test_scores_match_a_network_that_is_read_step_by_step():
+    """Each window word by word with plain loops, from both ends, then attention; the highest window counts."""
+    r = np.random.default_rng(4)
+    vocabulary = [f"word{i}" for i in range(60)]
+    texts = [" ".join(r.choice(vocabulary, n)) + (" bad" if n % 2 else "") for n in (1, 3, 40, 63, 64, 65, 95, 97, 200, 330)]
+    net = T.train(texts * 3, np.array([int("bad" in t) for t in texts * 3]), 2)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n, p = T.HIDDEN, {k: v.astype(float) for k, v in net.p.items()}
+
+    def read(xs, d):
+        h, out = np.zeros(n), []
+        for x in xs:
+            a, u = x @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            z, gate = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(a[2 * n :] + gate * u[2 * n :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    def window(words):
+        xs = [row.astype(float) for row in net.input_rows(net.items(words))]
+        states = [np.concatenate(s) for s in zip(read(xs, "f"), read(xs[::-1], "b")[::-1], strict=True)]
+        weight = np.exp([s @ p["v"] for s in states])
+        return sig(sum(w * s for w, s in zip(weight, states, strict=True)) / weight.sum() @ p["o"] + p["k"][0])
+
+    for text, found in zip(texts, net.scores(texts), strict=True):
+        words = T.words_of(text)
+        starts = range(0, max(1, len(words) - T.WINDOW + T.STEP), T.STEP) if len(words) > T.WINDOW else [0]
+        assert abs(found - max(window(words[s : s + T.WINDOW]) for s in starts)) < 1e-4
+
+
+def test_sample_is_of_labels_that_documents_have(spark):
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = spark.createDataFrame([(i * 97, f"text {i}") for i in range(200)], "doc_id long, text string")
+    texts, y = T.sample(docs, labels, "doc_id", "text", "toxic", 150, 1000)
+    want = [i for i in range(200) if zlib.crc32(str(i * 97).encode()) % 5]
+    assert sorted(texts) == sorted(f"text {i}" for i in want) and len(y) == len(want)
