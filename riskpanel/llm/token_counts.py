@@ -11,7 +11,7 @@ that is already committed is not applied again; one that was cut short is writte
 The tokenizer is a public vocabulary file of byte-level BPE ranks. Its version is the file's name with a digest of the
 ranks and the splitting pattern. The driver reads the file, whose size is bounded, and sends it with the tasks.
 
-Defined results: a null or empty text has 0 tokens and counts as a document; null ids, sources and languages are
+Defined results: white space of more than LONG characters is encoded in pieces of LONG; a null or empty text has 0 tokens and counts as a document; null ids, sources and languages are
 values like others; repeated rows count each; a delete takes back all copies of a document, and of one that the ledger
 doesn't hold nothing; a revision replaces all copies by one, of several different ones in one batch by the greatest
 (source, language, tokens); changes of one batch see the ledger before it; an empty table gives an empty rollup;
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from pathlib import PurePath
 from urllib.parse import quote
@@ -30,12 +31,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stored, within
+from .common import grown, ship, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published splitting pattern of byte-level BPE: a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Characters of white space that are encoded at a time.
+LONG = 100_000
+BLANKS = re.compile(rf"\s{{{LONG + 1},}}")
 KEYS = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id string, source string, lang string, tokenizer string, n_tokens long, copies long"
 ROLLUP = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -61,11 +65,21 @@ def encoding(version: str, ranks: bytes, pattern: str):
     return known[version]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text, cut within white space of more than LONG characters, of which the tokenizer's matching would run out of stack."""
+    at = 0
+    for run in BLANKS.finditer(text):
+        for cut in range(run.start() + LONG, run.end(), LONG):
+            yield text[at:cut]
+            at = cut
+    yield text[at:]
+
+
 def counting(version: str, ranks: bytes, pattern: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(version, ranks, pattern).encode_ordinary
         for batch in batches:
-            yield batch.assign(n_tokens=[len(encode(x)) if x else 0 for x in batch.pop("_text")])
+            yield batch.assign(n_tokens=[sum(len(encode(p)) for p in pieces(x)) if x else 0 for x in batch.pop("_text")])
 
     return count
 
@@ -128,7 +142,7 @@ class Rollups:
         named = changes.filter("op IN ('delete', 'revise')").select(F.col("doc_id").alias("_doc"), F.col("tokenizer").alias("_version")).distinct()
         signed = new.unionByName(revised)
         if named.limit(1).count() and self.committed():
-            named = within(stored(named, "named"))
+            named = grown(stored(named, "named"))
             held = self.ledger()
             back = held.join(named, held["doc_id"].eqNullSafe(F.col("_doc")) & held["tokenizer"].eqNullSafe(F.col("_version")), "left_semi")
             back = back.groupBy("doc_id", *KEYS, "n_tokens").agg((-F.sum("copies")).alias("copies")).filter("copies != 0")

@@ -95,3 +95,23 @@ def test_query_equals_direct_sums(spark):
     direct = token_counts.count_tokens(docs).groupBy("source", "lang", "tokenizer").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     columns = ["source", "lang", "tokenizer", "n_docs", "n_tokens"]
     assert sorted(map(tuple, op2_token_counts(spark, sf).select(columns).collect())) == sorted(map(tuple, direct.select(columns).collect()))
+
+
+def test_long_blank_text(spark):
+    docs = spark.createDataFrame([(1, " " * 2_000_000 + "word"), (2, "\n" * 250_000), (3, "a" + " " * 100_001 + "b")], "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()}
+    version, ranks = token_counts.vocabulary()
+    encode = token_counts.encoding(version, ranks, token_counts.PATTERN).encode_ordinary
+    assert found["3"] == sum(len(encode(x)) for x in ("a" + " " * 100_000, " b"))
+    assert found["1"] > 0 and found["2"] == 2 * len(encode("\n" * 100_000)) + len(encode("\n" * 50_000))
+
+
+def test_query_deletes_and_revises(spark, tmp_path):
+    from riskpanel.llm.queries import op2_token_counts
+
+    rows = [(i, f"text number {i} of these", f"s{i % 3}", "en", 1) for i in range(60)] + [(7, "again", "s1", "de", 1), (7, "again", "s1", "de", 1), (None, "none", None, None, 1), (8, None, "s2", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    counted = token_counts.count_tokens(docs)
+    want = {(r.source, r.lang): (r.n, r.t) for r in counted.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in op2_token_counts(spark, str(tmp_path)).collect()} == want
