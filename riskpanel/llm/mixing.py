@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import heapq
 import json
+from bisect import bisect_left
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import ranked, stored, within
 
 BLOCK_ROWS, MAX_SOURCES, MAX_PERIOD = 32, 1000, 20_000
 WEIGHT_SUM = 1000
@@ -47,25 +48,43 @@ def edf_period(weights: dict[str, int]) -> dict[str, list[int]]:
 
 
 def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
-    """A record for each phase and source of it: from which slot and block on, how many blocks, weight, period and slots in the period."""
-    left, done, base, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    """A record for each phase: from which slot on, how many slots, its sources' weights and the sources of one period's slots in order."""
+    left, base, out = {s: n for s, n in blocks.items() if n}, 0, []
     while left:
         live = {s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
         g = gcd(*live.values())
         live = {s: a // g for s, a in live.items()}
         period, slots = sum(live.values()), edf_period(live)
         end = min((left[s] - 1) // a * period + slots[s][(left[s] - 1) % a] + 1 for s, a in live.items())
-        for s, a in live.items():
-            n = end // period * a + sum(x < end % period for x in slots[s])
-            if n:
-                out.append({"key": s, "phase": len({r["base"] for r in out} - {base}), "base": base, "first": done[s], "n": n, "a": a, "period": period, "slots": slots[s]})
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
+        order = [s for _, s in sorted((t, s) for s, x in slots.items() for t in x)]
+        n = {s: end // period * a + bisect_left(slots[s], end % period) for s, a in live.items()}
+        out.append({"base": base, "length": end, "order": order, "n": n})
+        left = {s: m - n.get(s, 0) for s, m in left.items() if m > n.get(s, 0)}
         base += end
     return out
 
 
+def schedule(spark: SparkSession, plan: list[dict]) -> DataFrame:
+    """The phases as a table: phase, _k (source), base, period, a, first and n (blocks of the source from which on, and how many) and slots (in a period).
+
+    Only each phase's order of sources is handed over; what a source has of it is counted here.
+    """
+    names = sorted({s for r in plan for s in r["n"]})
+    at = {s: i for i, s in enumerate(names)}
+    rows = [{"phase": i, "base": r["base"], "length": r["length"], "order": [at[s] for s in r["order"]]} for i, r in enumerate(plan)]
+    record = "array<struct<phase:int,base:bigint,length:bigint,order:array<int>>>"
+    each = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), record)))
+    each = each.select("phase", "base", "length", F.size("order").cast("long").alias("period"), F.posexplode("order").alias("t", "i"))
+    own = each.groupBy("phase", "base", "length", "period", "i").agg(
+        F.sort_array(F.collect_list("t")).alias("slots"), F.count(F.lit(1)).alias("a"), F.count_if(F.col("t") < F.col("length") % F.col("period")).alias("rest")
+    )
+    own = own.withColumn("n", F.floor(F.col("length") / F.col("period")) * F.col("a") + F.col("rest"))
+    before = Window.partitionBy("i").orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.element_at(F.from_json(F.lit(json.dumps(names)), "array<string>"), F.col("i") + 1)
+    own = own.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return own.filter("n > 0").select("phase", key.alias("_k"), "base", "period", "a", "first", "n", "slots")
+
+
 def root_weights(rows: dict[str, int], total: int = WEIGHT_SUM) -> dict[str, int]:
     """Integer weights in proportion to the square roots of the sources' sizes."""
     whole = sum(n**0.5 for n in rows.values())
@@ -96,18 +115,18 @@ def placed(docs: DataFrame, order: list[str], weights: dict[str | None, int] | N
         raise ValueError(f"weights sum to more than {MAX_PERIOD}")
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, own)
     last = []  # partial blocks: their slots, and the rows that they lack
-    for r in plan:
-        if (lack := -rows[r["key"]] % block_rows) and (r["first"] + r["n"]) * block_rows >= rows[r["key"]]:
-            j = r["n"] - 1
-            last.append({"slot": r["base"] + j // r["a"] * r["period"] + r["slots"][j % r["a"]], "lack": lack})
-    spark = docs.sparkSession
-    record = "array<struct<key:string,phase:int,base:bigint,first:bigint,n:bigint,a:bigint,period:bigint,slots:array<int>>>"
-    # At most MAX_SOURCES phases of at most MAX_PERIOD slots: a bounded side.
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), record))).withColumnRenamed("key", "_key")
+    final = {s: r for r in plan for s in r["n"] if r["n"][s]}
+    for s, r in final.items():
+        if lack := -rows[s] % block_rows:
+            slots = [t for t, x in enumerate(r["order"]) if x == s]
+            j = r["n"][s] - 1
+            last.append({"slot": r["base"] + j // len(slots) * len(r["order"]) + slots[j % len(slots)], "lack": lack})
+    # At most MAX_SOURCES phases of at most MAX_PERIOD slots.
+    table = stored(schedule(docs.sparkSession, plan), "schedule")
     lacks = F.from_json(F.lit(json.dumps(last)), "array<struct<slot:bigint,lack:bigint>>")
     by_source = ranked(docs.withColumn("_key", source_key(source)), ["_key"], order, "_rank", sum(rows.values()))
     numbered = by_source.withColumn("block", F.floor(F.col("_rank") / block_rows))
-    p = F.broadcast(table.select(F.col("_key").alias("_k"), "phase", "base", "first", "n", "a", "period", "slots"))
+    p = within(table)
     at = (F.col("_key") == F.col("_k")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("n"))
     j = F.col("block") - F.col("first")
     slot = F.col("base") + F.floor(j / F.col("a")) * F.col("period") + F.element_at("slots", (j % F.col("a") + 1).cast("int"))

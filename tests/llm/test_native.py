@@ -1,6 +1,7 @@
 """Mixing, sharding, chat formatting, decontamination: small cases against brute force."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -146,3 +147,44 @@ def test_hashes_read_back(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b<|")], "conv_id long, turn long, role string, text string")
     row = chat_format.read_back(chat_format.format_conversations(df)).select(F.sha2("loss_text", 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"b<|").hexdigest()
+
+
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 2, "c": 5}, {"a": 97, "b": 1, "c": 31}, {x: i + 1 for i, x in enumerate("abcdefghij")}])
+def test_edf_matches_a_plain_search(weights):
+    """In each slot, of all released blocks that aren't placed the one of least deadline (then of least name)."""
+    period = sum(weights.values())
+    blocks = [(j * period // a, -(-(j + 1) * period // a), s) for s, a in weights.items() for j in range(a)]
+    found = {s: [] for s in weights}
+    for t in range(period):
+        best = min((due, s, release) for release, due, s in blocks if release <= t)
+        blocks.remove((best[2], best[0], best[1]))
+        found[best[1]].append(t)
+    assert mixing.edf_period(weights) == found
+
+
+def test_every_phase_keeps_its_shares(spark):
+    sizes, weights = {"a": 400, "b": 90, "c": 33, "d": 7}, {"a": 3, "b": 5, "c": 1, "d": 2}
+    rows = [(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    out = mixing.mix(docs(spark, rows), weights, block_rows=4).collect()
+    slots = {r.slot: (r.phase, r.source) for r in out}
+    left = dict(sizes)
+    for phase in sorted({p for p, _ in slots.values()}):
+        own = [slots[t][1] for t in sorted(slots) if slots[t][0] == phase]
+        live = {s: weights[s] for s, n in left.items() if n > 0}
+        total, done = sum(live.values()), Counter()
+        for t, s in enumerate(own):
+            done[s] += 1
+            assert all(abs(done[x] - (t + 1) * a / total) < 1 for x, a in live.items())
+        for s, n in done.items():
+            left[s] -= 4 * n
+    assert all(n <= 0 for n in left.values())
+
+
+def test_a_thousand_sources_are_planned_soon():
+    began = time.time()
+    blocks = {f"={i}": 1 + i * i % 997 for i in range(1000)}
+    plan = mixing.phases(blocks, mixing.root_weights(blocks))
+    placed = Counter()
+    for r in plan:
+        placed.update(r["n"])
+    assert placed == blocks and time.time() - began < 20
