@@ -27,7 +27,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored, text_key, within
+from .common import grown, ranked, stored, text_key
 from .mixing import BLOCK_ROWS, placed
 
 SHARDS = 8
@@ -98,7 +98,7 @@ def moved(state: DataFrame, sizes: dict[int, int], closed: set[int], turn: int)
     moves = held.join(goals, group).filter("goal != shard AND there >= c")
     loss = F.floor(F.log2("c")) - 64 * F.floor(F.log2("there")) + 64 * 64
     moves = stored(moves.select(*group, "shard", "goal", loss.cast("long").alias("loss")), "moves")
-    wishes = stored(linked.join(within(moves), [*group, "shard"]).select("_row", *cell, "goal", "loss"), "wishes")
+    wishes = stored(linked.join(grown(moves), [*group, "shard"]).select("_row", *cell, "goal", "loss"), "wishes")
     classes = {(r["_mix"], r.shard, r.goal, r.loss): r["count"] for r in wishes.groupBy(*cell, "goal", "loss").count().collect()}
     if not classes:
         return None, set()
@@ -106,7 +106,7 @@ def moved(state: DataFrame, sizes: dict[int, int], closed: set[int], turn: int)
     for (mix, a, b, _), n in classes.items():
         wished[mix][a, b] += n
     # What can be had in exchange: rows without a group, and parts of one source of groups that have no wish.
-    parts = held.filter("_one").join(within(moves.select(*group).distinct()), group, "left_anti").filter(F.col("c") <= max(max(x.values()) for x in wished.values()))
+    parts = held.filter("_one").join(grown(moves.select(*group).distinct()), group, "left_anti").filter(F.col("c") <= max(max(x.values()) for x in wished.values()))
     parts = stored(parts.select(*group, *cell, F.col("c").alias("_size")), "parts")
     single = state.filter("NOT linked").select("_row", *cell, F.lit(0).cast("long").alias("_size"))
     supply: dict = defaultdict(dict)
@@ -139,7 +139,7 @@ def moved(state: DataFrame, sizes: dict[int, int], closed: set[int], turn: int)
             out = out.unionByName(chosen(single, ["_row"]).select("_row", "goal"))
         if any(x["_size"] for x in taken):
             whole = stored(chosen(parts, group).select(*group, "shard", "goal"), "whole")
-            out = out.unionByName(linked.join(within(whole), [*group, "shard"]).select("_row", "goal"))
+            out = out.unionByName(linked.join(grown(whole), [*group, "shard"]).select("_row", "goal"))
     return stored(out, "changes"), asked
 
 
@@ -159,7 +159,7 @@ def propagate(state: DataFrame, n: int, shards: int = SHARDS, rounds: int | None
             closed |= asked
             continue
         closed = set()
-        state = stored(state.join(within(changes), "_row", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal"), "state")
+        state = stored(state.join(grown(changes), "_row", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal"), "state")
     return state
 
 
@@ -169,7 +169,7 @@ def line_links(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(*text_key(text), F.transform(F.array_remove(lines, ""), lambda x: F.xxhash64(x)).alias("_lines"))
     each = stored(texts.select("_h1", "_h2", F.explode("_lines").alias("group")).distinct(), "lines")
     shared = stored(each.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared")
-    least = each.join(within(shared), "group").groupBy("_h1", "_h2").agg(F.min(F.struct("_n", "group")).alias("_x"))
+    least = each.join(grown(shared), "group").groupBy("_h1", "_h2").agg(F.min(F.struct("_n", "group")).alias("_x"))
     return least.select("_h1", "_h2", F.col("_x.group").alias("group"))
 
 
@@ -191,11 +191,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_c
         dealt = ranked(slim, [], ["_id", "_h1", "_h2"], "_row", n).withColumn("_mix", F.lit(""))
     dealt = dealt.select("_id", "_h1", "_h2", "size", "text_crc32", "_row", "_mix", F.pmod("_row", F.lit(shards)).cast("int").alias("shard"))
     if links is not None:
-        of = within(stored(links.groupBy("_h1", "_h2").agg(F.min("group").alias("_g")).filter("_g IS NOT NULL").select("_h1", "_h2", F.xxhash64("_g").alias("_g1"), F.xxhash64(F.lit(7), "_g").alias("_g2")), "links"))
+        of = grown(stored(links.groupBy("_h1", "_h2").agg(F.min("group").alias("_g")).filter("_g IS NOT NULL").select("_h1", "_h2", F.xxhash64("_g").alias("_g1"), F.xxhash64(F.lit(7), "_g").alias("_g2")), "links"))
         dealt = dealt.join(of, ["_h1", "_h2"], "left").withColumns({"_h1": F.coalesce("_g1", "_h1"), "_h2": F.coalesce("_g2", "_h2")}).drop("_g1", "_g2")
     dealt = stored(dealt, "dealt")
     groups = stored(dealt.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h1", "_h2", F.lit(True).alias("_several")), "groups")
-    state = dealt.select("_row", "_h1", "_h2", "_mix", "shard").join(within(groups), ["_h1", "_h2"], "left").withColumn("linked", F.coalesce("_several", F.lit(False))).drop("_several")
+    state = dealt.select("_row", "_h1", "_h2", "_mix", "shard").join(grown(groups), ["_h1", "_h2"], "left").withColumn("linked", F.coalesce("_several", F.lit(False))).drop("_several")
     after = propagate(stored(state, "state"), n, shards, rounds).select("_row", "_mix", "shard")
     # Places are as dealt; the rows of a source that a shard has in the end take its places of that source.
     numbered = lambda df: ranked(df, ["shard", "_mix"], ["_row"], "_rank", n)
