@@ -3,7 +3,9 @@
 A text is its lower-cased words (letters and digits). Its k-mers are five-word shingles, labelled with
 their occurrence number, so that each is unique within its text. Each of SKETCHES sketches takes the
 MINIMA k-mers of least hash and retains their order in the text; texts with an equal sketch are
-candidates. A candidate pair is verified by aligning the two k-mer sequences within the band that the
+candidates. Short texts have few k-mers to draw from, so that their sketches are not independent; texts of fewer than
+SHORT k-mers, and those that can be near them, have exact keys too: their n - 0.8 n + 1 least k-mers, of which
+two texts at 0.8 share one for certain. A candidate pair is verified by aligning the two k-mer sequences within the band that the
 threshold leaves: similarity is m / (n1 + n2 - m), m being the longest common subsequence. That is the
 Jaccard similarity of the shingles, with their order observed. Two texts at 0.8 have an equal sketch
 with probability 0.9998.
@@ -33,23 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_key, within
+from .common import dropped, grown, mixed, ship, stored, text_key
 from .components import components
 
 K, SKETCHES, MINIMA, SIMILARITY = 5, 16, 4, 0.8
 #: Members of a chunk; two chunks of a bucket meet in one group.
 BLOCK = 256
 WORD = re.compile(r"[^\W_]+")
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
+#: Texts of fewer k-mers than this have exact keys beside the sketches, and so have texts that can be near one.
+SHORT = 20
 SEEDS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 ODD = mixed(np.arange(101, 101 + 16, dtype=np.uint64)) | np.uint64(1)
 
@@ -88,7 +82,16 @@ def sketches(own: np.ndarray, m: int = SKETCHES, minima: int = MINIMA) -> list[i
     else:
         least = np.broadcast_to(np.arange(n), (m, n))
     keys = (own[least] * ODD[None, : least.shape[1]]).sum(axis=1, dtype=np.uint64)
-    return mixed(keys ^ SEEDS[:m]).view(np.int64).tolist()
+    return mixed(keys ^ SEEDS[:m]).view(np.int64).tolist() + exact_keys(own)
+
+
+def exact_keys(own: np.ndarray) -> list[int]:
+    """Of a short text's k-mers those of least hash, so many that two short texts at the threshold have one in common."""
+    n = len(own)
+    if n >= SHORT / SIMILARITY:
+        return []
+    ranked = np.sort(mixed(own ^ SEEDS[-1]))
+    return ranked[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1].view(np.int64).tolist()
 
 
 def sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +188,7 @@ ship(__name__)
 def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose alignment reaches the threshold: a, b, similarity."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("kmers").alias(f"kmers_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "kmers_a", "kmers_b")
+    both = pairs.join(grown(side("b")), "b").join(grown(side("a")), "a").select("a", "b", "kmers_a", "kmers_b")
     return both.mapInPandas(verified, "a binary, b binary, similarity double")
 
 
@@ -197,41 +200,48 @@ def classified(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.max(F.struct("_id", "keys")).alias("x")).select("node", F.col("x._id").alias("_id"), F.col("x.keys").alias("keys"))
     nodes = stored(nodes, "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    members = stored(keyed.join(within(stored(shared, "shared")), "key"), "members")
-    ids = within(stored(nodes.join(members.select("node").distinct(), "node").select(F.col("_id").alias("_held")).distinct(), "held"))
-    texts = slim.join(ids, F.col("_id").eqNullSafe(F.col("_held")), "left_semi").select("_text")
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
+    members = stored(keyed.join(grown(shared), "key"), "members")
+    dropped(shared)
+    ids = stored(nodes.join(grown(members.select("node").distinct()), "node").select(F.col("_id").alias("_held")).distinct(), "held")
+    texts = slim.join(grown(ids), F.col("_id").eqNullSafe(F.col("_held")), "left_semi").select("_text")
     texts = stored(texts.mapInPandas(kmer_rows, "node binary, kmers array<long>").dropDuplicates(["node"]), "kmers")
+    dropped(ids)
     lone = texts.select("node", F.explode("kmers").alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
     lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("private"))
     share = (1 - SIMILARITY) / (1 + SIMILARITY)
-    slack = texts.join(lone, "node", "left").select("node", (F.size("kmers") * share - F.coalesce("private", F.lit(0))).alias("slack"))
-    members = stored(members.join(stored(slack, "slack"), "node"), "placed")
-    # A member without enough slack even for its bucket's leader is near none of the bucket.
-    most = members.groupBy("key").agg(F.max("slack").alias("most"))
-    members = stored(members.join(most, "key").filter("slack + most > -1e-6").drop("most"), "alive")
-
-    lead = members.groupBy("key").agg(F.max(F.struct("slack", "node")).alias("lead")).select("key", F.col("lead.node").alias("leader"))
-    pairs = members.join(lead, "key").filter("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    lone = stored(lone, "lone")
+    slack = stored(texts.select("node", F.size("kmers").alias("n")).join(grown(lone), "node", "left").select("node", (F.col("n") * share - F.coalesce("private", F.lit(0))).alias("slack")), "slack")
+    placed = stored(members.join(grown(slack), "node"), "placed")
+    dropped(members, lone, slack)
+    # A member without enough slack even for its bucket's leader is near none of the bucket. Leaders are stored
+    # before they are joined, so that the join reads a frequent bucket in parts.
+    lead = stored(placed.groupBy("key").agg(F.max(F.struct("slack", "node")).alias("lead")).select("key", F.col("lead.slack").alias("most"), F.col("lead.node").alias("leader")), "leaders")
+    members = stored(placed.join(grown(lead), "key").filter("slack + most > -1e-6").drop("most", "slack"), "alive")
+    dropped(placed, lead)
+    pairs = members.filter("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     tried = stored(pairs.distinct(), "pairs")
     links = stored(links_of(tried, texts), "links")
     labels = components(links)
 
-    placed = stored(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    placed = stored(members.join(grown(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
     split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).filter("x != y")
     split = split.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("chunks"))
-    left = placed.join(stored(split, "split"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    split = stored(split, "split")
+    left = placed.join(grown(split), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    met = met.join(texts, "node").select("key", "i", "j", "chunk", "node", "label", F.transform("kmers", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("kmers"))
+    met = met.join(grown(texts), "node").select("key", "i", "j", "chunk", "node", "label", "kmers")
     rest = met.groupBy("key", "i", "j").applyInPandas(compared, "a binary, b binary, similarity double")
     links = stored(links.unionByName(rest), "links")
+    dropped(tried, texts, members, placed, split)
     labels = components(links)
-    of = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    of = nodes.select("node").join(grown(labels), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     own = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("_last"), "_id", "_h1", "_h2")).alias("_least"), F.count(F.lit(1)).alias("_rows"))
-    own = stored(own.join(of, "node"), "classes")
+    own = stored(own.join(grown(of), "node"), "classes")
     classes = own.groupBy("label").agg(F.min("_least").alias("first"), F.sum("_rows").alias("n_class"))
-    named = stored(own.join(classes, "label").select("node", "first", "n_class"), "named")
-    out = rows.select("_id", "_h1", "_h2", "node").join(named, "node", "left")
+    named = stored(own.join(grown(classes), "label").select("node", "first", "n_class"), "named")
+    dropped(own, nodes, links)
+    out = rows.select("_id", "_h1", "_h2", "node").join(grown(named), "node", "left")
     return out.withColumn("class_id", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("first._id"))).withColumn("n_class", F.coalesce("n_class", F.lit(1)))
 
 
@@ -249,10 +259,10 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     same = F.col("_id").eqNullSafe(F.col("_idg")) & (F.col("_h1") == F.col("_h1g")) & (F.col("_h2") == F.col("_h2g"))
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(id_col).alias("_id"), *text_key(text))
-    left = own.join(within(stored(other(rows.filter(~stays).distinct()), "gone")), same, "left_anti")
+    gone = stored(other(rows.filter(~stays).distinct()), "gone")
+    left = own.join(grown(gone), same, "left_anti")
     # Of rows of one id and text one is enough, but not of those without words.
     again = stored(other(rows.filter(stays).groupBy(*key).count().filter("count > 1")), "again")
-    if n := again.count():
-        again = within(again, n)
-        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(key))
+    if again.limit(1).count():
+        left = left.join(grown(again), same, "left_anti").unionByName(left.join(grown(again), same, "left_semi").dropDuplicates(key))
     return left.select(*[F.col(n).alias(c) for c, n in names.items()])
