@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_key, within
+from .common import dropped, grown, ship, stored, text_key
 
 #: A line is above the limit in a host if more than both of these many distinct documents have it.
 MIN_DOCS, MAX_SHARE = 20, 0.02
@@ -103,11 +103,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: st
     lines = lines.select(*by, "n_words", F.col("_l.line_hashes").alias("_line"), F.col("_l.line_words").alias("_words"), F.col("_l.line_at").alias("_at"))
     sizes = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
     often = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_docs)
-    above = stored(often.join(within(sizes), "_host").filter(F.col("_n") > max_share * F.col("_docs")).select("_host", "_line"), "above")
-    gone = lines.join(within(above), ["_host", "_line"]).groupBy(*by).agg(F.sum("_words").alias("n_line_words"), F.flatten(F.collect_list("_at")).alias("places"))
+    sizes = stored(sizes, "hosts")
+    above = stored(often.join(grown(sizes), "_host").filter(F.col("_n") > max_share * F.col("_docs")).select("_host", "_line"), "above")
+    gone = lines.join(grown(above), ["_host", "_line"]).groupBy(*by).agg(F.sum("_words").alias("n_line_words"), F.flatten(F.collect_list("_at")).alias("places"))
     gone = stored(gone, "gone")
+    dropped(texts, sizes, above)
     rows = rows.withColumn("_key", host_key("_host"))
-    joined = rows.join(within(gone.select(F.col("_host").alias("_key"), "_h1", "_h2", "n_line_words")), ["_key", "_h1", "_h2"], "left")
+    joined = rows.join(grown(gone.select(F.col("_host").alias("_key"), "_h1", "_h2", "n_line_words")), ["_key", "_h1", "_h2"], "left")
     words = F.col("n_words")
     failed = (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)
     lost = F.coalesce("n_line_words", F.lit(0))
@@ -127,7 +129,7 @@ def kept_rows(docs: DataFrame, rules: DataFrame, host: str, text: str) -> DataFr
     """The rows of docs that the rules keep, their columns as _c0, _c1 and so on, with _host, _h1 and _h2."""
     rejected = stored(rules.filter(~F.col("kept")).select(host_key("host").alias("_host"), "_h1", "_h2").distinct(), "rejected")
     marked = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], host_key(host).alias("_host"), *text_key(text))
-    return marked.join(within(rejected), ["_host", "_h1", "_h2"], "left_anti")
+    return marked.join(grown(rejected), ["_host", "_h1", "_h2"], "left_anti")
 
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
@@ -144,7 +146,7 @@ def clean_documents(docs: DataFrame, n_chars: str | None = None, **options) -> D
     text = options.get("text", "text")
     rules, gone = judged(docs, **options)
     names, kinds = {c: f"_c{i}" for i, c in enumerate(docs.columns)}, dict(docs.dtypes)
-    met = kept_rows(docs, rules, options.get("host", "source"), text).join(within(gone), ["_host", "_h1", "_h2"], "left")
+    met = kept_rows(docs, rules, options.get("host", "source"), text).join(grown(gone), ["_host", "_h1", "_h2"], "left")
     left = F.array_join(F.filter(F.split(names[text], "\n", -1), lambda _, i: ~F.array_contains("places", i)), "\n")
     met = met.withColumn("_left", F.when(F.col("places").isNotNull(), left))
     new = {text: F.col("_left")} | ({n_chars: F.length("_left").cast(kinds[n_chars])} if n_chars else {})
