@@ -1,19 +1,21 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, exactly verified.
 
 Texts are lower-cased words (letters and digits), shingled by five. Items are partitioned by their
-number of distinct shingles n. A document that holds a share t of an item's shingles misses at most
-n - ceil(t * n) of them, so of the n - ceil(t * n) + 1 shingles with the least hashes (the item's
-bottom-k MinHash sketch, k fixed by the size partition) it holds at least one. Documents are probed
-with all their shingles: the search loses no pair, however much longer the document is. A sketch on
-the documents' side can't do that: thirty shingles within twenty thousand have a Jaccard similarity of
-about 0.001, for which hundreds of hash functions a document would still miss pairs.
+number of distinct shingles n, by powers of two, and each partition has one sketch size k: an item's sketch is its k
+shingles of least hash (bottom-k MinHash). A document that holds a share t of an item's shingles misses at most
+n - ceil(t * n) of them, so it holds at least k - (n - ceil(t * n)) of the sketch, which is at least one, as k is
+taken for the largest n of the partition. Documents probe the sketches of all partitions with their shingles' hashes,
+and what they hold of a sketch decides whether they are candidates: the search loses no pair, however much
+longer the document is. A sketch on the documents' side can't do that: thirty shingles within twenty thousand
+have a Jaccard similarity of about 0.001, for which hundreds of hash functions a document would still miss pairs.
 
 Candidates are then verified by exact shingle containment, on the shingles' text.
 
 Defined results: a null or empty text has no shingles; an item of fewer than five words has none and
-matches nothing; repeated rows of a document give one pair, repeated items of one id are one item with
-the shingles of all its rows; a null id is an id like others; other columns are not looked at. As its SQL
-does, contaminated takes the rows of one id as one document; filter_documents judges each row by its text.
+matches nothing, as one or two common words would condemn clean documents; repeated rows of an id and text give one
+pair, rows of one id but different texts are judged each by its own text; repeated items of one id are one item with
+the shingles of all its rows; a null id is an id like others; an empty table of either kind gives no pair; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,36 +43,47 @@ def shingles_of(words: str, n: int = WORDS) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<string>"))
 
 
+def missable(n: Column, share: float) -> Column:
+    """So many of n shingles can a document lack that holds the share."""
+    return n - F.ceil(F.round(n * F.lit(share), 6)).cast("int")
+
+
 def item_shingles(items: DataFrame, item_id: str, text: str, share: float) -> DataFrame:
-    """Distinct shingles of each item: item, shingle, n, and whether the shingle is in the item's sketch."""
+    """Distinct shingles of each item: _item, _s, _n, _part (of sizes from 2 ** _part on), _need (of the sketch), and whether the shingle is in the sketch."""
     words = items.select(F.col(item_id).alias("_item"), words_of(text).alias("_w"))
     each = words.select("_item", F.explode(shingles_of("_w")).alias("_s")).distinct()
     whole = each.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("_s").alias("h"), F.col("_s").alias("s")))).alias("_all"))
-    n = F.size("_all")
-    k = n - F.ceil(F.round(n * F.lit(share), 6)).cast("int") + 1
-    return whole.select("_item", n.alias("_n"), F.posexplode("_all").alias("_i", "_x"), k.alias("_k")).select("_item", "_n", F.col("_x.s").alias("_s"), (F.col("_i") < F.col("_k")).alias("_sketch"))
+    sized = whole.withColumn("_n", F.size("_all")).withColumn("_part", F.floor(F.log2("_n")).cast("int"))
+    most = (F.lit(2) * F.pow(F.lit(2), F.col("_part")) - 1).cast("int")
+    k = F.least(F.col("_n"), missable(most, share) + 1)
+    sized = sized.withColumns({"_k": k, "_need": k - missable(F.col("_n"), share)})
+    return sized.select("_item", "_n", "_part", "_need", "_k", F.posexplode("_all").alias("_i", "_x")).select("_item", "_n", "_part", "_need", F.col("_x.s").alias("_s"), (F.col("_i") < F.col("_k")).alias("_sketch"))
 
 
 def contained(docs: DataFrame, key: list[str], items: DataFrame, text: str, item_id: str, item_text: str, share: float) -> DataFrame:
     """Pairs of a key of docs and an item of whose distinct shingles its rows hold the share or more: key, _item, _n, _found."""
     parts = stored(item_shingles(items, item_id, item_text, share), "items")
-    sketch = parts.filter("_sketch").select("_item", "_s")
+    sketch = stored(parts.filter("_sketch").select("_part", "_item", "_need", F.xxhash64("_s").alias("_x")), "sketch")
     words = docs.select(*key, words_of(text).alias("_w"))
-    probes = words.select(*key, F.explode(shingles_of("_w")).alias("_s"))
-    found = stored(probes.join(within(sketch), "_s").select(*key, "_item").distinct(), "candidates")
-    # Verification reads the candidate documents only.
-    holders = within(found.select(*[F.col(c).alias(f"{c}g") for c in key]).distinct())
+    probes = words.select(*key, F.explode(shingles_of("_w")).alias("_s")).select(*key, F.xxhash64("_s").alias("_x"))
+    hits = probes.join(within(sketch), "_x").groupBy(*key, "_part", "_item", "_need").agg(F.count_distinct("_x").alias("_hits"))
+    found = stored(hits.filter("_hits >= _need").select(*key, "_item"), "candidates")
+    # Verification reads the candidate documents only, and compares them with their candidate items.
+    theirs = stored(found.groupBy(*key).agg(F.collect_set("_item").alias("_items")), "holders")
+    holders = within(theirs.select(*[F.col(c).alias(f"{c}g") for c in key], "_items"), theirs)
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}g")) for c in key])
-    again = docs.select(*key, F.col(text).alias("_text")).join(holders, same, "left_semi")
-    own = again.select(*key, words_of("_text").alias("_w")).select(*key, F.explode(F.array_distinct(shingles_of("_w"))).alias("_s"))
-    hits = own.join(within(parts.select("_item", "_n", "_s")), "_s").groupBy(*key, "_item", "_n").agg(F.count_distinct("_s").alias("_found"))
-    return hits.filter(F.col("_found") >= F.ceil(F.round(F.col("_n") * F.lit(share), 6)))
+    again = docs.select(*key, F.col(text).alias("_text")).join(holders, same).select(*key, "_text", "_items")
+    own = again.select(*key, "_items", words_of("_text").alias("_w")).select(*key, "_items", F.explode(F.array_distinct(shingles_of("_w"))).alias("_s"))
+    # A null item is in no set of items; its pairs are told by the set's being empty.
+    met = own.join(within(parts.select("_item", "_n", "_s"), parts), "_s").filter(F.coalesce(F.array_contains("_items", F.col("_item")), F.col("_item").isNull()))
+    hits = met.groupBy(*key, "_item", "_n").agg(F.count_distinct("_s").alias("_found"))
+    return hits.filter(F.col("_found") >= F.col("_n") - missable(F.col("_n"), share))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """Pairs of a document and an item of whose distinct shingles it holds the share or more: id, item id, n_shingles, n_found, containment."""
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_whole"))
-    kept = contained(slim, ["_id"], items, "_whole", item_id, item_text, share)
+    slim = docs.select(F.col(id_col).alias("_id"), *text_key(text), F.col(text).alias("_whole"))
+    kept = contained(slim, ["_id", "_h1", "_h2"], items, "_whole", item_id, item_text, share)
     return kept.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id), F.col("_n").cast("long").alias("n_shingles"), F.col("_found").alias("n_found"), F.round(F.col("_found") / F.col("_n"), 6).alias("containment"))
 
 

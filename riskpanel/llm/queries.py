@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_rules, sharding, suffix_dedup, token_counts, toxicity
-from .common import shared_dir, stored
+from .common import grown, shared_dir, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,9 +95,23 @@ FROM f
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(token_counts.count_tokens(table(spark, sf_dir, "documents")), "counted")
     rollups = token_counts.Rollups(spark, f"{shared_dir(spark)}/riskpanel/{uuid.uuid4().hex}/rollups")
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    for name in ("0", "1", "0"):  # a batch that comes again changes nothing
-        rollups.commit(name, counted.filter(batch == int(name)).withColumn("op", F.lit("insert")))
+    # A third of the ids is inserted as it is. Of the others wrong rows come first; the second third is then deleted and
+    # inserted again, the last one revised (where an id has several rows, which one revision would replace, likewise).
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    alone = counted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1 AND doc_id IS NOT NULL").select("doc_id")
+    single = stored(counted.filter(third == 2).join(grown(alone), "doc_id", "left_semi"), "single")
+    several = stored(counted.filter((third == 1) | (third == 2)).join(grown(single.select(F.col("doc_id").alias("_s"))), F.col("doc_id") == F.col("_s"), "left_anti"), "several")
+    op = lambda rows, name: rows.withColumn("op", F.lit(name))
+    wrong = counted.filter(third != 0).withColumns({"source": F.lit("unknown"), "n_tokens": F.col("n_tokens") + 1})
+    null_id = op(counted.filter("doc_id IS NULL"), "insert").filter(third.isNull())
+    batches = {
+        "0 insert": op(counted.filter(third == 0), "insert").unionByName(null_id),
+        "1 wrong": op(wrong, "insert"),
+        "2 delete, insert": op(several, "delete").unionByName(op(several, "insert")),
+        "3 revise": op(single, "revise"),
+    }
+    for name in [*batches, "0 insert", "2 delete, insert"]:  # a batch that comes again changes nothing
+        rollups.commit(name, batches[name])
     return rollups.totals()
 
 
@@ -148,13 +162,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w),
+ds AS (SELECT DISTINCT k, doc_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w),
 bs AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM b),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, round(count(*) / n, 6) AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(round(0.8 * n, 6))
+FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY k, doc_id, item_id, n HAVING count(*) >= ceil(round(0.8 * n, 6))
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
