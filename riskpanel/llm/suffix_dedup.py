@@ -29,27 +29,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_key, within
+from .common import dropped, grown, mixed, ship, stored, text_key
 
 LENGTH, SEED, BATCHES = 200, 32, 4
 #: Different surroundings of one seed that one task compares at a time; more are split into chunks.
 CHUNK = 512
-#: Rows of lists up to which a measured side may be broadcast.
-LIST_ROWS = 300_000
 #: Bytes that are hashed at a time; the places fit the low bits beside the hash.
 PIECE, PLACE_BITS = 1 << 20, 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 TEXT = "_h1 long, _h2 long"
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -289,9 +279,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batche
     # One row of each text stands for all.
     texts = rows.filter(F.col("n_bytes") >= LENGTH).groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), F.max(F.struct("_id", "seeds")).alias("x"))
     texts = stored(texts.select(*by, "copies", "n_bytes", F.col("x._id").alias("_one"), F.col("x.seeds").alias("seeds")), "texts")
-    lists = texts.select(*by, "_one", F.explode("seeds").alias("seed")).join(within(sought), "seed").groupBy(*by, "_one").agg(F.collect_list("seed").alias("sought"))
-    lists = within(stored(lists, "lists"), bound=LIST_ROWS)
-    ones = slim.select("_id", *by, "_text").join(lists, by).filter(F.col("_id").eqNullSafe(F.col("_one"))).select(*by, "_text", "sought")
+    lists = texts.select(*by, "_one", F.explode("seeds").alias("seed")).join(grown(sought), "seed").groupBy(*by, "_one").agg(F.collect_list("seed").alias("sought"))
+    lists = stored(lists, "lists")
+    ones = slim.select("_id", *by, "_text").join(grown(lists), by).filter(F.col("_id").eqNullSafe(F.col("_one"))).select(*by, "_text", "sought")
     around = stored(ones.mapInPandas(context_rows, f"{TEXT}, seed long, digest long, first int, windows int, around binary"), "contexts")
 
     # Equal surroundings are counted; all windows of those with two or more are repeated.
@@ -299,11 +289,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batche
     each = stored(each, "digests")
     several = each.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     several = stored(several, "several")
-    once = each.filter("times = 1").join(within(several), "seed").select("seed", "digest", "chunks")
-    shared = each.filter("times > 1").join(within(several), "seed").select("seed", "digest", "chunks")
-    lone = around.join(once, ["seed", "digest"]).select("seed", "digest", "chunks", "windows", "around")
+    once = each.filter("times = 1").join(grown(several), "seed").select("seed", "digest", "chunks")
+    shared = each.filter("times > 1").join(grown(several), "seed").select("seed", "digest", "chunks")
+    lone = around.join(grown(once), ["seed", "digest"]).select("seed", "digest", "chunks", "windows", "around")
     # Of surroundings with copies one row is enough for the others to match.
-    rep = around.join(shared, ["seed", "digest"]).groupBy("seed", "digest", "chunks").agg(F.max(F.struct("windows", "around")).alias("x")).select("seed", "digest", "chunks", "x.windows", "x.around")
+    rep = around.join(grown(shared), ["seed", "digest"]).groupBy("seed", "digest", "chunks").agg(F.max(F.struct("windows", "around")).alias("x")).select("seed", "digest", "chunks", "x.windows", "x.around")
     compare = stored(lone.unionByName(rep), "compare")
     runs = compare.filter("chunks = 1").repartition("seed").sortWithinPartitions("seed").select("seed", "digest", "windows", "around").mapInPandas(matched_runs, "seed long, digest long, runs array<int>")
     chunked = compare.filter("chunks > 1").withColumn("chunk", F.pmod("digest", "chunks"))
@@ -316,11 +306,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batche
     verdict = full.unionByName(runs.join(each.filter("times = 1").select("seed", "digest"), ["seed", "digest"]))
     span = F.when(F.col("runs").isNull(), F.array(F.col("first"), F.col("first") + F.col("windows") - 1 + LENGTH))
     span = span.otherwise(F.transform("runs", lambda x, i: F.col("first") + x + F.when(i % 2 == 1, LENGTH).otherwise(0)))
-    spans = around.select(*by, "seed", "digest", "first", "windows").join(verdict, ["seed", "digest"]).select(*by, span.alias("s")).groupBy(*by).agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = around.select(*by, "seed", "digest", "first", "windows").join(grown(stored(verdict, "verdict")), ["seed", "digest"]).select(*by, span.alias("s")).groupBy(*by).agg(F.flatten(F.collect_list("s")).alias("spans"))
     spans = stored(spans, "spans")
     # Texts with copies go as a whole.
-    single = within(stored(spans.join(texts.filter("copies = 1").select(*by), by), "single"), bound=LIST_ROWS)
-    cut = slim.select(*by, "_text").join(single, by).mapInPandas(cut_rows, f"{TEXT}, kept binary, n_removed long, n_spans long")
+    single = stored(spans.join(grown(texts.filter("copies = 1").select(*by)), by), "single")
+    dropped(around, each, several, compare, runs, spans)
+    cut = slim.select(*by, "_text").join(grown(single), by).mapInPandas(cut_rows, f"{TEXT}, kept binary, n_removed long, n_spans long")
     whole = texts.filter("copies > 1").select(*by, F.lit(b"").alias("kept"), F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
     return rows.select("_id", *by, "n_bytes", "sha256"), cut.unionByName(whole)
 
@@ -329,6 +320,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """id, n_bytes, n_removed, n_spans (maximal removed runs) and the SHA-256 of what is left, of each row."""
     rows, cut = removals(docs, id_col, text)
     cut = stored(cut.select("_h1", "_h2", "n_removed", "n_spans", F.sha2("kept", 256).alias("_sha")), "cut")
-    out = rows.join(within(cut), ["_h1", "_h2"], "left")
+    out = rows.join(grown(cut), ["_h1", "_h2"], "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("_sha", "sha256").alias("kept_sha256"))
