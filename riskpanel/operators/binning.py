@@ -21,31 +21,38 @@ LEAKAGE_LIFT, LEAKAGE_IV, REVIEW_IV = 25.0, 0.75, 0.5
 LEAST_PSI_ROWS = 50
 
 
-def quantile_edges(long: DataFrame, bins: int) -> DataFrame:
+def value_cells(long: DataFrame, target: str, *keys: str) -> DataFrame:
+    """Rows and events (n, e) by name, value and keys: one scan and one shuffle, kept, as edges, bins and profiles are sums over it."""
+    return long.groupBy("name", "value", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(target).cast("long").alias("e")).persist()
+
+
+def quantile_edges(long: DataFrame, bins: int, weight: str | None = None) -> DataFrame:
     """long (name, value) to one row by name: edges, the different inner quantiles."""
-    q = quantiles(long, "value", [i / bins for i in range(1, bins)], ["name"])
+    q = quantiles(long, "value", [i / bins for i in range(1, bins)], ["name"], weight=weight)
     return q.select("name", F.array_distinct("q").alias("edges"))
 
 
-def bin_counts(long: DataFrame, edges: DataFrame, target: str) -> DataFrame:
-    """By name and bin (-1: missing) count and events; bins without rows are kept, with 0."""
-    binned = long.join(F.broadcast(edges), "name").groupBy("name", bin_index(F.col("value"), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("events"))
+def bin_counts(long: DataFrame, edges: DataFrame, target: str, weight: str | None = None) -> DataFrame:
+    """By name and bin (-1: missing) count and events; bins without rows are kept, with 0. weight: a column of counts, of which target has the sums."""
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    binned = long.join(F.broadcast(edges), "name").groupBy("name", bin_index(F.col("value"), F.col("edges")).alias("bin")).agg(rows.alias("n"), F.sum(target).alias("events"))
     every = edges.select("name", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     zero = F.lit(0).cast("long")
     return binned.join(every, ["name", "bin"], "full_outer").select("name", "bin", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).cast("long").alias("events"))
 
 
 def level_counts(long: DataFrame, target: str, max_levels: int = 12, min_share: float = 0.01) -> DataFrame:
-    """By name and level count and events: levels below the share or beyond the most frequent are one, "Other"; null is "Missing"."""
+    """By name and level count and events, and the name's levels before grouping: levels below the share or beyond the most frequent are one, "Other"; null is "Missing"."""
     each = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("events"))
     present = F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).over(Window.partitionBy("name"))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.col("value").isNull(), F.desc("n"), "value"))
     label = F.when(F.col("value").isNull(), "Missing").when((F.col("n") >= min_share * F.col("_all")) & (F.col("_at") <= max_levels), F.col("value")).otherwise("Other")
-    return each.withColumns({"_all": present, "_at": place}).groupBy("name", label.alias("bin")).agg(F.sum("n").alias("n"), F.sum("events").cast("long").alias("events"))
+    raw = F.count("value").over(Window.partitionBy("name"))
+    return each.withColumns({"_all": present, "_at": place, "_raw": raw}).groupBy("name", label.alias("bin")).agg(F.sum("n").alias("n"), F.sum("events").cast("long").alias("events"), F.max("_raw").alias("levels"))
 
 
 def auto_shrinkage(levels: Column, events: Column) -> Column:
-    """Pseudo-count: 0 below 15 levels, else the mean events of a level, 5 at least."""
+    """Pseudo-count: 0 below 15 levels (before any are grouped), else the mean events of a level, 5 at least."""
     return F.when(levels < 15, F.lit(0.0)).otherwise(F.greatest(events / levels, F.lit(5.0)))
 
 
@@ -73,15 +80,14 @@ def screen(woe: DataFrame) -> DataFrame:
 
 
 def numeric_screen(df: DataFrame, columns: Sequence[str], target: str, bins: int = 8) -> DataFrame:
-    long = unpivoted(df, list(columns), target)
-    return woe_table(bin_counts(long, quantile_edges(long, bins), target))
+    cells = value_cells(unpivoted(df, list(columns), target), target)
+    return woe_table(bin_counts(cells, quantile_edges(cells, bins, "n"), "e", "n"))
 
 
 def categorical_screen(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     counts = level_counts(unpivoted(df, list(columns), target), target)
-    own = Window.partitionBy("name")
-    sized = counts.withColumns({"_l": F.count(F.lit(1)).over(own), "_v": F.sum("events").over(own)})
-    return woe_table(sized, auto_shrinkage(F.col("_l"), F.col("_v")))
+    sized = counts.withColumn("_v", F.sum("events").over(Window.partitionBy("name")))
+    return woe_table(sized, auto_shrinkage(F.col("levels"), F.col("_v")))
 
 
 def observed_sign(woe: DataFrame) -> DataFrame:
@@ -155,14 +161,17 @@ def null_floor(counts: DataFrame, draws: int = 8, seed: int = 11) -> DataFrame:
 
 def psi_table(long: DataFrame, base: Column, period: Column, bins: int = 10, least: int = LEAST_PSI_ROWS) -> DataFrame:
     """Population stability of each name and period against its base rows: psi and n. Empty cells count as half an observation."""
+    # Periods and base are sums over one count table, which is kept.
     rows = long.filter("value IS NOT NULL").select("name", "value", base.alias("_base"), period.alias("period"))
-    baseline = rows.filter("_base")
-    q = quantiles(baseline, "value", [i / bins for i in range(bins + 1)], ["name"])
+    rows = rows.groupBy("name", "value", "_base", "period").agg(F.count(F.lit(1)).alias("_c")).persist()
+    baseline = rows.filter("_base").groupBy("name", "value").agg(F.sum("_c").alias("_w")).persist()
+    q = quantiles(baseline, "value", [i / bins for i in range(bins + 1)], ["name"], weight="_w")
     inner = F.array_distinct("q")
     edges = q.select("name", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))).alias("edges"), F.size(inner).alias("_m"))
     binned = rows.join(F.broadcast(edges), "name").withColumn("bin", bin_index(F.col("value"), F.col("edges")))
-    cells = binned.groupBy("name", "period", "bin", "_m").agg(F.count(F.lit(1)).alias("c"))
-    base_cells = binned.filter("_base").groupBy("name", "bin").agg(F.count(F.lit(1)).alias("b"))
+    binned = binned.groupBy("name", "period", "bin", "_m", "_base").agg(F.sum("_c").alias("c")).persist()
+    cells = binned.groupBy("name", "period", "bin", "_m").agg(F.sum("c").alias("c"))
+    base_cells = binned.filter("_base").groupBy("name", "bin").agg(F.sum("c").alias("b"))
     periods = cells.groupBy("name", "period", "_m").agg(F.sum("c").alias("n"))
     total = base_cells.groupBy("name").agg(F.sum("b").alias("bn"))
     every = edges.select("name", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin")).join(base_cells, ["name", "bin"], "left").join(total, "name")

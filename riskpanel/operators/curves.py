@@ -55,18 +55,30 @@ def severity_distribution(df: DataFrame, severity: str, bins: int = 20) -> DataF
 
 
 def turning_points(values: Sequence[float], threshold: float) -> int:
-    """Reversals of more than the threshold, of a short series."""
-    turns, direction, extreme = 0, 0, values[0] if len(values) else 0.0
-    for v in values:
-        if direction >= 0 and v < extreme - threshold:
-            turns += direction > 0
-            direction, extreme = -1, v
-        elif direction <= 0 and v > extreme + threshold:
-            turns += direction < 0
-            direction, extreme = 1, v
-        elif (direction >= 0 and v > extreme) or (direction <= 0 and v < extreme):
-            extreme = v
-    return turns
+    """Reversals of a short series, of which each swing between them is more than the threshold.
+
+    The series is reduced to its ends and local extremes; while its smallest swing is within the threshold, that
+    swing goes: at an end with the end, elsewhere with both extremes, so that what is left still alternates.
+    """
+    v = np.asarray(values, float)
+    steps = np.diff(v)
+    moved = np.flatnonzero(steps)
+    if not len(moved):
+        return 0
+    turns = moved[1:][np.sign(steps[moved[1:]]) != np.sign(steps[moved[:-1]])]
+    marks = [v[0], *v[turns], v[-1]]
+    while len(marks) > 1:
+        swings = np.abs(np.diff(marks))
+        i = int(np.argmin(swings))
+        if swings[i] > threshold:
+            break
+        if i == 0:
+            del marks[0]
+        elif i == len(swings) - 1:
+            del marks[-1]
+        else:
+            del marks[i : i + 2]
+    return max(0, len(marks) - 2)
 
 
 def auto_knots(x: Sequence[float], n: Sequence[float], events: Sequence[float], knots: int = 4) -> list[float]:

@@ -1,22 +1,21 @@
 """Estimation: designs as Column expressions, Gram matrices summed in Spark, logistic and fractional-logit fits.
 
 A fitted transform (edges, weights, knots, means) is a small JSON artefact; applying it is one generated select, so a
-score is one codegen stage. Each Newton step is one pass: partitions reduce their rows to a k x k Gram matrix and a
-gradient in numpy, Spark sums the cells, and the driver gets k * k + k + 2 numbers.
+score is one codegen stage. Each Newton step is one aggregate over the kept design: the k (k + 1) / 2 cells of the Gram
+matrix, the gradient and the likelihood are sums of Columns, and the driver gets these numbers only.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import PD_CLIP, bin_index, sigmoid
+from ..functions.exprs import bin_index, sigmoid
 from ..functions.special import normal_tail
 from .binning import bin_counts, level_counts, quantile_edges, woe_table
 from .ranks import quantiles
@@ -76,9 +75,9 @@ def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: i
 
 
 def design(df: DataFrame, terms: Sequence[Term], *keep: str) -> tuple[DataFrame, list[str]]:
-    """keep and an array column x (1 first), with the names of its cells."""
+    """keep and the design's cells as columns x0 (1), x1 and so on, with the names of its cells."""
     cells = [("(intercept)", F.lit(1.0)), *[c for t in terms for c in t.columns()]]
-    return df.select(*keep, F.array(*[c.cast("double") for _, c in cells]).alias("x")), [n for n, _ in cells]
+    return df.select(*keep, *[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(cells)]), [n for n, _ in cells]
 
 
 @dataclass
@@ -108,29 +107,25 @@ class Model:
 
 
 def sums(rows: DataFrame, beta: np.ndarray, meat: bool = False) -> tuple[np.ndarray, np.ndarray, float, int, np.ndarray]:
-    """One pass over rows (x, y): weighted Gram matrix, gradient, log likelihood, rows, and the residuals' Gram matrix if wanted."""
+    """One aggregate over rows (x0 and so on, y): weighted Gram matrix, gradient, log likelihood, rows, and the residuals' Gram matrix if wanted."""
     k = len(beta)
+    x, y, p = [F.col(f"x{i}") for i in range(k)], F.col("y"), F.col("_p")
+    eta = sum((c * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0))
+    own = rows.withColumn("_p", sigmoid(eta)).withColumns({"_w": p * (1 - p), "_r": y - p, "_q": F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p))})
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    cells = [F.sum(x[i] * x[j] * F.col("_w")) for i, j in pairs] + [F.sum(c * F.col("_r")) for c in x]
+    cells += [F.sum(y * F.log("_q") + (1 - y) * F.log(1 - F.col("_q"))), F.count(F.lit(1))]
+    cells += [F.sum(x[i] * x[j] * F.col("_r") * F.col("_r")) for i, j in pairs] if meat else []
+    v = [c or 0.0 for c in own.agg(*[c.alias(f"s{i}") for i, c in enumerate(cells)]).first()]
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * k * k + k + 2)
-        for b in batches:
-            if len(b):
-                x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy(float)
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -PD_CLIP, PD_CLIP)))
-                q = np.clip(p, 1e-12, 1 - 1e-12)
-                total[: k * k] += ((x * (p * (1 - p))[:, None]).T @ x).ravel()
-                total[k * k : k * k + k] += x.T @ (y - p)
-                total[k * k + k] += (y * np.log(q) + (1 - y) * np.log(1 - q)).sum()
-                total[k * k + k + 1] += len(y)
-                if meat:
-                    total[k * k + k + 2 :] += ((x * ((y - p) ** 2)[:, None]).T @ x).ravel()
-        yield pd.DataFrame({"cell": np.arange(len(total)), "v": total})
-
-    cells = rows.select("x", "y").mapInPandas(part, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    v = np.zeros(2 * k * k + k + 2)
-    for r in cells:
-        v[r.cell] = r.v
-    return v[: k * k].reshape(k, k), v[k * k : k * k + k], float(v[k * k + k]), int(v[k * k + k + 1]), v[k * k + k + 2 :].reshape(k, k)
+    def square(own: list[float]) -> np.ndarray:
+        m = np.zeros((k, k))
+        for (i, j), c in zip(pairs, own, strict=True):
+            m[i, j] = m[j, i] = c
+        return m
+
+    n = len(pairs)
+    return square(v[:n]), np.array(v[n : n + k]), float(v[n + k]), int(v[n + k + 1]), square(v[n + k + 2 :]) if meat else np.zeros((k, k))
 
 
 def newton(rows: DataFrame, k: int, l2: float = 0.0, steps: int = 25, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -153,9 +148,13 @@ def newton(rows: DataFrame, k: int, l2: float = 0.0, steps: int = 25, tol: float
 
 def fit_logistic(train: DataFrame, target: str, treatments: dict[str, str], l2: float = 0.0, robust: bool = False, terms: list[Term] | None = None) -> Model:
     """A logistic fit of a 0/1 target, or (robust) a fractional-logit fit of a share with sandwich standard errors."""
+    needed = list(dict.fromkeys([*(treatments if terms is None else [t.column for t in terms]), target]))
+    train = train.select(*[F.col(f"`{c}`") for c in needed]).persist()
     terms = fit_terms(train, target, treatments) if terms is None else terms
     rows, names = design(train.filter(F.col(target).isNotNull()), terms, F.col(target).cast("double").alias("y"))
     rows = rows.persist()
+    rows.count()
+    train.unpersist()
     beta, h, ll, n = newton(rows, len(names), l2)
     inverse = np.linalg.pinv(h)
     if robust:
@@ -170,7 +169,7 @@ def fit_l1(train: DataFrame, target: str, terms: list[Term], c: float) -> dict[s
     from pyspark.ml.functions import array_to_vector
 
     rows, names = design(train, terms, F.col(target).cast("double").alias("y"))
-    ready = rows.select("y", array_to_vector(F.slice("x", 2, len(names) - 1)).alias("features"))
+    ready = rows.select("y", array_to_vector(F.array(*[F.col(f"x{i}") for i in range(1, len(names))])).alias("features"))
     model = LogisticRegression(labelCol="y", elasticNetParam=1.0, standardization=False, regParam=1 / (c * max(train.count(), 1))).fit(ready)
     return dict(zip(names, [model.intercept, *model.coefficients.toArray().tolist()], strict=True))
 

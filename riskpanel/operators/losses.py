@@ -135,11 +135,14 @@ def shapley(rows: DataFrame, base: str, stress: str) -> DataFrame:
 
 
 def tornado(book: DataFrame, pd: Column, lgd: Column, horizon: int, shocks: dict[str, tuple[float, float, float]]) -> DataFrame:
-    """Change of the loss under each shock alone, greatest first: the shocks are scenarios of one projection."""
+    """Change of the loss under each shock alone, and its place by size from 1: the shocks are scenarios of one projection."""
     rows = projection(book, pd, lgd, horizon, [("", 1, 1, 1), *[(k, *v) for k, v in shocks.items()]])
     e = losses(rows).select("scenario", "ecl")
     base = e.filter("scenario = ''").select(F.col("ecl").alias("_base"))
-    return e.filter("scenario != ''").crossJoin(F.broadcast(base)).select(F.col("scenario").alias("shock"), F.round(F.col("ecl") - F.col("_base"), 4).alias("delta"))
+    deltas = e.filter("scenario != ''").crossJoin(F.broadcast(base)).select(F.col("scenario").alias("shock"), F.round(F.col("ecl") - F.col("_base"), 4).alias("delta"))
+    # As many rows as shocks.
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.abs("delta")), "shock"))
+    return deltas.withColumn("place", place).orderBy("place")
 
 
 def firm_rollup(by_book: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -41,7 +41,7 @@ def _rolling(x: Column | str, k: int) -> Column:
 
 
 def transformed(series: DataFrame, names: Sequence[str] = TRANSFORMS) -> DataFrame:
-    """key, month, transform, value for each of the transforms; null where history is short."""
+    """key, month, transform, value for each of the transforms; null where history is short, or where a ratio's base is 0."""
     v = F.col("value")
     ratio = lambda k: F.when(_lag(v, k) != 0, v / _lag(v, k))
     whole = Window.partitionBy("key")

@@ -89,20 +89,27 @@ def static_columns(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """By column: missing_pct, n_unique, mean, population sd, exact quantiles, extremes, rows beyond 3 interquartile ranges."""
+    """By column: missing_pct, n_unique, mean, population sd, exact quantiles, extremes, rows beyond 3 interquartile ranges.
+
+    All are sums over one count table by column and value, which is kept.
+    """
     long = unpivoted(df, list(columns)).withColumn("value", F.col("value").cast("double"))
-    q = quantiles(long, "value", [0.01, 0.25, 0.5, 0.75, 0.99], ["name"])
-    whole = long.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("present"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-    )
-    distinct = long.filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("c"))
+    cells = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("c")).persist()
+    q = quantiles(cells, "value", [0.01, 0.25, 0.5, 0.75, 0.99], ["name"], weight="c")
+    v, c, there = F.col("value"), F.col("c"), F.col("value").isNotNull()
+    mean = F.sum(v * c) / F.sum(F.when(there, c))
+    means = cells.groupBy("name").agg(mean.alias("mean"))
     fence = F.col("q")[3] - F.col("q")[1]
-    beyond = distinct.join(F.broadcast(q), "name").groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"), F.sum(F.when((F.col("value") < F.col("q")[1] - 3 * fence) | (F.col("value") > F.col("q")[3] + 3 * fence), F.col("c")).otherwise(0)).alias("outliers"))
-    out = whole.join(q, "name", "left").join(beyond, "name", "left")
+    out = (v < F.col("q")[1] - 3 * fence) | (v > F.col("q")[3] + 3 * fence)
+    each = cells.join(F.broadcast(means), "name").join(F.broadcast(q), "name", "left")
+    whole = each.groupBy("name", "mean", "q").agg(
+        F.sum(c).alias("n"), F.sum(F.when(there, c).otherwise(0)).alias("present"), F.count(v).alias("n_unique"), F.sum(F.when(out, c).otherwise(0)).alias("outliers"),
+        F.sqrt(F.sum((v - F.col("mean")) * (v - F.col("mean")) * c) / F.sum(F.when(there, c))).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+    )
     r = lambda c: F.round(c, 6)
-    return out.select(
-        F.col("name").alias("column_name"), r(100 * (1 - F.col("present") / F.col("n"))).alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"), F.round("mean", 9).alias("mean"), r("sd").alias("sd"),
-        *[r(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((1, 25, 50, 75, 99))], F.col("lo").alias("least"), F.col("hi").alias("most"), F.coalesce("outliers", F.lit(0)).alias("outliers"),
+    return whole.select(
+        F.col("name").alias("column_name"), r(100 * (1 - F.col("present") / F.col("n"))).alias("missing_pct"), "n_unique", F.round("mean", 9).alias("mean"), r("sd").alias("sd"),
+        *[r(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((1, 25, 50, 75, 99))], F.col("lo").alias("least"), F.col("hi").alias("most"), "outliers",
     )
 
 

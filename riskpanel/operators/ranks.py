@@ -11,15 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values; a group's marks are an array of so many values.
-RANGES = 64
+#: Least and most ranges of values, between which there are as many as shuffle partitions; a group's marks are an array of so many values.
+RANGES = (64, 1024)
 
 
 def running_totals(table: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """table (one row per value, within by) with before_<s>, the total of s over smaller values, and all_<s>, over all."""
     keys = list(by) or ["_all"]
     own = table if by else table.withColumn("_all", F.lit(1))
-    marks = own.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000).alias("_marks"))
+    n = max(RANGES[0], min(RANGES[1], int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    marks = own.groupBy(*keys).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 2 * RANGES[1]).alias("_marks"))
     own = own.join(F.broadcast(marks) if not by else marks, keys).withColumn("_range", F.size(F.filter("_marks", lambda m: m <= F.col(value)))).drop("_marks")
     totals = own.groupBy(*keys, "_range").agg(*[F.sum(s).alias(s) for s in sums])
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,9 +33,13 @@ def running_totals(table: DataFrame, value: str, sums: Sequence[str], by: Sequen
     return out.drop("_range", "_all", *[f"_start_{s}" for s in sums], *[f"_in_{s}" for s in sums])
 
 
-def quantiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = (), to: str = "q") -> DataFrame:
-    """Exact quantiles with linear interpolation as an array: one row per group of by. Nulls are left out."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+def quantiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = (), to: str = "q", weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation as an array: one row per group of by. Nulls are left out.
+
+    weight: a column of counts; then each value comes once in a group, as in a table that is kept for several uses.
+    """
+    present = df.filter(F.col(value).isNotNull())
+    counted = present.select(*by, value, F.col(weight).alias("_n")) if weight else present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).persist()
     run = running_totals(counted, value, ["_n"], by)
 
     def at(rank: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -183,8 +184,9 @@ every AS (SELECT name, unnest(generate_series(0, len(e)))::INT AS bin FROM q), c
 counts AS (SELECT name, bin, coalesce(n, 0) AS n, coalesce(events, 0) AS events FROM cz FULL JOIN every USING (name, bin))""")
 LEVEL_WOE = woe_sql(f"""{LINES_SQL}, l AS ({unpivot_sql("lines", CATEGORICAL, "y")}), g AS (SELECT name, value, count(*) AS n, sum(y)::BIGINT AS events FROM l GROUP BY 1, 2),
 r AS (SELECT *, sum(n) FILTER (WHERE value IS NOT NULL) OVER (PARTITION BY name) AS a, row_number() OVER (PARTITION BY name ORDER BY value IS NULL, n DESC, value) AS i FROM g),
+rl AS (SELECT name, count(value) AS lv FROM g GROUP BY 1),
 c1 AS (SELECT name, CASE WHEN value IS NULL THEN 'Missing' WHEN n >= 0.01 * a AND i <= 12 THEN value ELSE 'Other' END AS bin, sum(n)::BIGINT AS n, sum(events)::BIGINT AS events FROM r GROUP BY 1, 2),
-counts AS (SELECT *, count(*) OVER (PARTITION BY name) AS lv, sum(events) OVER (PARTITION BY name) AS ev FROM c1)""", "CASE WHEN lv < 15 THEN 0 ELSE greatest(ev / lv, 5) END")
+counts AS (SELECT c1.*, lv, sum(events) OVER (PARTITION BY name) AS ev FROM c1 JOIN rl USING (name))""", "CASE WHEN lv < 15 THEN 0 ELSE greatest(ev / lv, 5) END")
 WOE_OUT = "SELECT name, bin, n, events, round(rate, 8) AS rate, round(share, 8) AS share, round(woe, 7) AS woe, round(iv, 8) AS iv, round(lift, 6) AS lift FROM w"
 SCREEN_OUT = """SELECT name AS column_name, round(sum(iv), 8) AS iv, CASE WHEN round(sum(iv), 8) < 0.02 THEN 'not predictive' WHEN round(sum(iv), 8) < 0.1 THEN 'weak' WHEN round(sum(iv), 8) < 0.3 THEN 'medium' WHEN round(sum(iv), 8) < 0.5 THEN 'strong' ELSE 'suspicious' END AS band,
        round(max(lift), 6) AS max_lift, CASE WHEN max(lift) >= 25 AND sum(iv) >= 0.75 THEN 'likely' WHEN sum(iv) >= 0.5 THEN 'review' ELSE 'none' END AS leakage, count(*) AS bins, sum(n)::BIGINT AS n, sum(events)::BIGINT AS events FROM w GROUP BY 1"""
@@ -229,7 +231,8 @@ def bin_trends(spark: SparkSession, sf: str) -> DataFrame:
 def information_null_floor(spark: SparkSession, sf: str) -> DataFrame:
     df = lines(spark, sf)
     long = panels.unpivoted(df, NUMERIC, "y")
-    return binning.null_floor(binning.bin_counts(long, binning.quantile_edges(long, 8), "y"))
+    cells = binning.value_cells(long, "y")
+    return binning.null_floor(binning.bin_counts(cells, binning.quantile_edges(cells, 8, "n"), "e", "n"))
 
 
 @query()
@@ -455,7 +458,7 @@ for _rule, _how in (("avg", "avg(value)"), ("sum", "sum(value)"), ("max", "max(v
     QUERIES[f"macro_down_{_rule}"] = _down
     ORACLE_SQL[f"macro_down_{_rule}"] = f"WITH {MACRO_SQL} SELECT key, CAST(date_trunc('quarter', month) AS DATE) AS period, count(*) AS n, round({_how}, 6) AS value FROM macro GROUP BY 1, 2"
 
-TERMS_SQL = f"""{MACRO_SQL}, m1 AS (SELECT *, value - lag(value) OVER k AS diff, 100 * (value / lag(value, 12) OVER k - 1) AS yoy, ln(greatest(value, 1e-9)) - lag(ln(greatest(value, 1e-9))) OVER k AS log_diff, 100 * (pow(value / lag(value, 3) OVER k, 4) - 1) AS qoq,
+TERMS_SQL = f"""{MACRO_SQL}, m1 AS (SELECT *, value - lag(value) OVER k AS diff, 100 * (value / nullif(lag(value, 12) OVER k, 0) - 1) AS yoy, ln(greatest(value, 1e-9)) - lag(ln(greatest(value, 1e-9))) OVER k AS log_diff, 100 * (pow(value / nullif(lag(value, 3) OVER k, 0), 4) - 1) AS qoq,
   (value - avg(value) OVER a) / CASE WHEN stddev_pop(value) OVER a = 0 THEN 1 ELSE stddev_pop(value) OVER a END AS z, value - lag(value, 12) OVER k AS fqc,
   CASE WHEN count(value) OVER r3 = 3 THEN avg(value) OVER r3 END AS ma3, CASE WHEN count(value) OVER r6 = 6 THEN avg(value) OVER r6 END AS ma6, CASE WHEN count(value) OVER r12 = 12 THEN avg(value) OVER r12 END AS ma12
   FROM macro WINDOW k AS (PARTITION BY key ORDER BY month), a AS (PARTITION BY key), r3 AS (PARTITION BY key ORDER BY month ROWS 2 PRECEDING), r6 AS (PARTITION BY key ORDER BY month ROWS 5 PRECEDING), r12 AS (PARTITION BY key ORDER BY month ROWS 11 PRECEDING)),
@@ -587,7 +590,6 @@ def attribution_bridge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _shapley_sql() -> str:
-    from itertools import combinations
     from math import factorial
 
     subsets = [s for k in range(5) for s in combinations(losses.FACTORS, k)]
@@ -604,9 +606,19 @@ def attribution_shapley(spark: SparkSession, sf: str) -> DataFrame:
     return losses.shapley(projected(spark, sf), "base", "stressed")
 
 
-@query()
+SHOCKS = {"pd +10 %": (1.1, 1, 1), "lgd +10 %": (1, 1.1, 1), "ead +10 %": (1, 1, 1.1), "pd -10 %": (0.9, 1, 1)}
+
+
+def _tornado_sql() -> str:
+    shocks = [("", 1, 1, 1), *[(k, *v) for k, v in SHOCKS.items()]]
+    proj = PROJ_SQL.replace(", ".join(f"('{s}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for s, a, b, c in SCENARIOS), ", ".join(f"('{s}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for s, a, b, c in shocks))
+    return f"""WITH {proj}, e AS (SELECT scenario, round(sum({LOSS}), 4) AS ecl FROM proj GROUP BY 1), d AS (SELECT scenario AS shock, round(ecl - (SELECT ecl FROM e WHERE scenario = ''), 4) AS delta FROM e WHERE scenario <> '')
+SELECT shock, delta, row_number() OVER (ORDER BY abs(delta) DESC, shock)::INT AS place FROM d"""
+
+
+@query(_tornado_sql())
 def tornado(spark: SparkSession, sf: str) -> DataFrame:
-    return losses.tornado(losses.open_book(book(spark, sf)), given_pd(), given_lgd(), HORIZON, {"pd +10 %": (1.1, 1, 1), "lgd +10 %": (1, 1.1, 1), "ead +10 %": (1, 1, 1.1), "pd -10 %": (0.9, 1, 1)})
+    return losses.tornado(losses.open_book(book(spark, sf)), given_pd(), given_lgd(), HORIZON, SHOCKS)
 
 
 @query(f"""WITH {BOOK_SQL}, j AS (SELECT d.current_balance AS a, h.current_balance AS b, h.committed_amount AS l FROM book d JOIN book h ON d.account_id = h.account_id AND h.performance_date = CAST(d.performance_date - INTERVAL 12 MONTH AS DATE) WHERE d.default_flag = 1 AND h.committed_amount > h.current_balance)
@@ -656,8 +668,7 @@ def forward_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def combination_fits(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["quantity", "discount", "size"]
-    combos = {"+".join(c): list(c) for k in (1, 2) for c in __import__("itertools").combinations(names, k)}
+    combos = {"+".join(c): list(c) for k in (1, 2) for c in combinations(NUMERIC, k)}
     return search.joint_fits(lines(spark, sf), "y", combos)
 
 

@@ -6,10 +6,10 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import sigmoid
 from ..functions.special import chi2_tail
 from ..operators import estimate, evaluate
 
@@ -29,7 +29,7 @@ def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: fl
 
     def fitted(chosen: Sequence[str]) -> float:
         cells = [0, *[i for c in chosen for i in places[c]]]
-        own = rows.select("y", F.array(*[F.col("x")[i] for i in cells]).alias("x"))
+        own = rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(cells)])
         return estimate.newton(own, len(cells), steps=10, tol=1e-6)[2]
 
     chosen: list[tuple[str, float]] = []
@@ -50,34 +50,52 @@ def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: fl
     return chosen
 
 
-def joint_fits(sample: DataFrame, target: str, combos: dict[str, list[str]]) -> DataFrame:
-    """Many small logistic fits over one bounded sample: combo, n, log likelihood, and coefficients.
+def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps: int = 30, tol: float = 1e-10) -> DataFrame:
+    """Logistic fits of all combinations at once: combo, n, log likelihood, BIC on events, and coefficients.
 
-    The sample is summed by its values first; each combination is one group over the sums of its own columns.
+    Rows are summed by the values of each combination's columns and kept. A Newton step is one aggregate by
+    combination, which Spark spreads over tasks whatever a combination holds; the driver gets a small Gram matrix of each.
     """
-    parts = None
+    most = max(map(len, combos.values())) + 1
+    parts, scale = None, {c: 1.0 for x in combos.values() for c in x}
+    ends = rows.agg(*[F.max(F.abs(c)).cast("double").alias(c) for c in scale]).first()
+    scale = {c: max(ends[c] or 0.0, 1e-12) for c in scale}
     for name, columns in combos.items():
-        own = sample.dropna(subset=columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("e"))
-        own = own.select(F.lit(name).alias("combo"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), "n", "e")
+        own = rows.dropna(subset=columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("e"))
+        x = [F.lit(1.0), *[F.col(c).cast("double") / scale[c] for c in columns], *[F.lit(0.0)] * (most - 1 - len(columns))]
+        own = own.select(F.lit(name).alias("combo"), *[c.alias(f"x{i}") for i, c in enumerate(x)], "n", "e")
         parts = own if parts is None else parts.unionByName(own)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy())])
-        scale = np.maximum(np.abs(x).max(axis=0), 1e-12)
-        x, n, e = x / scale, pdf["n"].to_numpy(float), pdf["e"].to_numpy(float)
-        b = np.zeros(x.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
-            move = np.linalg.lstsq((x * (n * p * (1 - p))[:, None]).T @ x, x.T @ (e - n * p), rcond=None)[0]
-            b = b + move
-            if np.abs(move).max() < 1e-10:
-                break
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ b, -35, 35))), 1e-12, 1 - 1e-12)
-        ll = float((e * np.log(p) + (n - e) * np.log(1 - p)).sum())
-        bic = -2 * ll + len(b) * math.log(max(e.sum(), 1))
-        return pd.DataFrame({"combo": [pdf["combo"].iloc[0]], "n": [int(n.sum())], "log_likelihood": [round(ll, 5)], "bic": [round(bic, 5)], "beta": [[round(float(v), 8) for v in b / scale]]})
-
-    return parts.groupBy("combo").applyInPandas(fit, "combo string, n long, log_likelihood double, bic double, beta array<double>")
+    parts = parts.persist()
+    pairs = [(i, j) for i in range(most) for j in range(i, most)]
+    beta, live, found = {c: np.zeros(most) for c in combos}, set(combos), {}
+    for _ in range(steps + 1):
+        table = parts.sparkSession.createDataFrame([(c, [float(v) for v in beta[c]]) for c in combos], "combo string, b array<double>")
+        own = parts.join(F.broadcast(table), "combo")
+        eta = sum((F.col(f"x{i}") * F.col("b")[i] for i in range(most)), F.lit(0.0))
+        own = own.withColumn("p", sigmoid(eta)).withColumns({"w": F.col("n") * F.col("p") * (1 - F.col("p")), "r": F.col("e") - F.col("n") * F.col("p"), "q": F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("p")))})
+        likelihood = F.sum(F.col("e") * F.log("q") + (F.col("n") - F.col("e")) * F.log(1 - F.col("q")))
+        cells = [F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")).alias(f"h{i}_{j}") for i, j in pairs] + [F.sum(F.col(f"x{i}") * F.col("r")).alias(f"g{i}") for i in range(most)]
+        for r in own.groupBy("combo").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), likelihood.alias("ll"), *cells).collect():  # a row of each combination
+            found[r.combo] = r
+            h, g = np.zeros((most, most)), np.array([r[f"g{i}"] for i in range(most)])
+            for i, j in pairs:
+                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
+            move = np.linalg.lstsq(h, g, rcond=None)[0]
+            if r.combo in live and np.abs(move).max() >= tol:
+                beta[r.combo] = beta[r.combo] + move
+            else:
+                live.discard(r.combo)
+        if not live:
+            break
+    parts.unpersist()
+    out = []
+    for name, columns in combos.items():
+        if name in found:
+            r, k = found[name], len(columns) + 1
+            bic = -2 * r.ll + k * math.log(max(r.e, 1))
+            whole = [beta[name][0], *[beta[name][i + 1] / scale[c] for i, c in enumerate(columns)]]
+            out.append((name, int(r.n), round(float(r.ll), 5), round(float(bic), 5), [round(float(v), 8) for v in whole]))
+    return rows.sparkSession.createDataFrame(out, "combo string, n long, log_likelihood double, bic double, beta array<double>")
 
 
 def model_run(panel: DataFrame, target: str, treatments: dict[str, str], boundary: str, test_fraction: float = 0.2, account: str | None = "account_id") -> tuple[estimate.Model, DataFrame]:

@@ -7,10 +7,12 @@ import json
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import running_totals
+
 #: Weights of the composite score, and the inflation above which credit falls.
 WEIGHTS = {"auc_oot": 0.30, "all_significant": 0.15, "stress_monotone": 0.15, "no_core_shift": 0.10, "vif": 0.20, "oot_gap": 0.10}
 VIF_FLAG = 5.0
@@ -77,8 +79,9 @@ def enumerate_combos(terms: Sequence[tuple[str, str, int]], most: int = 3, corre
 
 
 def vif_credit(vif: Column, flag: float = VIF_FLAG) -> Column:
-    """1 up to the flag, 0 at twice it, -1 from four times it on."""
-    return F.when(vif <= flag, 1.0).when(vif <= 2 * flag, (2 * flag - vif) / flag).otherwise(F.greatest(F.lit(-1.0), -(vif - 2 * flag) / (2 * flag)))
+    """Credit for inflation: 1 up to the flag, from there falling by 1 over a width of the flag to 0, then by 1 over twice that width to -1."""
+    over = vif / flag - 1
+    return 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), over)) - F.greatest(F.lit(0.0), F.least(F.lit(1.0), (over - 1) / 2))
 
 
 def composite_rank(rows: DataFrame, flag: float = VIF_FLAG) -> DataFrame:
@@ -93,6 +96,9 @@ def composite_rank(rows: DataFrame, flag: float = VIF_FLAG) -> DataFrame:
         + WEIGHTS["no_core_shift"] * one(~F.col("core_shifted")) + WEIGHTS["vif"] * vif_credit(F.coalesce("max_vif", F.lit(1.0)), flag) + WEIGHTS["oot_gap"] * F.greatest(F.lit(0.0), 1 - gap / 0.10)
     )
     scored = live.crossJoin(F.broadcast(ends)).withColumn("score", F.round(score, 10))
-    # A leaderboard holds as many rows as were searched, which the search bounds.
-    ranked = scored.selectExpr("*", "row_number() OVER (ORDER BY score DESC, hash) AS auto_rank").select("hash", "score", "auto_rank")
+    # Places come from totals of different scores, within ranges of them; ties are numbered within their score.
+    above = running_totals(scored.groupBy("score").agg(F.count(F.lit(1)).alias("_n")), "score", ["_n"])
+    above = above.select("score", (F.col("all__n") - F.col("before__n") - F.col("_n")).alias("_above"))
+    tie = F.row_number().over(Window.partitionBy("score").orderBy("hash"))
+    ranked = scored.join(above, "score").select("hash", "score", (F.col("_above") + tie).cast("int").alias("auto_rank"))
     return rows.join(ranked, "hash", "left")
