@@ -156,3 +156,15 @@ def event_sample(rows: DataFrame, target: str, size: int, key: Sequence[str], se
     share = min(1.0, max(0.0, (size - (n.e or 0)) / max(n.n - (n.e or 0), 1)))
     keep = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) < share * 1_000_000
     return rows.filter((F.col(target) == 1) | keep), share
+
+
+def score_stability(scored: DataFrame, baseline_months: int = 12, least: int = 200) -> DataFrame:
+    """Population stability of the score by quarter against the first months."""
+    from .binning import psi_over_time
+
+    return psi_over_time(scored, ["p"], baseline_months, "QS", least)
+
+
+def severities(panel: DataFrame, severity: str = "lgd_realised", target: str = "default_flag") -> DataFrame:
+    """Each default's month and severity."""
+    return panel.filter((F.col(target) == 1) & F.col(severity).isNotNull()).select("account_id", F.col("performance_date").alias("month"), F.col(severity).alias("severity"))

@@ -151,3 +151,31 @@ def firm_rollup(by_book: DataFrame, weights: dict[str, float]) -> DataFrame:
     w = F.coalesce(*[F.when(F.col("scenario") == s, float(v)) for s, v in weights.items()], F.lit(0.0))
     mean = total.groupBy("book").agg(F.round(F.sum(F.col("ecl") * w) / F.sum(w), 4).alias("ecl"), F.round(F.max("exposure"), 2).alias("exposure")).withColumn("scenario", F.lit("weighted"))
     return total.unionByName(mean)
+
+
+def weighted_rates(rows: DataFrame) -> DataFrame:
+    """By scenario the 12-month default rate and the mean severity of the first year, weighted by balances (1 at least)."""
+    year = F.col("t") <= 12
+    each = rows.groupBy("scenario", "account_id").agg((1 - F.exp(F.sum(F.when(year, log_product(1 - F.col("pd")))))).alias("pd"), F.avg(F.when(year, F.col("lgd"))).alias("lgd"), F.greatest(F.max("current_balance"), F.lit(1.0)).alias("w"))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("w")) / F.sum("w"), 8)
+    return each.groupBy("scenario").agg(mean("pd").alias("pd_12"), mean("lgd").alias("lgd"))
+
+
+def exposure_assumption(columns: Sequence[str], method: str | None = None, ccf: float | None = None, cpr: float = 0.0) -> dict:
+    """How exposure at default is taken, chosen by what a panel has unless a method is named, with a sentence that says so."""
+    chosen = method or ("ccf" if "committed_amount" in columns and ccf is not None else "amortising" if {"interest_rate", "remaining_term"} <= set(columns) else "flat")
+    said = {
+        "ccf": f"Exposure is what is drawn and {100 * (ccf or 0):.0f} % of what is not.",
+        "amortising": f"Exposure follows the payment schedule, with {100 * cpr:.1f} % prepaid a year.",
+        "flat": "Exposure stays at the last balance, as no schedule is known.",
+    }
+    if chosen not in said:
+        raise ValueError(f"no such exposure method: {chosen}")
+    return {"method": chosen, "ccf": ccf, "cpr": cpr, "statement": said[chosen]}
+
+
+def exposure_by_ccf(book: DataFrame, horizon: int, ccf: float) -> DataFrame:
+    """Flat exposure of facilities over the months ahead: drawn and a share of the undrawn amount."""
+    from ..functions.exprs import ccf_exposure
+
+    return book.select("account_id", ccf_exposure(F.col("current_balance"), F.col("committed_amount"), ccf).alias("ead"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("t"))

@@ -203,3 +203,43 @@ def stationarity(series: DataFrame, least: int = 24) -> DataFrame:
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [len(x)], "statistic": [stat], "lags": [lags], "stationary": [None if stat is None else stat < ADF_CRITICAL]})
 
     return series.groupBy("key").applyInPandas(own, "key string, n long, statistic double, lags long, stationary boolean")
+
+
+def trailing_growth(series: DataFrame) -> DataFrame:
+    """Growth over three months in percent a year; null for the first three, or where the base is 0."""
+    return series.withColumn("value", F.when(_lag("value", 3) != 0, 100 * (F.pow(F.col("value") / _lag("value", 3), F.lit(4)) - 1)))
+
+
+def level_from_yoy(growth: DataFrame, base: float = 100.0) -> DataFrame:
+    """Quarterly level (key, period, value) from growth over the year in percent: the year before the first one is base, and each quarter compounds off its own of the year before."""
+    w = Window.partitionBy("key", F.quarter("period")).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    return growth.withColumn("value", F.lit(base) * F.exp(F.sum(F.log(1 + F.col("value") / 100)).over(w)))
+
+
+def panel_slice(series: DataFrame, keys: Sequence[str], start: str | None = None, end: str | None = None) -> DataFrame:
+    """The series of some keys between two dates, both included."""
+    out = series.filter(F.col("key").isin(*keys))
+    out = out.filter(F.col("month") >= F.lit(start).cast("date")) if start else out
+    return out.filter(F.col("month") <= F.lit(end).cast("date")) if end else out
+
+
+def aggregation_residual(monthly: DataFrame, quarterly: DataFrame, rule: str) -> DataFrame:
+    """By key the greatest relative difference between benchmarked months, taken to quarters by rule, and the quarters, and whether it is within 1e-10."""
+    how = {"avg": F.avg("value"), "sum": F.sum("value"), "eop": F.max_by("value", "month")}[rule]
+    again = monthly.groupBy("key", period_of(F.col("month"), "QS").alias("period")).agg(how.alias("_v"))
+    both = again.join(quarterly.select("key", "period", "value"), ["key", "period"])
+    gap = F.max(F.abs(F.col("_v") - F.col("value")) / F.greatest(F.abs("value"), F.lit(1e-12)))
+    return both.groupBy("key").agg(F.count(F.lit(1)).alias("periods"), (gap <= 1e-10).alias("identity_holds"))
+
+
+def to_monthly(series: DataFrame, frequency: str, rule: str = "avg") -> DataFrame:
+    """A series of any frequency as months: daily ones (D) by rule, monthly ones as they are, quarterly ones (Q) benchmarked."""
+    if frequency == "D":
+        return down(series, rule, "MS").select("key", F.col("period").alias("month"), "value")
+    return benchmarked(series.select("key", F.col("month").alias("period"), "value"), rule) if frequency == "Q" else series.select("key", "month", "value")
+
+
+def decoded(candidates: DataFrame) -> DataFrame:
+    """Candidate names key@transform@lag taken apart."""
+    part = F.split("candidate", "@")
+    return candidates.withColumns({"key": part[0], "transform": part[1], "lag": part[2].cast("int")})

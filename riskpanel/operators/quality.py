@@ -183,3 +183,120 @@ def sentinels(df: DataFrame, columns: Sequence[str], mass: float = 0.01) -> Data
     out = heavy.join(q, ["name", "suspect"])
     gap = 1.5 * (F.col("q")[1] - F.col("q")[0])
     return out.filter((F.col("suspect") < F.col("q")[0] - gap) | (F.col("suspect") > F.col("q")[1] + gap)).select(F.col("name").alias("column_name"), F.col("suspect").alias("value"), F.round(F.col("c") / F.col("n"), 8).alias("share"))
+
+
+def row_page(panel: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Raw rows in order of account and month; a page has PAGE_ROWS at most."""
+    return panel.orderBy("account_id", "performance_date").offset(offset).limit(min(limit, PAGE_ROWS))
+
+
+#: Most rows of a page.
+PAGE_ROWS = 2000
+
+
+def structure_sample(panel: DataFrame, accounts: int = 3, rows: int = 4) -> DataFrame:
+    """The first months of the first accounts, to show how a panel is built."""
+    first = panel.select("account_id").distinct().orderBy("account_id").limit(accounts)
+    nth = F.row_number().over(Window.partitionBy("account_id").orderBy("performance_date"))
+    return panel.join(F.broadcast(first), "account_id", "left_semi").withColumn("_nth", nth).filter(F.col("_nth") <= rows).drop("_nth")
+
+
+def account_dimension(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per account: each column's first value that isn't null."""
+    first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("performance_date"))).alias(c) for c in columns]
+    return panel.groupBy("account_id").agg(*first)
+
+
+#: Markers of a column's unit by its name, in order of precedence; of roles, the names of the canonical panel.
+UNITS = [
+    ("currency", ["balance", "amount", "payment", "income", "noi", "exposure", "loss", "recovery", "committed", "drawn", "value"]),
+    ("percent", ["ltv", "cltv", "utilisation", "utilization", "dti", "rollover_pct", "_pct", "rate_pct"]),
+    ("count", ["count", "trades", "inquiries", "_id", "term", "months", "seq", "n_"]),
+    ("score", ["score", "fico", "rating", "dscr"]),
+]
+IDENTIFIERS, DATES = ["account_id"], ["performance_date", "origination_date"]
+OUTCOMES = ["lgd_realised", "recovery_amount", "loss_amount", "exposure_at_default", "workout_months", "terminal_event", "status"]
+
+
+def unit_of(column: str) -> str:
+    name = column.lower()
+    if name.endswith(("_id", "_id_numeric")):
+        return "identifier"
+    if name == "interest_rate":
+        return "decimal_rate"
+    return next((unit for unit, marks in UNITS if any(m in name for m in marks)), "number")
+
+
+def role_of(column: str, target: str = "default_flag", drivers: Sequence[str] = ()) -> str:
+    for role, names in (("identifier", IDENTIFIERS), ("date", DATES), ("target", [target]), ("outcome", OUTCOMES), ("driver", drivers)):
+        if column in names:
+            return role
+    return "other" if column.endswith(("_id", "_numeric")) else "candidate"
+
+
+def column_catalogue(df: DataFrame, target: str = "default_flag", drivers: Sequence[str] = ()) -> DataFrame:
+    """By column its role, unit, different values, missing share and whether it is constant."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[x for i, c in enumerate(df.columns) for x in (F.count_distinct(f"`{c}`").alias(f"u{i}"), F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}"))])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(role_of(c, target, drivers)).alias("role"), F.lit(unit_of(c)).alias("unit"), F.col(f"u{i}").alias("n_unique"), F.round(100 * F.col(f"m{i}") / F.col("_n"), 6).alias("missing_pct"), (F.col(f"u{i}") <= 1).alias("constant")) for i, c in enumerate(df.columns)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def cohort_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns that name a cohort: by their name, or as they hold whole years from 1970 to 2049 only, 60 different ones at most."""
+    whole = lambda x: F.bool_and((x == F.round(x)) & x.between(1970, 2049))
+    one = df.agg(*[x for c in columns for x in (F.count_distinct(c).alias(f"u_{c}"), whole(F.expr(f"try_cast(`{c}` AS double)")).alias(f"y_{c}"))])
+    named = lambda c: any(m in c.lower() for m in ("vintage", "cohort"))
+    rows = [F.struct(F.lit(c).alias("column_name"), (F.lit(named(c)) | (F.coalesce(F.col(f"y_{c}"), F.lit(False)) & (F.col(f"u_{c}") <= 60))).alias("cohort_label")) for c in columns]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def fit_window(panel: DataFrame, boundary: str, target: str = "default_flag", months: int = 12, events: int = 200) -> DataFrame:
+    """What lies before a boundary: rows, months, events, and what is too little of it."""
+    early = panel.filter(F.col("performance_date") < F.lit(boundary).cast("date"))
+    g = early.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("performance_date").alias("months"), F.coalesce(F.sum(target), F.lit(0)).cast("long").alias("events"))
+    note = F.when(F.col("n") == 0, "no rows before the boundary").when(F.col("months") < months, f"less than {months} months").when(F.col("events") < events, f"less than {events} events").otherwise("enough")
+    return g.withColumn("note", note)
+
+
+def repeated_values(df: DataFrame, columns: Sequence[str], k: int = 6) -> DataFrame:
+    """By column its k most frequent values, with their share of the rows that have one."""
+    cells = unpivoted(df, list(columns)).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    total = cells.groupBy("name").agg(F.sum("n").alias("_all"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))
+    # Of each name and hash range first, so that no task ranks all values of a column.
+    part = F.row_number().over(Window.partitionBy("name", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy(F.desc("n"), "value"))
+    top = cells.withColumn("_part", part).filter(F.col("_part") <= k).withColumn("place", place).filter(F.col("place") <= k)
+    return top.join(F.broadcast(total), "name").select(F.col("name").alias("column_name"), "place", "value", "n", F.round(F.col("n") / F.col("_all"), 8).alias("share"))
+
+
+def skew_notes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """By column the skew of its values and of log(1 + value) (null where a value is negative), a note, and whether the logarithm helps."""
+    cells = unpivoted(df, list(columns)).filter("value IS NOT NULL").groupBy("name", F.col("value").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).persist()
+    own = cells.select("name", "c", "v", F.when(F.col("v") > -1, F.log1p(F.col("v"))).alias("l"), F.col("v").alias("_v"))
+    ends = own.groupBy("name").agg(F.min("_v").alias("lo"), F.sum("c").alias("n"), *[(F.sum(F.col(x) * F.col("c")) / F.sum("c")).alias(f"m_{x}") for x in "vl"])
+    d = own.join(F.broadcast(ends), "name")
+    moment = lambda x, k: F.sum(F.pow(F.col(x) - F.col(f"m_{x}"), F.lit(k)) * F.col("c")) / F.first("n")
+    m = d.groupBy("name").agg(F.first("lo").alias("lo"), *[moment(x, k).alias(f"{x}{k}") for x in "vl" for k in (2, 3)])
+    skew = lambda x: F.when(F.col(f"{x}2") > 1e-18, F.col(f"{x}3") / F.pow(F.col(f"{x}2"), F.lit(1.5)))
+    raw, logged = skew("v"), F.when(F.col("lo") >= 0, skew("l"))
+    size = F.abs(raw)
+    note = F.when(size < 0.5, "nearly symmetric").when(size < 1, "moderately skewed").when(size < 2, "strongly skewed").otherwise("extremely skewed")
+    return m.select(F.col("name").alias("column_name"), F.round(raw, 6).alias("skew"), F.round(logged, 6).alias("log_skew"), note.alias("note"), F.coalesce((size >= 1) & (F.abs(logged) < size / 2), F.lit(False)).alias("log_helps"))
+
+
+def severity_coverage(panel: DataFrame, severity: str = "lgd_realised", target: str = "default_flag", freq: str = "QS", least: int = 5) -> DataFrame:
+    """Defaults, observed severities, and periods in which enough of them are seen or too few."""
+    g = panel.filter(F.col(target) == 1).groupBy(period_of(F.col("performance_date"), freq).alias("p")).agg(F.count(F.lit(1)).alias("d"), F.count(severity).alias("o"))
+    return g.agg(F.sum("d").alias("defaults"), F.sum("o").alias("observed"), F.count_if(F.col("o") >= least).alias("periods_shown"), F.count_if(F.col("o") < least).alias("periods_thin"))
+
+
+def candidate_columns(df: DataFrame, target: str = "default_flag", never: Sequence[str] = ()) -> DataFrame:
+    """By column whether it may be screened, and why not: identifiers, dates, outcomes, the target, refused or constant ones."""
+    why = F.when(~F.col("role").isin("candidate", "driver"), F.col("role")).when(F.col("column_name").isin(*never), "refused").when(F.col("constant"), "constant")
+    return column_catalogue(df, target).select("column_name", why.isNull().alias("screened"), F.coalesce(why, F.lit("")).alias("reason"))
+
+
+def column_kinds(df: DataFrame, columns: Sequence[str], most: int = 12) -> DataFrame:
+    """By column how it is described: as numeric if it has more different values than a category would, else as categorical."""
+    own = unpivoted(df, list(columns)).filter("value IS NOT NULL").groupBy("name").agg(F.count_distinct("value").alias("n_unique"))
+    return own.select(F.col("name").alias("column_name"), "n_unique", F.when(F.col("n_unique") > most, "numeric").otherwise("categorical").alias("kind"))

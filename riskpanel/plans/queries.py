@@ -719,3 +719,6 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return panel_stream.sessions(table(spark, sf, "events"))
+
+
+from . import scenario_queries  # noqa: E402, F401  registers its queries beside these

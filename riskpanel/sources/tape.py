@@ -117,8 +117,9 @@ def ingest(spark: SparkSession, df: DataFrame, mapping: dict[str, str], root: st
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
-    """Records of all ingested books, without reading any panel."""
-    return spark.read.schema("key string, record string").json(f"{root}/*/registry")
+    """Records of all ingested books, without reading any panel; malformed ones are left out."""
+    rows = spark.read.schema("key string, record string").json(f"{root}/*/registry")
+    return rows.filter("key IS NOT NULL AND get_json_object(record, '$.key') = key")
 
 
 def data_dictionary(df: DataFrame) -> DataFrame:
@@ -135,3 +136,25 @@ def read_scenario(spark: SparkSession, path: str, headings: dict[str, str]) -> D
     month = F.make_date(F.regexp_extract("Date", r"(\d{4}) Q(\d)", 1).cast("int"), quarter * 3 - 2, F.lit(1))
     known = [F.struct(F.lit(k).alias("key"), F.expr(f"try_cast(`{h}` AS double)").alias("value")) for h, k in headings.items() if h in raw.columns]
     return raw.select(F.col("Scenario Name").alias("scenario"), month.alias("month"), F.explode(F.array(*known)).alias("x")).select("scenario", "x.key", "month", "x.value")
+
+
+def remapped(df: DataFrame, old: dict[str, str], new: dict[str, str]) -> DataFrame:
+    """A mapped tape under another mapping: names go back to the seller's, then on to the new ones; required columns can't move."""
+    moved = [c for c in REQUIRED if old.get(c) != new.get(c)]
+    if moved:
+        raise TapeError(f"required columns can't be mapped anew: {moved}")
+    return mapped(df.withColumnsRenamed({n: c for n, c in old.items() if n in df.columns}), new)
+
+
+def remove(spark: SparkSession, root: str, key: str) -> bool:
+    """Delete a book's panel and record; False if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def peek(spark: SparkSession, path: str, rows: int = 20) -> tuple[DataFrame, int]:
+    """The first rows of a tape and its number of rows: of parquet from the footers, of CSV by counting lines, without parsing any column."""
+    df = read_tape(spark, path)
+    if path.endswith(".csv"):
+        return df.limit(rows), max(0, spark.read.text(path).filter("length(value) > 0").count() - 1)
+    return df.limit(rows), df.count()
