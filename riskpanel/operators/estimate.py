@@ -128,9 +128,14 @@ def sums(rows: DataFrame, beta: np.ndarray, meat: bool = False) -> tuple[np.ndar
     return square(v[:n]), np.array(v[n : n + k]), float(v[n + k]), int(v[n + k + 1]), square(v[n + k + 2 :]) if meat else np.zeros((k, k))
 
 
-def newton(rows: DataFrame, k: int, l2: float = 0.0, steps: int = 25, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Maximum likelihood with a ridge on all but the intercept; a step that lowers the likelihood is halved."""
+def newton(rows: DataFrame, k: int, l2: float = 0.0, steps: int = 25, tol: float = 1e-8, rate: float | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Maximum likelihood with a ridge on all but the intercept; a step that lowers the likelihood is halved.
+
+    rate: the mean of y, from whose log odds the intercept starts: with rare events that saves passes.
+    """
     beta, penalty = np.zeros(k), l2 * np.diag([0.0, *[1.0] * (k - 1)])
+    if rate and 0 < rate < 1:
+        beta[0] = np.log(rate / (1 - rate))
     h, g, ll, n, _ = sums(rows, beta)
     for _ in range(steps):
         move = np.linalg.lstsq(h + penalty, g - penalty @ beta, rcond=None)[0]
@@ -153,9 +158,9 @@ def fit_logistic(train: DataFrame, target: str, treatments: dict[str, str], l2:
     terms = fit_terms(train, target, treatments) if terms is None else terms
     rows, names = design(train.filter(F.col(target).isNotNull()), terms, F.col(target).cast("double").alias("y"))
     rows = rows.persist()
-    rows.count()
+    rate = rows.agg(F.avg("y")).first()[0]
     train.unpersist()
-    beta, h, ll, n = newton(rows, len(names), l2)
+    beta, h, ll, n = newton(rows, len(names), l2, rate=rate)
     inverse = np.linalg.pinv(h)
     if robust:
         inverse = inverse @ sums(rows, beta, meat=True)[4] @ inverse

@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 RANGES = (64, 1024)
 
 
+def ranged(df: DataFrame, value: str, marks: str, to: str, n: int) -> DataFrame:
+    """df with the number of marks (a sorted array of n - 1, n a power of two) at or below value: a search by halves, in compiled code."""
+    out, step = df.withColumn(to, F.lit(0)), n // 2
+    while step:
+        at = F.col(marks)[F.col(to) + (step - 1)]
+        out, step = out.withColumn(to, F.col(to) + F.when(F.col(value) >= at, step).otherwise(0)), step // 2
+    return out
+
+
 def running_totals(table: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """table (one row per value, within by) with before_<s>, the total of s over smaller values, and all_<s>, over all."""
     keys = list(by) or ["_all"]
     own = table if by else table.withColumn("_all", F.lit(1))
-    n = max(RANGES[0], min(RANGES[1], int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(RANGES[0], min(RANGES[1], 1 << (int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     marks = own.groupBy(*keys).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 2 * RANGES[1]).alias("_marks"))
-    own = own.join(F.broadcast(marks) if not by else marks, keys).withColumn("_range", F.size(F.filter("_marks", lambda m: m <= F.col(value)))).drop("_marks")
+    # Groups are columns, periods, segments or scenarios: few, with a short array each. A join by their keys would
+    # bring all values of a group to one task.
+    own = ranged(own.join(F.broadcast(marks), keys), value, "_marks", "_range", n).drop("_marks")
     totals = own.groupBy(*keys, "_range").agg(*[F.sum(s).alias(s) for s in sums])
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
