@@ -9,6 +9,8 @@ import pytest
 from riskpanel.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Queries that have no row on the smallest tables: no quarter has 400 rows there. test_cohort_intervals tests them.
+SPARSE = {"cohort_intervals"}
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
 
 
@@ -39,5 +41,5 @@ def test_query(spark, db, name):
         said = db.sql(ORACLE_SQL[name])
         assert sorted(df.columns) == sorted(said.columns)
         assert rows(df.columns, found) == rows(said.columns, said.fetchall())
-    else:
+    elif name not in SPARSE:
         assert found
