@@ -284,17 +284,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batche
     ones = slim.select("_id", *by, "_text").join(grown(lists), by).filter(F.col("_id").eqNullSafe(F.col("_one"))).select(*by, "_text", "sought")
     around = stored(ones.mapInPandas(context_rows, f"{TEXT}, seed long, digest long, first int, windows int, around binary"), "contexts")
 
-    # Equal surroundings are counted; all windows of those with two or more are repeated.
-    each = around.groupBy("seed", "digest").agg(F.count(F.lit(1)).alias("times"))
+    # Equal surroundings are counted; all windows of those with two or more are repeated. One row of each stands for them.
+    place = ["_h1", "_h2", "first"]
+    each = around.groupBy("seed", "digest").agg(F.count(F.lit(1)).alias("times"), F.max(F.struct(*place)).alias("one"))
     each = stored(each, "digests")
     several = each.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     several = stored(several, "several")
-    once = each.filter("times = 1").join(grown(several), "seed").select("seed", "digest", "chunks")
-    shared = each.filter("times > 1").join(grown(several), "seed").select("seed", "digest", "chunks")
-    lone = around.join(grown(once), ["seed", "digest"]).select("seed", "digest", "chunks", "windows", "around")
-    # Of surroundings with copies one row is enough for the others to match.
-    rep = around.join(grown(shared), ["seed", "digest"]).groupBy("seed", "digest", "chunks").agg(F.max(F.struct("windows", "around")).alias("x")).select("seed", "digest", "chunks", "x.windows", "x.around")
-    compare = stored(lone.unionByName(rep), "compare")
+    chosen = each.join(grown(several), "seed").select("seed", "digest", "chunks", "one.*")
+    # The join is by place too, so that no task gets all copies of one surrounding.
+    compare = around.join(grown(chosen), ["seed", "digest", *place]).select("seed", "digest", "chunks", "windows", "around")
+    compare = stored(compare, "compare")
     runs = compare.filter("chunks = 1").repartition("seed").sortWithinPartitions("seed").select("seed", "digest", "windows", "around").mapInPandas(matched_runs, "seed long, digest long, runs array<int>")
     chunked = compare.filter("chunks > 1").withColumn("chunk", F.pmod("digest", "chunks"))
     blocks = chunked.groupBy("seed", "chunk").applyInPandas(window_blocks, "seed long, block long, prints array<long>, digests array<long>, nths array<int>")
