@@ -50,7 +50,7 @@ def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: fl
     return chosen
 
 
-def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps: int = 30, tol: float = 1e-10) -> DataFrame:
+def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps: int = 30, tol: float = 1e-8) -> DataFrame:
     """Logistic fits of all combinations at once: combo, n, log likelihood, BIC on events, and coefficients.
 
     Rows are summed by the values of each combination's columns and kept. A Newton step is one aggregate by
@@ -58,6 +58,7 @@ def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps
     """
     most = max(map(len, combos.values())) + 1
     parts, scale = None, {c: 1.0 for x in combos.values() for c in x}
+    rows = rows.select(target, *scale).persist()
     ends = rows.agg(*[F.max(F.abs(c)).cast("double").alias(c) for c in scale]).first()
     scale = {c: max(ends[c] or 0.0, 1e-12) for c in scale}
     for name, columns in combos.items():
@@ -65,7 +66,8 @@ def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps
         x = [F.lit(1.0), *[F.col(c).cast("double") / scale[c] for c in columns], *[F.lit(0.0)] * (most - 1 - len(columns))]
         own = own.select(F.lit(name).alias("combo"), *[c.alias(f"x{i}") for i, c in enumerate(x)], "n", "e")
         parts = own if parts is None else parts.unionByName(own)
-    parts = parts.persist()
+    # Spread anew once, so that a step has as many tasks as a shuffle and not those of each combination.
+    parts = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).persist()
     pairs = [(i, j) for i in range(most) for j in range(i, most)]
     beta, live, found = {c: np.zeros(most) for c in combos}, set(combos), {}
     for _ in range(steps + 1):
@@ -88,6 +90,7 @@ def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps
         if not live:
             break
     parts.unpersist()
+    rows.unpersist()
     out = []
     for name, columns in combos.items():
         if name in found:
