@@ -19,6 +19,7 @@ def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: fl
 
     Each column's treatment is fitted once; the rows' designs are one persisted array, so trials read no input.
     """
+    train = train.select(target, *candidates).persist()
     terms = {c: estimate.fit_terms(train, target, {c: how})[0] for c, how in candidates.items()}
     places, at = {}, 1
     rows, names = estimate.design(train, list(terms.values()), F.col(target).cast("double").alias("y"))
@@ -26,11 +27,13 @@ def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: fl
         places[c] = list(range(at, at + len(t.columns())))
         at += len(t.columns())
     rows = rows.persist()
+    rate = rows.agg(F.avg("y")).first()[0]
+    train.unpersist()
 
     def fitted(chosen: Sequence[str]) -> float:
         cells = [0, *[i for c in chosen for i in places[c]]]
         own = rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(cells)])
-        return estimate.newton(own, len(cells), steps=10, tol=1e-6)[2]
+        return estimate.newton(own, len(cells), steps=10, tol=1e-6, rate=rate)[2]
 
     chosen: list[tuple[str, float]] = []
     now = fitted([])
