@@ -218,6 +218,14 @@ def clusters(matrix: np.ndarray, threshold: float = 0.7) -> list[int]:
     return [label[i] for i in range(len(matrix))]
 
 
+def representatives(df: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.7) -> DataFrame:
+    """By column its cluster, its information value, and whether it is the one of its cluster to take: that of most information."""
+    label = clusters(gram(df, columns), threshold)
+    iv = {r.column_name: r.iv or 0.0 for r in screen(numeric_screen(df, columns, target)).collect()}  # columns
+    best = {k: max((c for c, m in zip(columns, label, strict=True) if m == k), key=lambda c: iv.get(c, 0.0)) for k in set(label)}
+    return df.sparkSession.createDataFrame([(c, k, iv.get(c, 0.0), best[k] == c) for c, k in zip(columns, label, strict=True)], "column_name string, cluster int, iv double, recommended boolean")
+
+
 def gram(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Correlation matrix of columns, over the rows where all are present."""
     found = correlations(df.dropna(subset=list(columns)), columns).collect()  # pairs of columns

@@ -721,4 +721,4 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return panel_stream.sessions(table(spark, sf, "events"))
 
 
-from . import scenario_queries  # noqa: E402, F401  registers its queries beside these
+from . import scenario_queries, severity_queries  # noqa: E402, F401  register their queries beside these

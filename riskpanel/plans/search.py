@@ -1,58 +1,206 @@
-"""Search: forward choice of terms by likelihood ratio, joint fits of combinations, and the full model run."""
+"""Search: cores by stepwise choice of terms, macro terms beside them, joint fits of combinations, and the full model run."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import sigmoid
-from ..functions.special import chi2_tail
-from ..operators import estimate, evaluate
+from ..functions.special import chi2_tail, normal_tail
+from ..operators import binning, estimate, evaluate
 
 
-def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: float = 0.05, most: int = 8, tell: Callable[[str], None] | None = None) -> list[tuple[str, float]]:
-    """Columns in the order in which they enter, with their p-values: each is the best by likelihood ratio given those before.
+#: Marks of columns that move with the cycle, and may take up what macro terms should explain (fixed values).
+CYCLICAL = ("current_ltv", "cltv", "utilization", "utilisation", "delinq", "dpd")
+
+
+def cyclical(columns: Sequence[str]) -> list[str]:
+    return [c for c in columns if any(m in c.lower() for m in CYCLICAL)]
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How terms enter and leave: by p-value, or by AIC or BIC, whose penalty counts events, and a cap on inflation (None: no cap)."""
+
+    metric: str = "bic"
+    enter: float = 0.01
+    leave: float = 0.05
+    screen: float = 0.10
+    most: int | None = None
+    inflation: float | None = 5.0
+    strong: int = 4
+
+    def __post_init__(self) -> None:
+        if self.metric not in ("p_value", "aic", "bic"):
+            raise ValueError(self.metric)
+
+    def gain(self, lr: float, df: int, events: float, limit: float) -> tuple[bool, float]:
+        """Whether df more parameters pay for a likelihood ratio of lr, and a score that is less for a stronger term."""
+        if self.metric == "p_value":
+            p = chi2_tail(max(lr, 0.0), max(df, 1))
+            return p < limit, p
+        delta = df * (2.0 if self.metric == "aic" else math.log(max(events, 2))) - lr
+        return delta < 0, delta
+
+
+class Trials:
+    """The designs of all candidates, fitted and kept once, any subset of which is fitted without another read of the input."""
+
+    def __init__(self, train: DataFrame, target: str, candidates: dict[str, str]) -> None:
+        train = train.select(target, *candidates).filter(F.col(target).isNotNull()).persist()
+        ends = train.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(candidates)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(candidates)]).first()
+        #: Columns of one value, or none, which no fit can estimate.
+        self.constant = [c for i, c in enumerate(candidates) if ends[f"a{i}"] == ends[f"b{i}"]]
+        self.terms = {c: estimate.fit_terms(train, target, {c: how})[0] for c, how in candidates.items() if c not in self.constant}
+        self.places, at = {}, 1
+        for c, t in self.terms.items():
+            self.places[c] = list(range(at, at + len(t.columns())))
+            at += len(t.columns())
+        self.width = at
+        rows, _ = estimate.design(train, list(self.terms.values()), F.col(target).cast("double").alias("y"))
+        self.rows = rows.persist()
+        s = self.rows.agg(F.avg("y").alias("rate"), F.sum("y").alias("events")).first()
+        self.rate, self.events, self.known, self.r = s.rate, s.events or 0.0, {}, None
+        train.unpersist()
+
+    def fitted(self, chosen: Sequence[str]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood, coefficients and information matrix; a subset is fitted once."""
+        key = tuple(sorted(chosen))
+        if key not in self.known:
+            cells = [0, *[i for c in key for i in self.places[c]]]
+            own = self.rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(cells)])
+            beta, h, ll, _ = estimate.newton(own, len(cells), steps=10, tol=1e-6, rate=self.rate)
+            self.known[key] = ll, beta, h
+        return self.known[key]
+
+    def width_of(self, column: str) -> int:
+        return len(self.places[column])
+
+    def inflation(self, chosen: Sequence[str]) -> float:
+        """The greatest generalised inflation of the chosen terms; correlations of all cells are summed once."""
+        if len(chosen) < 2:
+            return 1.0
+        if self.r is None:
+            self.r = binning.gram(self.rows, [f"x{i}" for i in range(1, self.width)])
+        cells = [i - 1 for c in chosen for i in self.places[c]]
+        groups, at = {}, 0
+        for c in chosen:
+            groups[c] = list(range(at, at + self.width_of(c)))
+            at += self.width_of(c)
+        return max(binning.generalised_vif(self.r[np.ix_(cells, cells)], groups).values())
+
+    def close(self) -> None:
+        self.rows.unpersist()
 
-    Each column's treatment is fitted once; the rows' designs are one persisted array, so trials read no input.
-    """
-    train = train.select(target, *candidates).persist()
-    terms = {c: estimate.fit_terms(train, target, {c: how})[0] for c, how in candidates.items()}
-    places, at = {}, 1
-    rows, names = estimate.design(train, list(terms.values()), F.col(target).cast("double").alias("y"))
-    for c, t in terms.items():
-        places[c] = list(range(at, at + len(t.columns())))
-        at += len(t.columns())
-    rows = rows.persist()
-    rate = rows.agg(F.avg("y")).first()[0]
-    train.unpersist()
-
-    def fitted(chosen: Sequence[str]) -> float:
-        cells = [0, *[i for c in chosen for i in places[c]]]
-        own = rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(cells)])
-        return estimate.newton(own, len(cells), steps=10, tol=1e-6, rate=rate)[2]
 
+def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: float = 0.05, most: int = 8, tell: Callable[[str], None] | None = None) -> list[tuple[str, float]]:
+    """Columns in the order in which they enter, with their p-values: each is the best by likelihood ratio given those before."""
+    trials = Trials(train, target, candidates)
     chosen: list[tuple[str, float]] = []
-    now = fitted([])
     while len(chosen) < most:
-        trials = {c: fitted([*[x for x, _ in chosen], c]) for c in candidates if c not in dict(chosen)}
-        if not trials:
+        own = [c for c, _ in chosen]
+        now = trials.fitted(own)[0]
+        gains = {c: trials.fitted([*own, c])[0] - now for c in trials.terms if c not in own}
+        if not gains:
             break
-        best = max(trials, key=trials.get)
-        p = chi2_tail(max(0.0, 2 * (trials[best] - now)), len(places[best]))
+        best = max(gains, key=gains.get)
+        p = chi2_tail(max(0.0, 2 * gains[best]), trials.width_of(best))
         if p > enter:
             break
         chosen.append((best, p))
-        now = trials[best]
         if tell:
             tell(f"{best} enters, p = {p:.3g}")
-    rows.unpersist()
+    trials.close()
     return chosen
 
 
+def cores(train: DataFrame, target: str, candidates: dict[str, str], rules: Rules = Rules(), expert: Sequence[str] = (), tell: Callable[[str], None] | None = None) -> dict[str, list[tuple[str, str, float]]]:
+    """Cores by name (stepwise, strong, expert), each the trace of its building: (action, column, value).
+
+    stepwise: the best term enters while one pays and keeps every inflation within the cap; then the weakest leaves while
+    it doesn't pay. strong: its rules.strong terms of greatest likelihood ratio, if it has more. expert: the given list.
+    Actions: unfit (one value), enter and leave (score), blocked (the inflation that kept it out), keep (likelihood ratio),
+    expert (likelihood ratio), cyclical (a warning). A core of the same columns as one before it is left out.
+    """
+    trials = Trials(train, target, candidates)
+    trace = [("unfit", c, 0.0) for c in trials.constant]
+    chosen: list[str] = []
+    blocked: dict[str, float] = {}
+
+    def drop(c: str, own: Sequence[str]) -> float:
+        return 2 * (trials.fitted(own)[0] - trials.fitted([x for x in own if x != c])[0])
+
+    while rules.most is None or len(chosen) < rules.most:
+        paying = {}
+        for c in trials.terms:
+            if c in chosen:
+                continue
+            pays, score = rules.gain(drop(c, [*chosen, c]), trials.width_of(c), trials.events, rules.enter)
+            worst = trials.inflation([*chosen, c]) if pays and rules.inflation else 1.0
+            if pays and rules.inflation and worst > rules.inflation:
+                blocked[c] = worst
+            elif pays:
+                paying[c] = score
+        if not paying:
+            break
+        best = min(paying, key=paying.get)
+        chosen.append(best)
+        blocked.pop(best, None)
+        trace.append(("enter", best, paying[best]))
+        if tell:
+            tell(f"{best} enters")
+    trace += [("blocked", c, v) for c, v in sorted(blocked.items())]
+    while len(chosen) > 1:
+        scores = {c: rules.gain(drop(c, chosen), trials.width_of(c), trials.events, rules.leave) for c in chosen}
+        idle = {c: score for c, (pays, score) in scores.items() if not pays}
+        if not idle:
+            break
+        worst = max(idle, key=idle.get)
+        chosen.remove(worst)
+        trace.append(("leave", worst, idle[worst]))
+    found: dict[str, tuple[list[str], list]] = {}
+
+    def add(name: str, columns: Sequence[str], steps: list) -> None:
+        if columns and all(set(columns) != set(c) for c, _ in found.values()):
+            found[name] = list(columns), [*steps, *[("cyclical", c, 0.0) for c in cyclical(columns)]]
+
+    add("stepwise", chosen, trace)
+    if len(chosen) > rules.strong:
+        lr = {c: drop(c, chosen) for c in chosen}
+        kept = sorted(sorted(chosen, key=lambda c: -lr[c])[: rules.strong], key=chosen.index)
+        add("strong", kept, [("keep", c, lr[c]) for c in kept])
+    named = [c for c in expert if c in trials.terms]
+    add("expert", named, [("expert", c, drop(c, named)) for c in named])
+    trials.close()
+    return {name: steps for name, (_, steps) in found.items()}
+
+
+def macro_screen(train: DataFrame, target: str, core: dict[str, str], priors: dict[str, int | None], rules: Rules = Rules()) -> DataFrame:
+    """By macro term, fitted beside the core: coefficient, p, whether it is kept, and why not: its sign is against the
+    prior (None: no prior), its p is not within the screen, or it has one value only.
+    """
+    trials = Trials(train, target, {**core, **{t: "scaled" for t in priors}})
+    own, out = [c for c in core if c in trials.terms], []
+    for term, prior in priors.items():
+        if term not in trials.terms:
+            out.append((term, None, None, False, "one value"))
+            continue
+        names = sorted([*own, term])
+        _, beta, h = trials.fitted(names)
+        at = 1 + sum(trials.width_of(c) for c in names[: names.index(term)])
+        se = math.sqrt(max(float(np.linalg.pinv(h)[at, at]), 0.0))
+        b, p = float(beta[at]), normal_tail(float(beta[at]) / se) if se else 1.0
+        why = "sign" if prior is not None and (1 if b > 0 else -1) != prior else "p" if p >= rules.screen else ""
+        out.append((term, round(b, 6), round(p, 8), not why, why))
+    trials.close()
+    return train.sparkSession.createDataFrame(out, "term string, beta double, p_value double, kept boolean, reason string")
+
+
 def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps: int = 30, tol: float = 1e-8) -> DataFrame:
     """Logistic fits of all combinations at once: combo, n, log likelihood, BIC on events, and coefficients.
 
