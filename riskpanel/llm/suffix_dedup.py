@@ -5,10 +5,13 @@ else, in the same text or another. Each window of LENGTH bytes has an anchor: th
 SEED bytes, has the least hash (the last of equal ones). Equal windows have equal anchors at equal
 places, so only the suffixes that start at anchors are indexed, one in about eighty.
 
-The index is a family of levels, each an array of suffixes in order of their seeds. A new batch of texts gets
-its array and is merge-scanned against the levels: seeds that batch and levels hold twice or more are where
-long matches can be. Then the batch becomes a level, and levels of equal size merge, as in binary
-counting, so that each entry is merged a logarithmic number of times.
+The index is a family of levels. Each is a sparse suffix array: the suffixes that start at anchors, in order of
+their first SEED bytes over all its files, with the first and the last text and place of each; suffixes that
+agree in those bytes share an entry, so a passage of a thousand copies is one. A new batch of texts gets its
+array and is merge-scanned against one level after another: an entry that two arrays hold, or that a batch
+holds twice, is where a long match can be. Then the batch becomes a level, and levels of equal size merge, as
+in binary counting, so that each entry is merged a logarithmic number of times. Levels are Parquet
+in a folder that a later run opens again, to add its batch.
 
 The windows around repeated anchors are then matched in full. Equal surroundings are counted, not
 compared; different ones of one seed have their windows sorted by a 64-bit fingerprint. Where a seed is very
@@ -22,14 +25,16 @@ columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, grown, mixed, ship, stored, text_key
+from .common import dropped, grown, mixed, shared_dir, ship, stored, text_key, without_shuffle_files
 
 LENGTH, SEED, BATCHES = 200, 32, 4
 #: Different surroundings of one seed that one task compares at a time; more are split into chunks.
@@ -38,6 +43,8 @@ CHUNK = 512
 PIECE, PLACE_BITS = 1 << 20, 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TEXT = "_h1 long, _h2 long"
+#: An entry of a level: a suffix's first SEED bytes and their hash, the first and the last text (its hash) and place that it starts at.
+LEVEL = "suffix binary, seed long, lo struct<text: long, at: int>, hi struct<text: long, at: int>"
 
 
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -118,18 +125,20 @@ def pieces(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
 
 
 def seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text's different seeds, and how often it has each, at most 2."""
+    """Each text's different suffixes at anchors: the seed's hash and its bytes, first and last place."""
     for batch in batches:
         for rows, texts in pieces(batch):
-            seeds, times = [[] for _ in texts], [[] for _ in texts]
-            owner, seed = anchors(texts)[:2]
-            order = np.lexsort((seed, owner))
-            owner, seed = owner[order], seed[order]
+            lists = {x: [[] for _ in texts] for x in ("seeds", "suffixes", "firsts", "lasts")}
+            owner, seed, at = anchors(texts)[:3]
+            order = np.lexsort((at, seed, owner))
+            owner, seed, at = owner[order], seed[order], at[order]
             begins, ends = ranges(owner, seed)
-            owner, seed, count = owner[begins], seed[begins], np.minimum(ends - begins, 2)
+            owner, seed, first, last = owner[begins], seed[begins], at[begins], at[ends - 1]
             for lo, hi in zip(*ranges(owner), strict=True):
-                seeds[owner[lo]], times[owner[lo]] = seed[lo:hi], count[lo:hi]
-            yield rows.drop(columns="_text").assign(seeds=seeds, times=times)
+                o = owner[lo]
+                lists["seeds"][o], lists["firsts"][o], lists["lasts"][o] = seed[lo:hi], first[lo:hi], last[lo:hi]
+                lists["suffixes"][o] = [texts[o][x : x + SEED] for x in first[lo:hi].tolist()]
+            yield rows.drop(columns="_text").assign(**lists)
 
 
 def context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,44 +246,100 @@ def cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 ship(__name__)
 
 
-class Family:
-    """The levels: tables of seed, first and last text that holds it, and whether a text has it twice."""
+def merged(entries: DataFrame) -> DataFrame:
+    """One entry of each suffix."""
+    return entries.groupBy("suffix").agg(F.max("seed").alias("seed"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+class Family:
+    """The levels of an index in a folder that all machines share, which may hold some already.
+
+    A level is a folder batches=FROM-TO of Parquet; it is one if Spark's _SUCCESS is there and no other covers its batches, so a
+    run that breaks off between writing a merged level and deleting its parts leaves a sound index.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.levels: list[tuple[int, int]] = []
+        if self._files.exists(self._folder):
+            spans = []
+            for x in self._files.listStatus(self._folder):
+                if self._files.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")):
+                    begin, end = x.getPath().getName().removeprefix("batches=").split("-")
+                    spans.append((int(begin), int(end)))
+            for begin, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+                if not self.levels or begin >= self.levels[-1][1]:
+                    self.levels.append((begin, end))
+
+    def at(self, begin: int, end: int) -> str:
+        return f"{self.path}/batches={begin}-{end}"
+
+    def level(self, begin: int, end: int) -> DataFrame:
+        return self.spark.read.schema(LEVEL).parquet(self.at(begin, end))
+
+    def write(self, entries: DataFrame, begin: int, end: int) -> None:
+        """Entries, few of each suffix, meet by ranges of the suffixes' bytes, become one, and are written in that order."""
+        with without_shuffle_files(self.spark):
+            merged(entries.repartitionByRange("suffix")).sortWithinPartitions("suffix").write.mode("overwrite").parquet(self.at(begin, end))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Insert a batch (seed, lo, hi, times). Returns the seeds that batch and levels hold twice or more."""
-        held = [batch.withColumn("new", F.lit(1)), *(x.withColumn("new", F.lit(0)) for _, x in self.levels)]
-        every = held[0]
-        for x in held[1:]:
-            every = every.unionByName(x)
-        scanned = every.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("times").alias("times"), F.max("new").alias("new"))
-        twice = stored(scanned.filter("new = 1 AND (lo != hi OR times > 1)").select("seed"), "twice")
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            size, batch = 2 * size, batch.unionByName(self.levels.pop()[1])
-        merged = batch.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("times").alias("times"))
-        self.levels.append((size, stored(merged.sortWithinPartitions("seed"), "level")))
+        """Insert a batch (suffix, seed, lo, hi; lo and hi are text and place). Returns the seeds that batch and levels hold twice or more."""
+        begin = self.levels[-1][1] if self.levels else 0
+        end = begin + 1
+        self.write(merged(batch), begin, end)
+        new = self.level(begin, end)
+        twice = new.filter("lo != hi").select("seed")
+        for level in self.levels:
+            twice = twice.unionByName(new.join(grown(self.level(*level).select("suffix")), "suffix", "left_semi").select("seed"))
+        twice = stored(twice.distinct(), "twice")
+        parts = [(begin, end)]
+        while self.levels and self.levels[-1][1] - self.levels[-1][0] == sum(y - x for x, y in parts):
+            parts.append(self.levels.pop())
+        if len(parts) > 1:
+            begin = parts[-1][0]
+            self.write(reduce(DataFrame.unionByName, [self.level(*x) for x in parts]), begin, end)
+            for x in parts:
+                self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.at(*x)), True)
+        self.levels.append((begin, end))
         return twice
 
+    def drop(self) -> None:
+        """Delete all levels."""
+        self._files.delete(self._folder, True)
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """The rows (_id, text key, n_bytes, sha256) and, by text key, what is left of the texts that lose bytes: kept, n_removed, n_spans."""
-    slim = docs.select(F.col(id_col).alias("_id"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    slim = slim.withColumns({"n_bytes": F.octet_length("_text").cast("long"), "sha256": F.sha2(F.col("_text"), 256)})
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = BATCHES, index: str | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (_id, text key, n_bytes, sha256) and, by text key, what is left of the texts that lose bytes: kept, n_removed, n_spans.
+
+    The texts go into the index in batches. An index with a name is a folder that stays. Where it holds batches of earlier runs, known
+    must be the rows of those runs: docs lose the strings that also start in them, and their own verdicts are not given again. Known texts are read
+    for the suffixes that the scan has found, but are neither sorted nor shuffled anew.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(slim.mapInPandas(seed_rows, f"_id {kind}, {TEXT}, n_bytes long, sha256 string, seeds array<long>, times array<int>"), "seeds")
+    pick = lambda df, new: df.select(F.col(id_col).cast(kind).alias("_id"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.lit(new).alias("_new"))
+    slim = pick(docs, True)
+    if known is not None:
+        slim = slim.unionByName(pick(known, False))
+    slim = slim.withColumns({"n_bytes": F.octet_length("_text").cast("long"), "sha256": F.sha2(F.col("_text"), 256)})
+    lists = "seeds array<long>, suffixes array<binary>, firsts array<int>, lasts array<int>"
+    found_seeds = stored(slim.mapInPandas(seed_rows, f"_id {kind}, {TEXT}, _new boolean, n_bytes long, sha256 string, {lists}"), "seeds")
     by = ["_h1", "_h2"]
 
-    family, found = Family(), None
+    family = Family(docs.sparkSession, index or f"{shared_dir(docs.sparkSession)}/riskpanel/{uuid.uuid4().hex}/family")
+    found = None
     for b in range(batches):
-        own = rows.filter(F.pmod(F.xxhash64(*by, F.lit(3)), F.lit(batches)) == b)
-        entries = own.select("_h1", F.explode(F.arrays_zip("seeds", "times")).alias("x")).groupBy(F.col("x.seeds").alias("seed"))
-        entries = entries.agg(F.min("_h1").alias("lo"), F.max("_h1").alias("hi"), F.max("x.times").alias("times"))
-        twice = family.add(entries)
+        own = found_seeds.filter("_new").filter(F.pmod(F.xxhash64(*by, F.lit(3)), F.lit(batches)) == b)
+        own = own.select("_h1", F.explode(F.arrays_zip("seeds", "suffixes", "firsts", "lasts")).alias("x"))
+        place = lambda x: F.struct(F.col("_h1").alias("text"), F.col(f"x.{x}").alias("at"))
+        twice = family.add(own.select(F.col("x.suffixes").alias("suffix"), F.col("x.seeds").alias("seed"), place("firsts").alias("lo"), place("lasts").alias("hi")))
         found = twice if found is None else found.unionByName(twice)
     sought = stored(found.distinct(), "sought")
+    rows = stored(found_seeds.select("_id", *by, "_new", "n_bytes", "sha256", "seeds"), "rows")
+    dropped(found_seeds)
+    if index is None:
+        family.drop()
 
     # One row of each text stands for all.
     texts = rows.filter(F.col("n_bytes") >= LENGTH).groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), F.max(F.struct("_id", "seeds")).alias("x"))
@@ -312,12 +377,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batche
     dropped(around, each, several, compare, runs, spans)
     cut = slim.select(*by, "_text").join(grown(single), by).mapInPandas(cut_rows, f"{TEXT}, kept binary, n_removed long, n_spans long")
     whole = texts.filter("copies > 1").select(*by, F.lit(b"").alias("kept"), F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
-    return rows.select("_id", *by, "n_bytes", "sha256"), cut.unionByName(whole)
+    return rows.filter("_new").select("_id", *by, "n_bytes", "sha256"), cut.unionByName(whole)
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs) and the SHA-256 of what is left, of each row."""
-    rows, cut = removals(docs, id_col, text)
+    rows, cut = removals(docs, id_col, text, **more)
     cut = stored(cut.select("_h1", "_h2", "n_removed", "n_spans", F.sha2("kept", 256).alias("_sha")), "cut")
     out = rows.join(grown(cut), ["_h1", "_h2"], "left")
     zero = F.lit(0).cast("long")

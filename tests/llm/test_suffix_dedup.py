@@ -74,6 +74,31 @@ def test_rolled_is_by_content():
     assert len(got) == len(data) - 199 and len(set(got.tolist())) == 3 and got[0] == got[3]
 
 
+def test_index_over_runs(spark, tmp_path):
+    """A stored index is opened again: new texts lose what also starts in earlier ones, and levels merge as in binary counting."""
+    r = random.Random(8)
+    some = lambda n: "".join(r.choices("abcdefgh \n", k=n))
+    shared = [some(300) for _ in range(6)]
+    runs = [[some(100) + r.choice(shared) + some(100) for _ in range(4)] + [some(500), None, ""] for _ in range(4)]
+    runs[3].append(runs[0][0])
+    path, seen, levels = str(tmp_path / "index"), [], []
+    for run in runs:
+        df = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {x.doc_id: tuple(x)[1:] for x in S.repeated_bytes(df(run), batches=1, index=path, known=df(seen)).collect()}
+        assert got == dict(enumerate(brute(seen + run)[len(seen) :]))
+        seen += run
+        levels.append(S.Family(spark, path).levels)
+    assert levels == [[(0, 1)], [(0, 2)], [(0, 2), (2, 3)], [(0, 4)]]
+    family = S.Family(spark, path)
+    entries = [x.suffix for x in family.level(0, 4).collect()]
+    assert len(set(entries)) == len(entries)
+    # A level is in order over all its files, and a level that another one covers is left aside.
+    ranges = sorted((x.lo, x.hi) for x in family.level(0, 4).groupBy(S.F.input_file_name()).agg(S.F.min("suffix").alias("lo"), S.F.max("suffix").alias("hi")).collect())
+    assert all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))
+    family.write(family.level(0, 4), 2, 4)
+    assert S.Family(spark, path).levels == [(0, 4)]
+
+
 def test_empty_table(spark):
     assert S.repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
