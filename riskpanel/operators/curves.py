@@ -112,3 +112,15 @@ def auto_knots(x: Sequence[float], n: Sequence[float], events: Sequence[float],
         rest = found[:i] + found[i + 1 :]
         found[i] = float(max((c for c in x[1:-1] if c not in rest), key=lambda c: likelihood([*rest, c])))
     return sorted(found)
+
+
+def severity_knots(df: DataFrame, column: str, severity: str, knots: int = 3, resolution: int = 40, least: int = 80) -> list[float]:
+    """Knots of a driver's piecewise-linear severity, by the same search on buckets; none under `least` severities or 6 buckets.
+
+    Buckets are the summed severities of quantile ranges, so a knot must pay for itself by quasi-likelihood.
+    """
+    rows = df.filter(F.col(severity).isNotNull()).withColumn("_s", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(severity))))
+    points = sorted(log_odds_curve(rows, column, "_s", resolution).collect(), key=lambda r: r.bucket)  # resolution buckets
+    if len(points) < 6 or sum(r.n for r in points) < least:
+        return []
+    return auto_knots([r.x for r in points], [r.n for r in points], [r.events for r in points], knots)

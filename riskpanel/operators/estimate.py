@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, sigmoid
 from ..functions.special import normal_tail
+from . import splines
 from .binning import bin_counts, level_counts, quantile_edges, woe_table
 from .ranks import quantiles
 
 
 @dataclass
 class Term:
-    """A column's treatment: scaled, woe, dummies, hinges or vintage levels, with what was fitted."""
+    """A column's treatment: scaled, woe, dummies, hinges, spline (their uncorrelated form) or vintage levels, with what was fitted."""
 
     column: str
     treatment: str
@@ -32,6 +33,8 @@ class Term:
     mean: float = 0.0
     sd: float = 1.0
     missing: float = 0.0
+    center: list[float] = field(default_factory=list)
+    matrix: list[list[float]] = field(default_factory=list)
 
     def columns(self) -> list[tuple[str, Column]]:
         x = F.col(self.column)
@@ -49,6 +52,9 @@ class Term:
         if self.treatment == "hinges":
             v = F.coalesce(x.cast("double"), F.lit(self.missing))
             return [(self.column, (v - self.mean) / self.sd)] + [(f"{self.column}>{k:g}", F.greatest(v - k, F.lit(0.0)) / self.sd) for k in self.edges]
+        if self.treatment == "spline":
+            cells = splines.columns(F.coalesce(x.cast("double"), F.lit(self.missing)), self.edges, self.center, self.matrix)
+            return [(f"{self.column}~{i + 1}", c) for i, c in enumerate(cells)]
         raise ValueError(self.treatment)
 
 
@@ -61,6 +67,9 @@ def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: i
             s = train.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
             q = quantiles(long.withColumn("value", F.col("value").cast("double")), "value", [0.5, *[i / bins for i in range(1, bins)]]).first().q
             terms.append(Term(column, how, sorted(set(q[1:])) if how == "hinges" else [], {}, s.m, s.s or 1.0, q[0]))
+        elif how == "spline":
+            q = quantiles(long.withColumn("value", F.col("value").cast("double")), "value", [0.5, *[i / bins for i in range(1, bins)]]).first().q
+            terms.append(spline_term(train, column, q[1:], q[0]))
         elif how in ("woe", "dummies"):
             edges = quantile_edges(long.withColumn("value", F.col("value").cast("double")), bins)
             cells = woe_table(bin_counts(long, edges, "_y")).collect()  # bins
@@ -74,6 +83,12 @@ def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: i
     return terms
 
 
+def spline_term(train: DataFrame, column: str, knots: Sequence[float], missing: float) -> Term:
+    """A spline with these knots, as far as the training rows straddle them."""
+    live, center, matrix = splines.fitted(train, F.coalesce(F.col(column).cast("double"), F.lit(missing)), knots)
+    return Term(column, "spline", live, missing=missing, center=center, matrix=matrix)
+
+
 def design(df: DataFrame, terms: Sequence[Term], *keep: str) -> tuple[DataFrame, list[str]]:
     """keep and the design's cells as columns x0 (1), x1 and so on, with the names of its cells."""
     cells = [("(intercept)", F.lit(1.0)), *[c for t in terms for c in t.columns()]]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, estimate, forms, scenarios, severity
+from ..operators import binning, curves, estimate, forms, quality, scenarios, severity
 from ..sources import panels
 from ..sources.panels import BOOK_SQL, LINES_SQL, NUMERIC, book, lines, unpivot_sql
-from . import search
+from . import search, severity_search
 from .queries import NUMERIC_WOE, query
 
 NUMERIC_DRIVERS = ["current_balance", "committed_amount", "months_on_book", "c_acctbal"]
@@ -167,3 +167,54 @@ def macro_screen(spark: SparkSession, sf: str) -> DataFrame:
     terms = [("ticket", "yoy", 3), ("orders", "yoy", 0)]
     train = scenarios.with_terms(book(spark, sf), panels.macro(spark, sf), terms).filter("performance_date < DATE'2000-01-01'")
     return search.macro_screen(train, "default_flag", {"months_on_book": "scaled"}, {"ticket@yoy@3": -1, "orders@yoy@0": None})
+
+
+@query()
+def severity_cores(spark: SparkSession, sf: str) -> DataFrame:
+    """Cores of a severity model by robust tests, with the trace of each."""
+    trials = severity_search.SeverityTrials(seen_lines(spark, sf).filter("performance_date < DATE'1997-01-01'"), "lgd_realised", ["price", "size", "retail", "quantity"])
+    found = severity_search.cores_of(trials, ["price", "size", "retail", "quantity"], search.Rules(strong=1), expert=["price", "size"])
+    trials.close()
+    return spark.createDataFrame([(c, i, a, v, round(x, 6)) for c, trace in found.items() for i, (a, v, x) in enumerate(trace)], "core string, step int, action string, column_name string, value double")
+
+
+@query()
+def severity_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """Severity models of a core and macro terms, fitted before 1997 and measured before and after."""
+    terms = [("ticket", "yoy", 3), ("orders", "yoy", 0)]
+    seen = scenarios.with_terms(seen_lines(spark, sf), panels.macro(spark, sf), terms)
+    return severity_search.fits(seen, "lgd_realised", {"expert": ["price", "quantity"]}, ["ticket@yoy@3", "orders@yoy@0"], "1997-01-01", search.Rules(screen=1.0))
+
+
+@query()
+def spline_knots(spark: SparkSession, sf: str) -> DataFrame:
+    """Knots of default by age, and of severity by price, found by search."""
+    points = sorted((r for r in curves.log_odds_curve(book(spark, sf), "months_on_book", "default_flag").collect()), key=lambda r: r.bucket)  # 30 buckets
+    age = curves.auto_knots([r.x for r in points], [r.n for r in points], [r.events for r in points])
+    loss = curves.severity_knots(seen_lines(spark, sf), "price", "lgd_realised")
+    return spark.createDataFrame([("months_on_book", "default_flag", age), ("price", "lgd_realised", loss)], "column_name string, target string, knots array<double>")
+
+
+BASIS_SQL = f"""{LINES_SQL}, b0 AS (SELECT y, price AS v, greatest(price - 20000, 0) AS h1, greatest(price - 45000, 0) AS h2 FROM lines),
+b1 AS (SELECT y, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z1, h1 - avg(h1) OVER () AS h1, h2 - avg(h2) OVER () AS h2 FROM b0),
+b2 AS (SELECT y, z1, h1 - z1 * avg(h1 * z1) OVER () AS r, h2 FROM b1), b3 AS (SELECT y, z1, r / stddev_pop(r) OVER () AS z2, h2 FROM b2),
+b4 AS (SELECT y, z1, z2, h2 - z1 * avg(h2 * z1) OVER () - z2 * avg(h2 * z2) OVER () AS r FROM b3), b5 AS (SELECT y, z1, z2, r / stddev_pop(r) OVER () AS z3 FROM b4)"""
+
+
+@query(f"WITH {BASIS_SQL} " + " UNION ALL ".join(f"SELECT 'price~{i}' AS basis, round(min(z{i}), 5) AS least, round(max(z{i}), 5) AS greatest, round(var_pop(z{i}), 6) AS variance, round(avg(z{i} * y), 6) AS with_target FROM b5" for i in (1, 2, 3)))
+def spline_basis(spark: SparkSession, sf: str) -> DataFrame:
+    """The uncorrelated form of a spline; a knot beyond the values earns no column."""
+    rows = lines(spark, sf).select("price", "y").persist()
+    term = estimate.spline_term(rows, "price", [20_000.0, 45_000.0, 1e9], 0.0)
+    cells = [F.struct(F.lit(n).alias("basis"), c.alias("z")) for n, c in term.columns()]
+    g = rows.select("y", F.explode(F.array(*cells)).alias("x")).groupBy("x.basis")
+    z = F.col("x.z")
+    return g.agg(F.round(F.min(z), 5).alias("least"), F.round(F.max(z), 5).alias("greatest"), F.round(F.var_pop(z), 6).alias("variance"), F.round(F.avg(z * F.col("y")), 6).alias("with_target"))
+
+
+DIGESTED = {"account_id": "BIGINT", "current_balance": "DOUBLE", "interest_rate": "DOUBLE", "months_on_book": "INT"}
+
+
+@query(f"""WITH {BOOK_SQL} SELECT substring(sha256(concat_ws('|', {", ".join(f"concat_ws(':', '{c}', " + ", ".join(f"printf('%.5e', {f}({c})::DOUBLE)" for f in ("avg", "stddev_samp", "min", "max")) + ")" for c in sorted(DIGESTED))})), 1, 12) AS digest FROM book""")
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.content_digest(book(spark, sf).select(*DIGESTED, "segment"))

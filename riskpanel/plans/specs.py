@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,7 +40,7 @@ def changes(parent: dict, child: dict) -> list[tuple[str, str]]:
     return found + [("field", k) for k in sorted({*parent, *child} - {"variables"}) if canonical(parent.get(k)) != canonical(child.get(k))]
 
 
-VERSION = "hash string, parent string, label string, spec string, metrics string, saved timestamp"
+VERSION = "hash string, parent string, label string, spec string, metrics string, state string, saved timestamp"
 
 
 class Versions:
@@ -51,13 +51,70 @@ class Versions:
 
     def save(self, spec: dict, metrics: dict, label: str = "", parent: str | None = None) -> str:
         key = identity(spec)
-        row = [(key, parent, label, json.dumps(canonical(spec), sort_keys=True), json.dumps(metrics, sort_keys=True))]
-        self.spark.createDataFrame(row, T.StructType(T._parse_datatype_string(VERSION).fields[:-1])).withColumn("saved", F.current_timestamp()).coalesce(1).write.mode("append").json(self.path)
+        self._append([(key, parent, label, json.dumps(canonical(spec), sort_keys=True), json.dumps(metrics, sort_keys=True), "")])
         return key
 
-    def table(self) -> DataFrame:
+    def _append(self, row: list[tuple]) -> None:
+        self.spark.createDataFrame(row, T.StructType(T._parse_datatype_string(VERSION).fields[:-1])).withColumn("saved", F.current_timestamp()).coalesce(1).write.mode("append").json(self.path)
+
+    def _last(self) -> DataFrame:
         rows = self.spark.read.schema(VERSION).json(self.path)
-        return rows.groupBy("hash").agg(F.max_by(F.struct("parent", "label", "spec", "metrics", "saved"), "saved").alias("x")).select("hash", "x.*")
+        return rows.groupBy("hash").agg(F.max_by(F.struct("parent", "label", "spec", "metrics", "state", "saved"), "saved").alias("x")).select("hash", "x.*")
+
+    def table(self) -> DataFrame:
+        """The versions that are not deleted; state is champion, archived or empty."""
+        return self._last().filter("coalesce(state, '') != 'deleted'")
+
+    def load(self, key: str) -> dict:
+        row = self.table().filter(F.col("hash") == key).first()
+        if row is None:
+            raise KeyError(key)
+        return {**row.asDict(), "spec": json.loads(row.spec), "metrics": json.loads(row.metrics)}
+
+    def mark(self, key: str, state: str) -> None:
+        """Give a version another state: "", archived or deleted. Champions are made by promote."""
+        v = self.load(key)
+        self._append([(key, v["parent"], v["label"], json.dumps(v["spec"], sort_keys=True), json.dumps(v["metrics"], sort_keys=True), state)])
+
+    def delete(self, key: str) -> None:
+        self.mark(key, "deleted")
+
+    def champion(self) -> str | None:
+        row = self.table().filter("state = 'champion'").first()
+        return row.hash if row else None
+
+    def promote(self, key: str) -> None:
+        """Make a version the champion; the one before is archived."""
+        self.load(key)
+        before = self.champion()
+        if before == key:
+            return
+        if before:
+            self.mark(before, "archived")
+        self.mark(key, "champion")
+
+    def compare(self, a: str, b: str) -> DataFrame:
+        """By metric of either version: both values and the difference."""
+        x, y = self.load(a)["metrics"], self.load(b)["metrics"]
+        value = lambda v: None if v is None else float(v)
+        rows = [(m, value(x.get(m)), value(y.get(m))) for m in sorted({*x, *y})]
+        return self.spark.createDataFrame(rows, "metric string, a double, b double").withColumn("change", F.col("b") - F.col("a"))
+
+    def export(self, key: str) -> str:
+        """A version as JSON, which take reads."""
+        v = self.load(key)
+        return json.dumps({k: v[k] for k in ("hash", "parent", "label", "spec", "metrics")}, sort_keys=True)
+
+    def take(self, text: str, refit: Callable[[dict], dict], tol: float = 1e-9) -> str:
+        """Save an exported version, if its hash is that of its specification and a new fit gives its metrics to within tol."""
+        v = json.loads(text)
+        if v.get("hash") != identity(v["spec"]):
+            raise ValueError("the hash is not that of the specification")
+        fresh = refit(v["spec"])
+        off = sorted(m for m, x in v["metrics"].items() if fresh.get(m) is None or abs(fresh[m] - x) > tol)
+        if off:
+            raise ValueError(f"a new fit differs in {', '.join(off)}")
+        return self.save(v["spec"], v["metrics"], v.get("label") or "", v.get("parent"))
 
     def lineage(self, key: str, depth: int = 50) -> list[str]:
         """The version and its ancestors; a chain of at most depth."""
