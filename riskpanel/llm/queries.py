@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_rules, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import grown, shared_dir, stored
 
 
@@ -171,6 +171,34 @@ SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, round(count(*) / n
 FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY k, doc_id, item_id, n HAVING count(*) >= ceil(round(0.8 * n, 6))
 """
 
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds, one after another, over parts as rows; for lengths that are a multiple of 8."""
+    distance = "list_sum(list_transform(generate_series(1, len(v)), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    steps = [
+        r"""k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  QUALIFY len(embedding) = mode(len(embedding)) OVER ())""",
+        "v AS MATERIALIZED (SELECT r, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS v FROM k, range(8) g(p))",
+        "b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS c FROM v WHERE r <= 16)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p, any_value(v) AS v, min((d, e))[2] AS e, min(d) AS d FROM (SELECT r, p, v, e, {distance} AS d FROM v JOIN b{i} USING (p)) GROUP BY r, p)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT p, e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT p, e, v, unnest(generate_series(1, len(v))) AS i FROM a{i}) GROUP BY p, e, i)")
+            steps.append(f"m{i} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{i} GROUP BY p, e)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} USING (p, e))")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})")
+    steps.append(f"o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    return f"WITH {', '.join(steps)}\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM o JOIN k USING (r), h"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -182,5 +210,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_vector_codes": op11_sql()}
