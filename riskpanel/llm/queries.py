@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_rules, sharding, suffix_dedup, token_counts, toxicity, vector_codes
+from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_rules, resampling, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import grown, shared_dir, stored
 
 
@@ -199,6 +199,33 @@ def op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
     return f"WITH {', '.join(steps)}\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM o JOIN k USING (r), h"
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 is said by its rule: a table entry is eight steps of the reflected polynomial.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dw AS (SELECT k, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+bytes AS (SELECT w, list_transform(range(0, len(h), 2), lambda i: ('0x' || substr(h, (i + 1)::INT, 2))::BIGINT) AS b FROM hexed),
+bucket AS MATERIALIZED (SELECT w, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b FROM bytes, steps),
+s AS (SELECT b, count(*) AS s FROM dw JOIN bucket USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bw JOIN bucket USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM (SELECT DISTINCT b FROM bucket) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+m AS (SELECT k, sum(gain)::BIGINT AS total, count(*) AS n FROM dw JOIN bucket USING (w) JOIN g USING (b) GROUP BY k),
+f AS (SELECT k, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+      FROM d LEFT JOIN m USING (k)),
+c AS (SELECT k, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM f),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, 10 * count(*) OVER () // 100 AS most FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM c LEFT JOIN r USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -211,5 +238,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
     "op11_vector_codes": op11_vector_codes,
+    "op13_resample": op13_resample,
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_vector_codes": op11_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_vector_codes": op11_sql(), "op13_resample": OP13_SQL}
