@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_rules, resampling, sharding, suffix_dedup, token_counts, toxicity, vector_codes
+from . import chat_format, cross_polytope, decontaminate, line_dedup, mixing, order_minhash, quality_rules, resampling, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import grown, shared_dir, stored
 
 
@@ -199,6 +199,10 @@ def op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
     return f"WITH {', '.join(steps)}\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM o JOIN k USING (r), h"
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -238,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
     "op11_vector_codes": op11_vector_codes,
+    "op12_neighbours": op12_neighbours,
     "op13_resample": op13_resample,
 }
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_vector_codes": op11_sql(), "op13_resample": OP13_SQL}
