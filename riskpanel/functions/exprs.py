@@ -106,3 +106,21 @@ def candidate_name(key: Column, transform: Column, lag: Column) -> Column:
 def log_product(x: Column) -> Column:
     """ln of a factor for running products; factors of 0 give a great negative number, so that the product is 0."""
     return F.when(x <= 0, F.lit(-800.0)).otherwise(F.log(x))
+
+
+def student_tail(t: Column, df: Column, steps: int = 400) -> Column:
+    """Two-sided p-value of Student's t with df degrees of freedom, 2 at least, which need not be whole.
+
+    With t = sqrt(df) / tan(a) the tail is the integral of sin(x)^(df - 1) up to a over that up to pi / 2, which Simpson's rule
+    takes in u, x = a u^2, where it is smooth at 0.
+    """
+
+    def area(a: Column) -> Column:
+        def term(total: Column, i: Column) -> Column:
+            u = i / float(steps)
+            weight = F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+            return total + weight * F.pow(F.sin(a * u * u), df - 1) * 2 * a * u
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), term)
+
+    return F.when(t.isNotNull() & df.isNotNull(), area(F.atan2(F.sqrt(df), F.abs(t))) / area(F.lit(1.5707963267948966)))
