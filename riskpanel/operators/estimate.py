@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,13 @@ from .ranks import quantiles
 
 @dataclass
 class Term:
-    """A column's treatment: scaled, woe, dummies, hinges, spline (their uncorrelated form) or vintage levels, with what was fitted."""
+    """A column's treatment, with what was fitted on which slice.
+
+    scaled; woe and woe_levels (weight of evidence of bins or levels); dummies (indicators of bins, the first is the
+    reference; one flag of two bins); dummy_levels and vintage (indicators of levels, the first in order is the reference, as are
+    levels that the fit never saw); ordinal (number of the bin, missing values in the first); hinges, or spline, their
+    uncorrelated form.
+    """
 
     column: str
     treatment: str
@@ -35,6 +41,7 @@ class Term:
     missing: float = 0.0
     center: list[float] = field(default_factory=list)
     matrix: list[list[float]] = field(default_factory=list)
+    slice: str = ""
 
     def columns(self) -> list[tuple[str, Column]]:
         x = F.col(self.column)
@@ -48,7 +55,16 @@ class Term:
             return [(self.column, F.when(x.isNull(), F.lit(self.missing)).otherwise(known))]
         if self.treatment == "dummies":
             at = bin_index(x, self.edges)
+            if len(self.edges) == 1 and not self.missing:
+                return [(f"{self.column}_flag", F.coalesce((at == 1).cast("double"), F.lit(0.0)))]
             return [(f"{self.column}={i}", (at == i).cast("double")) for i in range(1, len(self.edges) + 1)] + ([(f"{self.column}=Missing", (at == -1).cast("double"))] if self.missing else [])
+        if self.treatment == "ordinal":
+            return [(f"{self.column}_bin", F.greatest(bin_index(x, self.edges), F.lit(0)).cast("double"))]
+        if self.treatment in ("dummy_levels", "vintage"):
+            join = "_" if self.treatment == "vintage" else "="
+            level = x.cast("long").cast("string") if self.treatment == "vintage" else x.cast("string")
+            known = [(f"{self.column}{join}{k}", F.coalesce((level == k).cast("double"), F.lit(0.0))) for k in list(self.levels)[1:]]
+            return known + ([(f"{self.column}=Missing", x.isNull().cast("double"))] if self.missing else [])
         if self.treatment == "hinges":
             v = F.coalesce(x.cast("double"), F.lit(self.missing))
             return [(self.column, (v - self.mean) / self.sd)] + [(f"{self.column}>{k:g}", F.greatest(v - k, F.lit(0.0)) / self.sd) for k in self.edges]
@@ -70,7 +86,9 @@ def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: i
         elif how == "spline":
             q = quantiles(long.withColumn("value", F.col("value").cast("double")), "value", [0.5, *[i / bins for i in range(1, bins)]]).first().q
             terms.append(spline_term(train, column, q[1:], q[0]))
-        elif how in ("woe", "dummies"):
+        elif how in ("dummy_levels", "vintage"):
+            terms.append(level_term(train, column, how))
+        elif how in ("woe", "dummies", "ordinal"):
             edges = quantile_edges(long.withColumn("value", F.col("value").cast("double")), bins)
             cells = woe_table(bin_counts(long, edges, "_y")).collect()  # bins
             woe = {str(r.bin): r.woe for r in cells}
@@ -83,6 +101,16 @@ def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: i
     return terms
 
 
+def level_term(train: DataFrame, column: str, how: str) -> Term:
+    """Indicators of the levels that the training rows have; vintages (cast to whole numbers) in their order, others by name."""
+    value = F.col(column).cast("long") if how == "vintage" else F.col(column)
+    found = [r.level for r in train.groupBy(value.alias("level")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LEVELS + 2).collect()]
+    known = sorted(v for v in found if v is not None)
+    if len(known) > MOST_LEVELS:
+        raise ValueError(f"{column} has more than {MOST_LEVELS} levels")
+    return Term(column, how, [], {str(v): 0.0 for v in known}, missing=float(how == "dummy_levels" and None in found))
+
+
 def spline_term(train: DataFrame, column: str, knots: Sequence[float], missing: float) -> Term:
     """A spline with these knots, as far as the training rows straddle them."""
     live, center, matrix = splines.fitted(train, F.coalesce(F.col(column).cast("double"), F.lit(missing)), knots)
@@ -97,12 +125,16 @@ def design(df: DataFrame, terms: Sequence[Term], *keep: str) -> tuple[DataFrame,
 
 @dataclass
 class Model:
+    """A fit of named design cells. Cells of its terms that aren't among the names had one value in training and were dropped."""
+
     names: list[str]
     beta: list[float]
     se: list[float]
     log_likelihood: float
     n: int
     terms: list[Term]
+    dropped: list[str] = field(default_factory=list)
+    slice: str = ""
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -113,14 +145,32 @@ class Model:
         return Model(**{**d, "terms": [Term(**t) for t in d["terms"]]})
 
     def score(self) -> Column:
-        """The predicted rate as one expression on the input columns."""
-        cells = [F.lit(1.0), *[c for t in self.terms for _, c in t.columns()]]
+        """The predicted rate as one expression on the input columns, of the fitted cells only."""
+        cells = [F.lit(1.0), *[c for t in self.terms for n, c in t.columns() if n not in self.dropped]]
         return sigmoid(sum((c * b for c, b in zip(cells, self.beta, strict=True)), F.lit(0.0)))
 
     def table(self) -> list[tuple]:
         return [(n, b, s, b / s if s else None, normal_tail(b / s) if s else None) for n, b, s in zip(self.names, self.beta, self.se, strict=True)]
 
 
+#: Levels that indicators are made of, at most.
+MOST_LEVELS = 500
+
+
+def slice_of(df: DataFrame, target: str, columns: Sequence[str]) -> str:
+    """Which rows these are, in any order: their number, events, and a sum of row hashes."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(target), F.lit(0)).alias("e"), F.coalesce(F.sum(F.xxhash64(target, *columns).bitwiseAND(0xFFFFF)), F.lit(0)).alias("h")).first()
+    return f"{r.n}:{r.e:g}:{r.h}"
+
+
+def bound(terms: Sequence[Term], where: str) -> list[Term]:
+    """The terms, as fitted on a slice; terms of another slice are refused: what they hold would leak between slices."""
+    other = [t.column for t in terms if t.slice and t.slice != where]
+    if other:
+        raise ValueError(f"fitted on other rows: {', '.join(other)}")
+    return [replace(t, slice=where) for t in terms]
+
+
 def sums(rows: DataFrame, beta: np.ndarray, meat: bool = False) -> tuple[np.ndarray, np.ndarray, float, int, np.ndarray]:
     """One aggregate over rows (x0 and so on, y): weighted Gram matrix, gradient, log likelihood, rows, and the residuals' Gram matrix if wanted."""
     k = len(beta)
@@ -167,20 +217,33 @@ def newton(rows: DataFrame, k: int, l2: float = 0.0, steps: int = 25, tol: float
 
 
 def fit_logistic(train: DataFrame, target: str, treatments: dict[str, str], l2: float = 0.0, robust: bool = False, terms: list[Term] | None = None) -> Model:
-    """A logistic fit of a 0/1 target, or (robust) a fractional-logit fit of a share with sandwich standard errors."""
-    needed = list(dict.fromkeys([*(treatments if terms is None else [t.column for t in terms]), target]))
-    train = train.select(*[F.col(f"`{c}`") for c in needed]).persist()
-    terms = fit_terms(train, target, treatments) if terms is None else terms
-    rows, names = design(train.filter(F.col(target).isNotNull()), terms, F.col(target).cast("double").alias("y"))
+    """A logistic fit of a 0/1 target, or (robust) a fractional-logit fit of a share with sandwich standard errors.
+
+    Design cells of one value on the training rows are dropped and named. Terms that are given must be of these rows, or of
+    no slice in particular.
+    """
+    columns = list(dict.fromkeys(treatments if terms is None else [t.column for t in terms]))
+    needed = list(dict.fromkeys([*columns, target]))
+    train = train.select(*[F.col(f"`{c}`") for c in needed]).filter(F.col(target).isNotNull()).persist()
+    where = slice_of(train, target, [f"`{c}`" for c in columns])
+    terms = bound(fit_terms(train, target, treatments) if terms is None else terms, where)
+    rows, names = design(train, terms, F.col(target).cast("double").alias("y"))
     rows = rows.persist()
-    rate = rows.agg(F.avg("y")).first()[0]
+    s = rows.agg(F.avg("y").alias("rate"), *[F.stddev_pop(f"x{i}").alias(f"x{i}") for i in range(1, len(names))]).first()
     train.unpersist()
-    beta, h, ll, n = newton(rows, len(names), l2, rate=rate)
+    alive = [0, *[i for i in range(1, len(names)) if (s[f"x{i}"] or 0.0) > 1e-12]]
+    own = rows if len(alive) == len(names) else rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(alive)])
+    beta, h, ll, n = newton(own, len(alive), l2, rate=s.rate)
     inverse = np.linalg.pinv(h)
     if robust:
-        inverse = inverse @ sums(rows, beta, meat=True)[4] @ inverse
+        inverse = inverse @ sums(own, beta, meat=True)[4] @ inverse
     rows.unpersist()
-    return Model(names, beta.tolist(), np.sqrt(np.maximum(np.diag(inverse), 0)).tolist(), ll, n, terms)
+    return Model([names[i] for i in alive], beta.tolist(), np.sqrt(np.maximum(np.diag(inverse), 0)).tolist(), ll, n, terms, [n for i, n in enumerate(names) if i not in alive], where)
+
+
+def ridge(regularization: float, rows: int) -> float:
+    """The ridge of a regularization: it grows with the rows, so that its weight beside the likelihood stays."""
+    return max(regularization, 1e-6) * rows / 1000.0
 
 
 def fit_l1(train: DataFrame, target: str, terms: list[Term], c: float) -> dict[str, float]:
@@ -190,10 +253,10 @@ def fit_l1(train: DataFrame, target: str, terms: list[Term], c: float) -> dict[s
 
     rows, names = design(train, terms, F.col(target).cast("double").alias("y"))
     ready = rows.select("y", array_to_vector(F.array(*[F.col(f"x{i}") for i in range(1, len(names))])).alias("features"))
-    model = LogisticRegression(labelCol="y", elasticNetParam=1.0, standardization=False, regParam=1 / (c * max(train.count(), 1))).fit(ready)
+    model = LogisticRegression(labelCol="y", elasticNetParam=1.0, standardization=False, regParam=1 / (c * max(train.count(), 1)), maxIter=300, tol=1e-9).fit(ready)
     return dict(zip(names, [model.intercept, *model.coefficients.toArray().tolist()], strict=True))
 
 
 def prior_correction(model: Model, kept_share: float) -> Model:
     """The intercept for all rows, of a fit on all events and a share of the non-events."""
-    return Model(model.names, [model.beta[0] + float(np.log(kept_share)), *model.beta[1:]], model.se, model.log_likelihood, model.n, model.terms)
+    return replace(model, beta=[model.beta[0] + float(np.log(kept_share)), *model.beta[1:]])
