@@ -215,7 +215,7 @@ UNITS = [
     ("score", ["score", "fico", "rating", "dscr"]),
 ]
 IDENTIFIERS, DATES = ["account_id"], ["performance_date", "origination_date"]
-OUTCOMES = ["lgd_realised", "recovery_amount", "loss_amount", "exposure_at_default", "workout_months", "terminal_event", "status"]
+OUTCOMES = ["lgd_realised", "recovery_amount", "loss_amount", "exposure_at_default", "workout_months", "terminal_event", "status", "delinquency_bucket", "delinquency_state"]
 
 
 def unit_of(column: str) -> str:

@@ -163,8 +163,9 @@ def calibration(rows: DataFrame, cohorts: int = 10) -> DataFrame:
     return t.select("cohort", "n", r("p", "predicted"), r("a", "actual"), r(F.greatest(F.lit(0.0), F.col("a") - half), "low"), r(F.least(F.lit(1.0), F.col("a") + half), "high"), r("z", "zero_share"), r("t", "total_share"))
 
 
-def residual_curve(rows: DataFrame, groups: int = 20) -> DataFrame:
-    """Mean Pearson residual by quantile group of the prediction, with a 95 % band."""
+def residual_curve(rows: DataFrame, groups: int | None = None) -> DataFrame:
+    """Mean Pearson residual by quantile group of the prediction, with a 95 % band; if not given, a group for each 20 rows, 3 at least and 20 at most."""
+    groups = groups or min(20, max(3, rows.count() // 20))
     own = rows.withColumn("predicted", F.round("predicted", 12))
     edges = quantiles(own, "predicted", [i / groups for i in range(1, groups)], to="e").select(F.array_distinct("e").alias("e"))
     residual = (F.col("actual") - F.col("predicted")) / F.sqrt(F.greatest(F.lit(1e-6), F.col("predicted") * (1 - F.col("predicted"))))

@@ -721,4 +721,4 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return panel_stream.sessions(table(spark, sf, "events"))
 
 
-from . import fit_queries, scenario_queries, screening_queries, severity_queries  # noqa: E402, F401  register their queries beside these
+from . import fit_queries, panel_queries, scenario_queries, screening_queries, severity_queries  # noqa: E402, F401  register their queries beside these

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +22,14 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("_", "."): v for k, v in more.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share. Where it is unset, a local session gets one of its own; a cluster is refused."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        where = tempfile.mkdtemp(prefix="riskpanel-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")

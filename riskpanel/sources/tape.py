@@ -99,10 +99,16 @@ def warnings_for(df: DataFrame) -> list[str]:
     return [text for c, text in wants.items() if c not in df.columns]
 
 
+def checked(key: str) -> str:
+    """A book's key, which names a folder."""
+    if not re.fullmatch(r"[a-z][a-z0-9_]{1,40}", key):
+        raise TapeError(f"not a key: {key!r}")
+    return key
+
+
 def ingest(spark: SparkSession, df: DataFrame, mapping: dict[str, str], root: str, key: str) -> dict:
     """Check, type and write a tape below root; returns and stores its registry record. Refused tapes raise TapeError."""
-    if not re.fullmatch(r"[a-z][a-z0-9_]{1,40}", key):
-        raise TapeError(f"not a key: {key}")
+    checked(key)
     lacking = [c for c in REQUIRED if c not in mapping]
     if lacking:
         raise TapeError(f"required columns without a source: {lacking}")
@@ -148,7 +154,7 @@ def remapped(df: DataFrame, old: dict[str, str], new: dict[str, str]) -> DataFra
 
 def remove(spark: SparkSession, root: str, key: str) -> bool:
     """Delete a book's panel and record; False if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{checked(key)}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
