@@ -1,24 +1,27 @@
 """Estimation: designs as Column expressions, Gram matrices summed in Spark, logistic and fractional-logit fits.
 
 A fitted transform (edges, weights, knots, means) is a small JSON artefact; applying it is one generated select, so a
-score is one codegen stage. Each Newton step is one aggregate over the kept design: the k (k + 1) / 2 cells of the Gram
-matrix, the gradient and the likelihood are sums of Columns, and the driver gets these numbers only.
+score is one codegen stage. A Newton step is one pass over the kept design for all models that are fitted beside each other: tasks
+multiply Arrow batches and send the Gram matrix, the gradient and the likelihood as sums, so the driver gets these numbers only and
+no step compiles anything anew. sums() has one step as an aggregate of Columns.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, sigmoid
 from ..functions.special import normal_tail
 from . import splines
-from .binning import bin_counts, level_counts, quantile_edges, woe_table
+from ..sources.panels import unpivoted
+from .binning import bin_counts, level_counts, value_cells, woe_table
 from .ranks import quantiles
 
 
@@ -74,30 +77,48 @@ class Term:
         raise ValueError(self.treatment)
 
 
+#: Treatments of numbers, and those of them that need a bin table.
+NUMBERS, BINNED = ("scaled", "hinges", "spline", "woe", "dummies", "ordinal"), ("woe", "dummies", "ordinal")
+
+
 def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: int = 5) -> list[Term]:
-    """Fit each column's treatment on the training rows only."""
+    """Fit each column's treatment on the training rows only: all columns from one count table by column and value."""
+    numbers = [c for c, how in treatments.items() if how in NUMBERS]
+    binned = [c for c in numbers if treatments[c] in BINNED]
+    levels = [c for c, how in treatments.items() if how == "woe_levels"]
+    rows = train.withColumn("_y", F.col(target))
+    mean, q, table, edges, woe = {}, {}, {}, {}, {}
+    if numbers:
+        s = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(numbers) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        mean = {c: (s[f"m{i}"], s[f"s{i}"] or 1.0) for i, c in enumerate(numbers)}
+        long = unpivoted(rows.select("_y", *[F.col(f"`{c}`").cast("double").alias(c) for c in numbers]), [f"`{c}`" for c in numbers], "_y", names=numbers)
+        cells = value_cells(long, "_y")
+        q = {r["name"]: r.q for r in quantiles(cells, "value", [0.5, *[i / bins for i in range(1, bins)]], ["name"], weight="n").collect()}
+        edges = {c: list(dict.fromkeys(v[1:])) for c, v in q.items()}
+        if binned:
+            own = train.sparkSession.createDataFrame([(c, edges.get(c, [])) for c in binned], "name string, edges array<double>")
+            for r in woe_table(bin_counts(cells.filter(F.col("name").isin(*binned)), own, "e", "n")).collect():  # bins of columns
+                table.setdefault(r["name"], {})[str(r.bin)] = r.woe
+        cells.unpersist()
+    if levels:
+        long = unpivoted(rows.select("_y", *[F.col(f"`{c}`").cast("string").alias(c) for c in levels]), [f"`{c}`" for c in levels], "_y", names=levels)
+        for r in woe_table(level_counts(long, "_y")).collect():  # at most 14 levels of each column
+            woe.setdefault(r["name"], {})[r.bin] = r.woe
     terms = []
     for column, how in treatments.items():
-        long = train.select(F.lit(column).alias("name"), F.col(column).alias("value"), F.col(target).alias("_y"))
         if how in ("scaled", "hinges"):
-            s = train.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
-            q = quantiles(long.withColumn("value", F.col("value").cast("double")), "value", [0.5, *[i / bins for i in range(1, bins)]]).first().q
-            terms.append(Term(column, how, sorted(set(q[1:])) if how == "hinges" else [], {}, s.m, s.s or 1.0, q[0]))
+            terms.append(Term(column, how, sorted(edges[column]) if how == "hinges" else [], {}, *mean[column], q[column][0]))
         elif how == "spline":
-            q = quantiles(long.withColumn("value", F.col("value").cast("double")), "value", [0.5, *[i / bins for i in range(1, bins)]]).first().q
-            terms.append(spline_term(train, column, q[1:], q[0]))
+            terms.append(spline_term(train, column, q[column][1:], q[column][0]))
         elif how in ("dummy_levels", "vintage"):
             terms.append(level_term(train, column, how))
-        elif how in ("woe", "dummies", "ordinal"):
-            edges = quantile_edges(long.withColumn("value", F.col("value").cast("double")), bins)
-            cells = woe_table(bin_counts(long, edges, "_y")).collect()  # bins
-            woe = {str(r.bin): r.woe for r in cells}
-            gone = woe.pop("-1", None)
-            terms.append(Term(column, how, edges.first().edges, woe, missing=(1.0 if gone is not None else 0.0) if how == "dummies" else gone or 0.0))
+        elif how in BINNED:
+            own = dict(table.get(column, {}))
+            gone = own.pop("-1", None)
+            terms.append(Term(column, how, edges.get(column, []), own, missing=(1.0 if gone is not None else 0.0) if how == "dummies" else gone or 0.0))
         else:
-            cells = woe_table(level_counts(long, "_y")).collect()  # at most 14 levels
-            woe = {r.bin: r.woe for r in cells}
-            terms.append(Term(column, "woe_levels", [], woe, missing=woe.pop("Missing", 0.0)))
+            own = woe.get(column, {})
+            terms.append(Term(column, "woe_levels", [], own, missing=own.pop("Missing", 0.0)))
     return terms
 
 
@@ -194,26 +215,94 @@ def sums(rows: DataFrame, beta: np.ndarray, meat: bool = False) -> tuple[np.ndar
 
 
 def newton(rows: DataFrame, k: int, l2: float = 0.0, steps: int = 25, tol: float = 1e-8, rate: float | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Maximum likelihood with a ridge on all but the intercept; a step that lowers the likelihood is halved.
+    """Maximum likelihood with a ridge on all but the intercept: coefficients, information with the ridge, log likelihood and rows."""
+    return newton_many(rows, {"": list(range(k))}, l2, steps, tol, rate)[""]
+
+
+def summing(trials: dict[str, tuple[list[int], np.ndarray]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's sums for each trial (its cells and coefficients): information, gradient, likelihood and rows, as one list."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]) if batch.num_rows else np.zeros((0, len(names)))
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+            for name, (cells, beta) in trials.items():
+                own = x[:, cells]
+                p = 1 / (1 + np.exp(-np.clip(own @ beta, -35, 35)))
+                q = np.clip(p, 1e-12, 1 - 1e-12)
+                parts = [((own * (p * (1 - p))[:, None]).T @ own).ravel(), own.T @ (y - p), [(y * np.log(q) + (1 - y) * np.log(1 - q)).sum(), len(y)]]
+                totals[name] = totals.get(name, 0.0) + np.concatenate(parts)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))], ["trial", "s"])
+
+    return sums
 
-    rate: the mean of y, from whose log odds the intercept starts: with rare events that saves passes.
+
+def newton_many(rows: DataFrame, trials: dict[str, list[int]], l2: float = 0.0, steps: int = 25, tol: float = 1e-8, rate: float | None = None, start: dict[str, np.ndarray] | None = None) -> dict[str, tuple[np.ndarray, np.ndarray, float, int]]:
+    """Fits of many subsets of a design's cells at once: by trial (its cells, of which 0 is the intercept) what newton() gives.
+
+    A step is one pass over the rows for all trials: a task multiplies its batches and sends one list of sums for each
+    trial, which Spark adds up by place, so the driver gets k (k + 1) + 2 numbers of each. A move that lowers the likelihood is
+    halved. rate: the mean of y, from whose log odds intercepts begin; start: coefficients to begin from.
     """
-    beta, penalty = np.zeros(k), l2 * np.diag([0.0, *[1.0] * (k - 1)])
-    if rate and 0 < rate < 1:
-        beta[0] = np.log(rate / (1 - rate))
-    h, g, ll, n, _ = sums(rows, beta)
-    for _ in range(steps):
-        move = np.linalg.lstsq(h + penalty, g - penalty @ beta, rcond=None)[0]
-        value = lambda b, at: at - 0.5 * b @ penalty @ b
-        for _ in range(6):
-            h2, g2, ll2, _, _ = sums(rows, beta + move)
-            if value(beta + move, ll2) >= value(beta, ll) - 1e-9 * abs(ll):
-                break
-            move = move / 2
-        beta, h, g, ll = beta + move, h2, g2, ll2
-        if np.abs(move).max() < tol:
+    names = [f"x{i}" for i in sorted({c for own in trials.values() for c in own})]
+    at = {n: i for i, n in enumerate(names)}
+    cells = {t: [at[f"x{c}"] for c in own] for t, own in trials.items()}
+    first = np.log(rate / (1 - rate)) if rate and 0 < rate < 1 else 0.0
+    beta = {t: np.array((start or {}).get(t, [first, *[0.0] * (len(c) - 1)]), float) for t, c in cells.items()}
+    penalty = {t: l2 * np.diag([0.0, *[1.0] * (len(c) - 1)]) for t, c in cells.items()}
+    known: dict[str, tuple] = {}
+    move = {t: np.zeros_like(b) for t, b in beta.items()}
+    halved = dict.fromkeys(beta, 0)
+    live = set(beta)
+    for _ in range(6 * steps):
+        own = {t: (cells[t], beta[t] + move[t]) for t in live}
+        # Lists of one trial are added place by place; there are as many as tasks.
+        lists = rows.select("y", *names).mapInArrow(summing(own, names), "trial string, s array<double>").select("trial", F.posexplode("s").alias("i", "v"))
+        found: dict[str, dict[int, float]] = {}
+        for r in lists.groupBy("trial", "i").agg(F.sum("v").alias("v")).collect():
+            found.setdefault(r["trial"], {})[r["i"]] = r["v"]
+        for t in list(live):
+            k = len(cells[t])
+            s = np.array([found.get(t, {}).get(i, 0.0) for i in range(k * k + k + 2)])
+            h, g, ll, n = s[: k * k].reshape(k, k), s[k * k : k * k + k], float(s[-2]), int(s[-1])
+            now, value = beta[t] + move[t], lambda b, v, t=t: v - 0.5 * b @ penalty[t] @ b
+            if t in known and value(now, ll) < value(beta[t], known[t][2]) - 1e-9 * abs(ll) and halved[t] < 6:
+                move[t], halved[t] = move[t] / 2, halved[t] + 1
+                continue
+            ended = t in known and np.abs(move[t]).max() < tol
+            beta[t], known[t], halved[t] = now, (h, g, ll, n, known.get(t, (0,) * 5)[4] + 1), 0
+            move[t] = np.linalg.lstsq(h + penalty[t], g - penalty[t] @ now, rcond=None)[0]
+            if ended or known[t][4] > steps:
+                live.discard(t)
+        if not live:
             break
-    return beta, h + penalty, ll, n
+    return {t: (beta[t], known[t][0] + penalty[t], known[t][2], known[t][3]) for t in trials}
+
+
+def meats(rows: DataFrame, trials: dict[str, tuple[list[int], np.ndarray]]) -> dict[str, np.ndarray]:
+    """By trial (its cells and coefficients) the Gram matrix of cells times residuals, the middle of a sandwich: all in one pass."""
+    names = [f"x{i}" for i in sorted({c for own, _ in trials.values() for c in own})]
+    own = {t: ([names.index(f"x{c}") for c in cells], np.asarray(beta, float)) for t, (cells, beta) in trials.items()}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+            for t, (cells, beta) in own.items():
+                z = x[:, cells]
+                z = z * (y - 1 / (1 + np.exp(-np.clip(z @ beta, -35, 35))))[:, None]
+                totals[t] = totals.get(t, 0.0) + (z.T @ z).ravel()
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))], ["trial", "s"])
+
+    lists = rows.select("y", *names).mapInArrow(sums, "trial string, s array<double>").select("trial", F.posexplode("s").alias("i", "v"))
+    out = {t: np.zeros(len(c) ** 2) for t, (c, _) in own.items()}
+    for r in lists.groupBy("trial", "i").agg(F.sum("v").alias("v")).collect():  # k^2 numbers of each trial
+        out[r["trial"]][r["i"]] = r["v"]
+    return {t: v.reshape(len(own[t][0]), -1) for t, v in out.items()}
 
 
 def fit_logistic(train: DataFrame, target: str, treatments: dict[str, str], l2: float = 0.0, robust: bool = False, terms: list[Term] | None = None) -> Model:
@@ -236,7 +325,7 @@ def fit_logistic(train: DataFrame, target: str, treatments: dict[str, str], l2:
     beta, h, ll, n = newton(own, len(alive), l2, rate=s.rate)
     inverse = np.linalg.pinv(h)
     if robust:
-        inverse = inverse @ sums(own, beta, meat=True)[4] @ inverse
+        inverse = inverse @ meats(own, {"": (list(range(len(alive))), beta)})[""] @ inverse
     rows.unpersist()
     return Model([names[i] for i in alive], beta.tolist(), np.sqrt(np.maximum(np.diag(inverse), 0)).tolist(), ll, n, terms, [n for i, n in enumerate(names) if i not in alive], where)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import sigmoid
 from ..functions.special import chi2_tail, normal_tail
-from ..operators import binning, estimate, evaluate
+from ..operators import binning, estimate, evaluate, frames
 
 
 #: Marks of columns that move with the cycle, and may take up what macro terms should explain (fixed values).
@@ -25,7 +25,10 @@ def cyclical(columns: Sequence[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Rules:
-    """How terms enter and leave: by p-value, or by AIC or BIC, whose penalty counts events, and a cap on inflation (None: no cap)."""
+    """How terms enter and leave: by p-value, or by AIC or BIC, whose penalty counts events, and a cap on inflation (None: no cap).
+
+    frame: rows that trials are fitted on at most; all events are among them (None: all rows).
+    """
 
     metric: str = "bic"
     enter: float = 0.01
@@ -34,6 +37,7 @@ class Rules:
     most: int | None = None
     inflation: float | None = 5.0
     strong: int = 4
+    frame: int | None = frames.SCREEN_ROWS
 
     def __post_init__(self) -> None:
         if self.metric not in ("p_value", "aic", "bic"):
@@ -49,14 +53,20 @@ class Rules:
 
 
 class Trials:
-    """The designs of all candidates, fitted and kept once, any subset of which is fitted without another read of the input."""
+    """The designs of all candidates, fitted and kept once, on an event-preserving frame of exactly so many rows.
+
+    Any subsets of them are fitted beside each other, without another read of the input: a Newton step of all trials of
+    a pass is one aggregate.
+    """
 
-    def __init__(self, train: DataFrame, target: str, candidates: dict[str, str]) -> None:
-        train = train.select(target, *candidates).filter(F.col(target).isNotNull()).persist()
+    def __init__(self, train: DataFrame, target: str, candidates: dict[str, str], frame: int | None = None) -> None:
+        train = train.select(target, *candidates).filter(F.col(target).isNotNull())
+        train = (frames.event_frame(train, target, frame).rows if frame else train).persist()
         ends = train.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(candidates)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(candidates)]).first()
         #: Columns of one value, or none, which no fit can estimate.
         self.constant = [c for i, c in enumerate(candidates) if ends[f"a{i}"] == ends[f"b{i}"]]
-        self.terms = {c: estimate.fit_terms(train, target, {c: how})[0] for c, how in candidates.items() if c not in self.constant}
+        own = {c: how for c, how in candidates.items() if c not in self.constant}
+        self.terms = dict(zip(own, estimate.fit_terms(train, target, own), strict=True))
         self.places, at = {}, 1
         for c, t in self.terms.items():
             self.places[c] = list(range(at, at + len(t.columns())))
@@ -68,15 +78,29 @@ class Trials:
         self.rate, self.events, self.known, self.r = s.rate, s.events or 0.0, {}, None
         train.unpersist()
 
+    def cells(self, key: Sequence[str]) -> list[int]:
+        return [0, *[i for c in key for i in self.places[c]]]
+
+    def fit_all(self, subsets: Sequence[Sequence[str]]) -> None:
+        """Fit those of the subsets that aren't yet, all at once, each from the coefficients of a known one with a term more or less."""
+        new = {k for k in (tuple(sorted(x)) for x in subsets) if k not in self.known}
+        if not new:
+            return
+        start = {}
+        for key in new:
+            near = next((k for k in self.known if len(set(k) ^ set(key)) == 1), None)
+            if near is not None:
+                old = dict(zip(self.cells(near), self.known[near][1], strict=True))
+                start["|".join(key)] = np.array([old.get(c, 0.0) for c in self.cells(key)])
+        fits = estimate.newton_many(self.rows, {"|".join(k): self.cells(k) for k in new}, steps=10, tol=1e-6, rate=self.rate, start=start)
+        for key in new:
+            beta, h, ll, _ = fits["|".join(key)]
+            self.known[key] = ll, beta, h
+
     def fitted(self, chosen: Sequence[str]) -> tuple[float, np.ndarray, np.ndarray]:
         """Log likelihood, coefficients and information matrix; a subset is fitted once."""
-        key = tuple(sorted(chosen))
-        if key not in self.known:
-            cells = [0, *[i for c in key for i in self.places[c]]]
-            own = self.rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(cells)])
-            beta, h, ll, _ = estimate.newton(own, len(cells), steps=10, tol=1e-6, rate=self.rate)
-            self.known[key] = ll, beta, h
-        return self.known[key]
+        self.fit_all([chosen])
+        return self.known[tuple(sorted(chosen))]
 
     def width_of(self, column: str) -> int:
         return len(self.places[column])
@@ -104,6 +128,7 @@ def forward(train: DataFrame, target: str, candidates: dict[str, str], enter: fl
     chosen: list[tuple[str, float]] = []
     while len(chosen) < most:
         own = [c for c, _ in chosen]
+        trials.fit_all([own, *[[*own, c] for c in trials.terms if c not in own]])
         now = trials.fitted(own)[0]
         gains = {c: trials.fitted([*own, c])[0] - now for c in trials.terms if c not in own}
         if not gains:
@@ -127,7 +152,7 @@ def cores(train: DataFrame, target: str, candidates: dict[str, str], rules: Rule
     Actions: unfit (one value), enter and leave (score), blocked (the inflation that kept it out), keep (likelihood ratio),
     expert (likelihood ratio), cyclical (a warning). A core of the same columns as one before it is left out.
     """
-    trials = Trials(train, target, candidates)
+    trials = Trials(train, target, candidates, rules.frame)
     trace = [("unfit", c, 0.0) for c in trials.constant]
     chosen: list[str] = []
     blocked: dict[str, float] = {}
@@ -136,6 +161,7 @@ def cores(train: DataFrame, target: str, candidates: dict[str, str], rules: Rule
         return 2 * (trials.fitted(own)[0] - trials.fitted([x for x in own if x != c])[0])
 
     while rules.most is None or len(chosen) < rules.most:
+        trials.fit_all([chosen, *[[*chosen, c] for c in trials.terms if c not in chosen]])
         paying = {}
         for c in trials.terms:
             if c in chosen:
@@ -156,6 +182,7 @@ def cores(train: DataFrame, target: str, candidates: dict[str, str], rules: Rule
             tell(f"{best} enters")
     trace += [("blocked", c, v) for c, v in sorted(blocked.items())]
     while len(chosen) > 1:
+        trials.fit_all([chosen, *[[x for x in chosen if x != c] for c in chosen]])
         scores = {c: rules.gain(drop(c, chosen), trials.width_of(c), trials.events, rules.leave) for c in chosen}
         idle = {c: score for c, (pays, score) in scores.items() if not pays}
         if not idle:
@@ -171,10 +198,12 @@ def cores(train: DataFrame, target: str, candidates: dict[str, str], rules: Rule
 
     add("stepwise", chosen, trace)
     if len(chosen) > rules.strong:
+        trials.fit_all([[x for x in chosen if x != c] for c in chosen])
         lr = {c: drop(c, chosen) for c in chosen}
         kept = sorted(sorted(chosen, key=lambda c: -lr[c])[: rules.strong], key=chosen.index)
         add("strong", kept, [("keep", c, lr[c]) for c in kept])
     named = [c for c in expert if c in trials.terms]
+    trials.fit_all([named, *[[x for x in named if x != c] for c in named]])
     add("expert", named, [("expert", c, drop(c, named)) for c in named])
     trials.close()
     return {name: steps for name, (_, steps) in found.items()}
@@ -184,8 +213,10 @@ def macro_screen(train: DataFrame, target: str, core: dict[str, str], priors: di
     """By macro term, fitted beside the core: coefficient, p, whether it is kept, and why not: its sign is against the
     prior (None: no prior), its p is not within the screen, or it has one value only.
     """
-    trials = Trials(train, target, {**core, **{t: "scaled" for t in priors}})
+    trials = Trials(train, target, {**core, **{t: "scaled" for t in priors}}, rules.frame)
     own, out = [c for c in core if c in trials.terms], []
+    trials.fit_all([own])
+    trials.fit_all([[*own, t] for t in priors if t in trials.terms])
     for term, prior in priors.items():
         if term not in trials.terms:
             out.append((term, None, None, False, "one value"))

@@ -183,7 +183,7 @@ def severity_fits(spark: SparkSession, sf: str) -> DataFrame:
     """Severity models of a core and macro terms, fitted before 1997 and measured before and after."""
     terms = [("ticket", "yoy", 3), ("orders", "yoy", 0)]
     seen = scenarios.with_terms(seen_lines(spark, sf), panels.macro(spark, sf), terms)
-    return severity_search.fits(seen, "lgd_realised", {"expert": ["price", "quantity"]}, ["ticket@yoy@3", "orders@yoy@0"], "1997-01-01", search.Rules(screen=1.0))
+    return severity_search.fits(seen, "lgd_realised", {"expert": ["price", "quantity"]}, ["ticket@yoy@3", "orders@yoy@0"], "1997-01-01", search.Rules(screen=0.25))
 
 
 @query()

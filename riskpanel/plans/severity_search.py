@@ -35,17 +35,23 @@ class SeverityTrials(Trials):
         super().__init__(rows, severity, dict.fromkeys(columns, "scaled"))
         self.wald: dict[tuple, dict[str, tuple[float, float, float]]] = {}
 
-    def tested(self, chosen: Sequence[str]) -> dict[str, tuple[float, float, float]]:
-        """Coefficient, robust standard error and p-value by column, and of the intercept as ""."""
-        key = tuple(sorted(chosen))
-        if key not in self.wald:
-            _, beta, h = self.fitted(key)
-            cells = [0, *[self.places[c][0] for c in key]]
-            own = self.rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(cells)])
+    def test_all(self, subsets: Sequence[Sequence[str]]) -> None:
+        """Fit and test those of the subsets that aren't yet, all in the same passes."""
+        self.fit_all(subsets)
+        new = {k for k in (tuple(sorted(x)) for x in subsets) if k not in self.wald}
+        if not new:
+            return
+        meat = estimate.meats(self.rows, {"|".join(k): (self.cells(k), self.known[k][1]) for k in new})
+        for key in new:
+            _, beta, h = self.known[key]
             inverse = np.linalg.pinv(h)
-            se = np.sqrt(np.maximum(np.diag(inverse @ estimate.sums(own, beta, meat=True)[4] @ inverse), 0))
+            se = np.sqrt(np.maximum(np.diag(inverse @ meat["|".join(key)] @ inverse), 0))
             self.wald[key] = {c: (float(b), float(s), normal_tail(float(b / s)) if s else 1.0) for c, b, s in zip(("", *key), beta, se, strict=True)}
-        return self.wald[key]
+
+    def tested(self, chosen: Sequence[str]) -> dict[str, tuple[float, float, float]]:
+        """Coefficient, robust standard error and p-value by column, and of the intercept as ""."""
+        self.test_all([chosen])
+        return self.wald[tuple(sorted(chosen))]
 
     def correlation(self, a: str, b: str) -> float:
         self.inflation([a, b])
@@ -60,33 +66,29 @@ class SeverityTrials(Trials):
 def cores_of(trials: SeverityTrials, candidates: Sequence[str], rules: Rules = Rules(), expert: Sequence[str] = ()) -> dict[str, list[tuple[str, str, float]]]:
     """Cores by name (stepwise, strong, expert) with the trace of each, as search.cores gives them; values are robust p-values.
 
-    The column of least p enters while that is within rules.enter and every inflation within the cap; then the column of greatest p
-    leaves while that is above rules.leave.
+    The column of least p enters while that is below rules.enter and every inflation within the cap. What stays out
+    is in the trace with what kept it out: blocked (inflation) or rejected (its p beside the core). strong: the
+    rules.strong columns without which most quasi-likelihood is lost, if the core has more (keep: twice that loss).
     """
     open_to = [c for c in candidates if c in trials.terms]
     trace = [("unfit", c, 0.0) for c in candidates if c in trials.constant]
     chosen: list[str] = []
-    blocked: dict[str, float] = {}
-    while rules.most is None or len(chosen) < rules.most:
-        p = {c: trials.tested([*chosen, c])[c][2] for c in open_to if c not in chosen}
-        p = {c: v for c, v in p.items() if v <= rules.enter}
-        worst = {c: trials.inflation([*chosen, c]) if rules.inflation else 1.0 for c in p}
+    while True:
+        rest = [c for c in open_to if c not in chosen]
+        trials.test_all([[*chosen, c] for c in rest])
+        p = {c: trials.tested([*chosen, c])[c][2] for c in rest}
+        paying = {c: v for c, v in p.items() if v < rules.enter}
+        worst = {c: trials.inflation([*chosen, c]) if rules.inflation else 1.0 for c in paying}
         blocked = {c: v for c, v in worst.items() if rules.inflation and v > rules.inflation}
-        p = {c: v for c, v in p.items() if c not in blocked}
-        if not p:
+        paying = {c: v for c, v in paying.items() if c not in blocked}
+        if not paying or (rules.most is not None and len(chosen) >= rules.most):
             break
         # Of p-values that are 0 to the last digit the greater test statistic decides.
-        best = min(p, key=lambda c: (p[c], -abs(trials.tested([*chosen, c])[c][0] / trials.tested([*chosen, c])[c][1])))
+        best = min(paying, key=lambda c: (paying[c], -abs(trials.tested([*chosen, c])[c][0] / trials.tested([*chosen, c])[c][1])))
         chosen.append(best)
-        trace.append(("enter", best, p[best]))
+        trace.append(("enter", best, paying[best]))
     trace += [("blocked", c, v) for c, v in sorted(blocked.items())]
-    while len(chosen) > 1:
-        p = {c: trials.tested(chosen)[c][2] for c in chosen}
-        worst_one = max(p, key=p.get)
-        if p[worst_one] <= rules.leave:
-            break
-        chosen.remove(worst_one)
-        trace.append(("leave", worst_one, p[worst_one]))
+    trace += [("rejected", c, p[c]) for c in rest if c not in blocked]
     found: dict[str, tuple[list[str], list]] = {}
 
     def add(name: str, columns: Sequence[str], steps: list) -> None:
@@ -95,9 +97,10 @@ def cores_of(trials: SeverityTrials, candidates: Sequence[str], rules: Rules = R
 
     add("stepwise", chosen, trace)
     if len(chosen) > rules.strong:
-        t = trials.tested(chosen)
-        kept = sorted(sorted(chosen, key=lambda c: (t[c][2], -abs(t[c][0] / t[c][1])))[: rules.strong], key=chosen.index)
-        add("strong", kept, [("keep", c, t[c][2]) for c in kept])
+        trials.fit_all([chosen, *[[x for x in chosen if x != c] for c in chosen]])
+        loss = {c: 2 * (trials.fitted(chosen)[0] - trials.fitted([x for x in chosen if x != c])[0]) for c in chosen}
+        kept = sorted(sorted(chosen, key=lambda c: -loss[c])[: rules.strong], key=chosen.index)
+        add("strong", kept, [("keep", c, loss[c]) for c in kept])
     named = [c for c in expert if c in trials.terms]
     add("expert", named, [("expert", c, trials.tested(named)[c][2]) for c in named])
     return {name: steps for name, (_, steps) in found.items()}
@@ -105,13 +108,13 @@ def cores_of(trials: SeverityTrials, candidates: Sequence[str], rules: Rules = R
 
 def columns_of(trace: Sequence[tuple[str, str, float]]) -> list[str]:
     """A core's columns, from its trace."""
-    left = {c for a, c, _ in trace if a == "leave"}
-    return [c for a, c, _ in trace if a in ("enter", "keep", "expert") and c not in left]
+    return [c for a, c, _ in trace if a in ("enter", "keep", "expert")]
 
 
 def screened(trials: SeverityTrials, core: Sequence[str], terms: Sequence[str], rules: Rules = Rules()) -> list[tuple[str, float | None, str]]:
     """By macro term: its robust p beside the core, and why it is left out (empty: it stays). A loose cutoff; signs are not asked for."""
     out: list[tuple[str, float | None, str]] = []
+    trials.test_all([[*core, t] for t in terms if t in trials.terms])
     for term in terms:
         if term not in trials.terms:
             out.append((term, None, "one value"))
@@ -144,6 +147,7 @@ def fits(seen: DataFrame, severity: str, cores: dict[str, Sequence[str]], terms:
         passed = [t for t, _, why in screened(trials, core, [t for t in terms if t not in core], rules) if not why]
         for combo in [(), *combinations_of(trials, passed, most)]:
             sets.setdefault(tuple(sorted([*core, *combo])), (name, combo))
+    trials.test_all([*[k for k in sets if k], *[[c for c in k if c not in combo] for k, (_, combo) in sets.items() if set(k) - set(combo)]])
     models = {key: trials.model(key) for key in sets if key}
     errors: dict[tuple, tuple] = {}
     for at in range(0, len(models), AT_ONCE):

@@ -87,9 +87,10 @@ lines AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)"""
 
 
-def unpivoted(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
-    """One row per row and column: keep, name, value (null where the column is)."""
-    return df.select(*keep, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])).alias("x")).select(*keep, "x.name", "x.value")
+def unpivoted(df: DataFrame, columns: list[str], *keep: str, names: list[str] | None = None) -> DataFrame:
+    """One row per row and column: keep, name (the column's, or that in names), value (null where the column is)."""
+    pairs = zip(names or columns, columns, strict=True)
+    return df.select(*keep, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in pairs])).alias("x")).select(*keep, "x.name", "x.value")
 
 
 def unpivot_sql(view: str, columns: list[str], keep: str) -> str:

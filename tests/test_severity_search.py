@@ -49,6 +49,10 @@ def test_robust_tests_and_cores(seen, data):
     assert steps[0] == ("unfit", "one") and steps[1][1] in ("a", "copy") and steps[2] == ("enter", "b")
     assert len(severity_search.columns_of(found["stepwise"])) == 2 and severity_search.columns_of(found["strong"]) == [steps[1][1]]
     assert severity_search.columns_of(found["expert"]) == ["noise"]
+    out = {c: x for x, c in steps if x in ("blocked", "rejected")}
+    assert out["noise"] == "rejected" and set(out) == {"noise", {"a": "copy", "copy": "a"}[steps[1][1]]}
+    keep = found["strong"][0]
+    assert keep[2] == pytest.approx(2 * (trials.fitted(["b", keep[1]])[0] - trials.fitted(["b"])[0]))
     trials.close()
 
 
