@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, period_of
 from ..sources.panels import unpivoted
-from .ranks import quantiles
+from .ranks import quantiles, spearman
 
 #: Bands of information value, and what looks like leakage.
 IV_BANDS = [(0.02, "not predictive"), (0.1, "weak"), (0.3, "medium"), (0.5, "strong")]
@@ -204,18 +204,76 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return unpivoted(one, [f"{a}|{b}" for a, b in pairs]).select(F.substring_index("name", "|", 1).alias("a"), F.substring_index("name", "|", -1).alias("b"), F.round("value", 8).alias("r")) if pairs else one
 
 
-def clusters(matrix: np.ndarray, threshold: float = 0.7) -> list[int]:
-    """Average-linkage clusters of columns whose distance is 1 - |r|, cut at 1 - threshold."""
-    groups = [[i] for i in range(len(matrix))]
-    distance = 1 - np.abs(matrix)
+def linkage(matrix: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """The tree of average linkage at distance 1 - |r|: merges (a, b, distance, columns) from the nearest on; merge i makes cluster n + i.
+
+    Of equally near pairs the first in order of the clusters' least columns is merged.
+    """
+    n = len(matrix)
+    groups = {i: [i] for i in range(n)}
+    distance = {(i, j): 1 - abs(float(matrix[i, j])) for i in range(n) for j in range(i + 1, n)}
+    out = []
     while len(groups) > 1:
-        pairs = [(float(distance[np.ix_(a, b)].mean()), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-        d, i, j = min(pairs)
+        a, b = min(distance, key=lambda p: (distance[p], groups[p[0]][0], groups[p[1]][0]))
+        new, size = n + len(out), len(groups[a]) + len(groups[b])
+        out.append((a, b, distance[a, b], size))
+        for k in groups:
+            if k not in (a, b):  # the mean over all pairs, from those of the two parts
+                to = lambda x, k=k: distance[min(x, k), max(x, k)]
+                distance[k, new] = (len(groups[a]) * to(a) + len(groups[b]) * to(b)) / size
+        distance = {p: d for p, d in distance.items() if a not in p and b not in p}
+        groups[new] = sorted(groups.pop(a) + groups.pop(b))
+    return out
+
+
+def leaf_order(tree: Sequence[tuple[int, int, float, int]], n: int) -> list[int]:
+    """Columns from left to right in the tree's drawing: the part of lower number stands left, so that related columns are side by side."""
+    made = {n + i: sorted((a, b)) for i, (a, b, *_) in enumerate(tree)}
+    out, stack = [], [n + len(tree) - 1] if tree else list(range(n))[::-1]
+    while stack:
+        node = stack.pop()
+        if node in made:
+            stack += made[node][::-1]
+        else:
+            out.append(node)
+    return out
+
+
+def clusters(matrix: np.ndarray, threshold: float = 0.7) -> list[int]:
+    """Average-linkage clusters of columns whose distance is 1 - |r|: the tree, cut at 1 - threshold."""
+    n = len(matrix)
+    held = {i: [i] for i in range(n)}
+    for i, (a, b, d, _) in enumerate(linkage(matrix)):
         if d > 1 - threshold:
             break
-        groups[i] += groups.pop(j)
-    label = {c: k for k, g in enumerate(sorted(groups, key=min)) for c in g}
-    return [label[i] for i in range(len(matrix))]
+        held[n + i] = held.pop(a) + held.pop(b)
+    label = {c: k for k, g in enumerate(sorted(held.values(), key=min)) for c in g}
+    return [label[i] for i in range(n)]
+
+
+def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spearman's correlation of all pairs a < b in one pass, each over the rows where both are present."""
+    pairs = [F.struct(F.lit(a).alias("one"), F.lit(b).alias("other"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(columns) for b in list(columns)[i + 1 :]]
+    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    return spearman(long, "x", "y", ["one", "other"]).select(F.col("one").alias("a"), F.col("other").alias("b"), "n", F.round("rho", 7).alias("r"))
+
+
+def correlation_report(df: DataFrame, columns: Sequence[str], method: str = "pearson", most: int = 40, high: float = 0.90) -> DataFrame:
+    """Correlations of the first most columns that aren't constant: a, b, r, their places in the tree's order (related ones side by side), the cluster of both if it is one, and whether |r| reaches high.
+
+    A pair that has no correlation counts as 0.
+    """
+    ends = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    own = [c for c in columns if (ends[c] or 0.0) > 0][:most]
+    table = correlations(df, own) if method == "pearson" else rank_correlations(df, own)
+    m, at = np.eye(len(own)), {c: i for i, c in enumerate(own)}
+    rows = table.select("a", "b", "r").collect() if len(own) > 1 else []  # pairs of columns
+    for r in rows:
+        m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = r.r or 0.0
+    place = {own[c]: i for i, c in enumerate(leaf_order(linkage(m), len(own)))}
+    label = clusters(m)
+    out = [(a, b, float(m[at[a], at[b]]), place[a], place[b], label[at[a]] if label[at[a]] == label[at[b]] else None, bool(abs(m[at[a], at[b]]) >= high)) for i, a in enumerate(own) for b in own[i + 1 :]]
+    return df.sparkSession.createDataFrame(out, "a string, b string, r double, place_a int, place_b int, cluster int, high boolean")
 
 
 def representatives(df: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.7) -> DataFrame:

@@ -79,48 +79,3 @@ def turning_points(values: Sequence[float], threshold: float) -> int:
         else:
             del marks[i : i + 2]
     return max(0, len(marks) - 2)
-
-
-def auto_knots(x: Sequence[float], n: Sequence[float], events: Sequence[float], knots: int = 4) -> list[float]:
-    """Knots of a piecewise-linear log-odds curve, by forward choice on bucket counts and one sweep over each.
-
-    Buckets are few, whatever the number of rows that they sum.
-    """
-    x, n, events = (np.asarray(v, float) for v in (x, n, events))
-
-    def likelihood(ks: list[float]) -> float:
-        d = np.column_stack([np.ones_like(x), x, *[np.maximum(x - k, 0) for k in ks]])
-        scale = np.maximum(np.abs(d).max(axis=0), 1e-12)
-        d, b = d / scale, np.zeros(d.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(d @ b, -35, 35)))
-            move = np.linalg.lstsq((d * (n * p * (1 - p))[:, None]).T @ d + 1e-9 * np.eye(len(b)), d.T @ (events - n * p), rcond=None)[0]
-            b = b + move
-            if np.abs(move).max() < 1e-8:
-                break
-        p = np.clip(1 / (1 + np.exp(-np.clip(d @ b, -35, 35))), 1e-12, 1 - 1e-12)
-        return float((events * np.log(p) + (n - events) * np.log(1 - p)).sum())
-
-    found: list[float] = []
-    for _ in range(min(knots, max(len(x) - 3, 0))):
-        best = max((c for c in x[1:-1] if c not in found), key=lambda c: likelihood([*found, c]), default=None)
-        # A knot must pay for itself by the information criterion on events.
-        if best is None or 2 * (likelihood([*found, best]) - likelihood(found)) < np.log(max(events.sum(), 2)):
-            break
-        found.append(float(best))
-    for i in range(len(found)):
-        rest = found[:i] + found[i + 1 :]
-        found[i] = float(max((c for c in x[1:-1] if c not in rest), key=lambda c: likelihood([*rest, c])))
-    return sorted(found)
-
-
-def severity_knots(df: DataFrame, column: str, severity: str, knots: int = 3, resolution: int = 40, least: int = 80) -> list[float]:
-    """Knots of a driver's piecewise-linear severity, by the same search on buckets; none under `least` severities or 6 buckets.
-
-    Buckets are the summed severities of quantile ranges, so a knot must pay for itself by quasi-likelihood.
-    """
-    rows = df.filter(F.col(severity).isNotNull()).withColumn("_s", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(severity))))
-    points = sorted(log_odds_curve(rows, column, "_s", resolution).collect(), key=lambda r: r.bucket)  # resolution buckets
-    if len(points) < 6 or sum(r.n for r in points) < least:
-        return []
-    return auto_knots([r.x for r in points], [r.n for r in points], [r.events for r in points], knots)

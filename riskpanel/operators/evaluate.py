@@ -82,6 +82,20 @@ def hosmer_lemeshow(table: DataFrame) -> tuple[float, float]:
     return sum(parts), chi2_tail(sum(parts), max(len(parts) - 2, 1))
 
 
+def hosmer_lemeshow_table(table: DataFrame) -> DataFrame:
+    """The test of a calibration table as a row: groups, statistic, df and p_value."""
+    stat, p = hosmer_lemeshow(table)
+    groups = table.count()
+    return table.sparkSession.createDataFrame([(groups, float(stat), max(groups - 2, 1), float(p))], "groups int, statistic double, df int, p_value double")
+
+
+def coverage(table: DataFrame, boundary: str) -> DataFrame:
+    """Of a cohort table with intervals: in how many periods, all and before and from the boundary on, the predicted rate lies within."""
+    cut = F.when(F.col("period") < F.lit(boundary).cast("date"), "in_time").otherwise("out_of_time")
+    rows = table.select("covered", F.explode(F.array(F.lit("all"), cut)).alias("slice"))
+    return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("periods"), F.count_if("covered").alias("covered"), F.round(F.avg(F.col("covered").cast("int")), 6).alias("coverage"))
+
+
 def cohorts(scored: DataFrame, freq: str = "QS", least: int = 400) -> DataFrame:
     """By period with enough rows: actual and predicted rates, AUC, Gini and KS."""
     own = scored.withColumn("period", period_of(F.col("performance_date"), freq))

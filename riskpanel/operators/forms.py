@@ -1,16 +1,19 @@
-"""How a driver should enter a model: the shape of its bins, and a straight against a bent form by the model's own estimator."""
+"""How a driver should enter a model: the shape of its bins, and a straight against a bent form by the model's own estimator, for defaults and for severity."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import clamp, sigmoid
 from ..functions.special import chi2_tail
 from ..sources.panels import unpivoted
 from . import binning, curves, estimate
+from .knots import search
 
 #: R2 of a straight line that makes a column linear, of a curve that follows a reversal, and the gain that makes a bend.
 STRAIGHT, FOLLOWS, BENDS = 0.95, 0.75, 0.03
@@ -84,6 +87,64 @@ def compared(df: DataFrame, column: str, target: str, knots: Sequence[float]) ->
     return {"straight": straight, "bent": bent}
 
 
+def quasi_statistics(rows: DataFrame, beta: Sequence[float], tested: Sequence[int] = ()) -> dict:
+    """Of a fractional logit (cells x0 and so on, y) at some coefficients: parameters, n, quasi-likelihood, dispersion (Pearson's
+    statistic by its degrees of freedom), and the Wald statistic of the tested coefficients with the sandwich's covariance.
+
+    A quasi-likelihood is none, so a likelihood ratio has no chi-squared; the robust Wald statistic has.
+    """
+    beta = np.asarray(beta, float)
+    k = len(beta)
+    h, _, ll, n, meat = estimate.sums(rows, beta, meat=True)
+    mu = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), sigmoid(sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)), 30.0)))
+    pearson = rows.agg(F.sum(F.pow(F.col("y") - mu, F.lit(2)) / (mu * (1 - mu)))).first()[0] or 0.0
+    out = {"parameters": k, "n": n, "log_likelihood": ll, "dispersion": max(pearson / max(n - k, 1), 1e-9), "wald": None, "wald_p": None}
+    if len(tested):
+        inverse = np.linalg.pinv(h)
+        own = np.ix_(tested, tested)
+        wald = float(beta[list(tested)] @ np.linalg.pinv((inverse @ meat @ inverse)[own]) @ beta[list(tested)])
+        out |= {"wald": wald, "wald_p": chi2_tail(max(wald, 0.0), len(tested))}
+    return out
+
+
+def scaled_bic(stats: dict, dispersion: float) -> float:
+    """BIC of a quasi-likelihood, by a dispersion that all compared forms share: else the larger form would be paid for the noise it fits."""
+    return -2 * stats["log_likelihood"] / dispersion + stats["parameters"] * math.log(max(stats["n"], 2))
+
+
+def severity_cells(df: DataFrame, column: str, severity: str, center: float, scale: float, knots: Sequence[float]) -> DataFrame:
+    """Cells of a severity form: 1, the scaled value, and a hinge at each knot."""
+    v = F.col(column).cast("double")
+    x = [F.lit(1.0), (v - center) / scale, *[F.greatest(v - k, F.lit(0.0)) / scale for k in knots]]
+    rows = df.filter(v.isNotNull() & F.col(severity).isNotNull())
+    return rows.select(clamp(F.col(severity).cast("double"), 0.0, 1.0).alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+
+
+def severity_forms(df: DataFrame, column: str, severity: str, knots: Sequence[float] | None = None) -> dict:
+    """A straight and a bent form of a severity driver by the severity model's own estimator: deviance R2, dispersion, scaled BIC and the robust test of the bends.
+
+    Knots are searched for if not given; those outside of the column's range are left out, and without any bent is None.
+    """
+    v = F.col(column).cast("double")
+    s = df.filter(F.col(severity).isNotNull()).agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("d"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    knots = search(df, column, severity, 3, 40, severity=True).knots if knots is None else knots
+    inside = [float(k) for k in knots if s.lo < k < s.hi]
+    rows = severity_cells(df, column, severity, s.m, s.d or 1.0, inside).persist()
+    rate = rows.agg(F.avg("y")).first()[0]
+    fits = estimate.newton_many(rows, {"straight": [0, 1], "bent": list(range(2 + len(inside)))}, rate=rate)
+    null = fits["straight"][3] * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate)) if 0 < rate < 1 else 0.0
+    straight = quasi_statistics(rows.select("y", "x0", "x1"), fits["straight"][0])
+    bent = quasi_statistics(rows, fits["bent"][0], range(2, 2 + len(inside))) if inside else None
+    rows.unpersist()
+    shared = (bent or straight)["dispersion"]
+    for form in (straight, bent):
+        if form:
+            form |= {"deviance_r2": 1 - form["log_likelihood"] / null if null else 0.0, "bic": scaled_bic(form, shared)}
+    if bent:
+        bent |= {"knots": inside, "delta_bic": bent["bic"] - straight["bic"]}
+    return {"straight": straight, "bent": bent}
+
+
 def recommended(forms: dict, reversals: int) -> str:
     """continuous where a bend doesn't pay by BIC; bins where it does but the curve turns twice or more; else spline."""
     if not forms["bent"] or forms["bent"]["delta_bic"] >= 0:
@@ -94,12 +155,12 @@ def recommended(forms: dict, reversals: int) -> str:
 def recommendation(df: DataFrame, column: str, target: str, knots: Sequence[float] | None = None) -> DataFrame:
     """One row: the treatment, both forms' BIC and pseudo R2, the test between them, the knots and the curve's turning points.
 
-    Knots and turning points are taken from the curve's buckets, 30 at most; a turn must exceed the mean half width of its interval.
+    Turning points are taken from the curve's buckets, 30 at most; a turn must exceed the mean half width of its interval.
     """
     points = [r for r in curves.log_odds_curve(df, column, target).collect() if 0 < r.events < r.n]  # 30 buckets
     points.sort(key=lambda r: r.bucket)
     if knots is None:
-        knots = curves.auto_knots([r.x for r in points], [r.n for r in points], [r.events for r in points])
+        knots = search(df, column, target).knots
     half = sum((r.high - r.low) / 2 for r in points) / max(len(points), 1)
     turns = curves.turning_points([r.smooth for r in points], half) if points else 0
     f = compared(df, column, target, knots)

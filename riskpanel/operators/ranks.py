@@ -6,6 +6,7 @@ totals of the ranges below it, so a window never spans more than a range, whatev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,20 @@ def quantiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequenc
     return found.select(*by, F.array(*each).alias(to))
 
 
+def many_quantiles(counts: DataFrame, value: str, weight: str, fractions: Sequence[float]) -> list[float]:
+    """Exact quantiles of a count table (one row per value) at many fractions: a value answers for the ranks that it holds.
+
+    The ranks are at most two for each fraction, so that few rows leave the table; these are put together on the driver.
+    """
+    run = running_totals(counts.select(value, F.col(weight).alias("_n")), value, ["_n"])
+    n = (counts.agg(F.sum(weight)).first()[0] or 0) - 1
+    places = [f * n for f in fractions]
+    wanted = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    held = F.filter(F.array(*[F.lit(k).cast("long") for k in wanted]), lambda k: (k >= F.col("before__n")) & (k < F.col("before__n") + F.col("_n")))
+    at = {r.k: r.v for r in run.select(F.col(value).cast("double").alias("v"), F.explode(held).alias("k")).collect()}
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places] if n >= 0 else []
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per value (within by): _n rows and their rank, ties averaged."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))

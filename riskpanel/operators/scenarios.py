@@ -118,6 +118,30 @@ def stress_from_coefficients(terms: DataFrame, coefficients: dict[str, float], a
     return known.select("scenario", "place", F.round("peak", 6).alias("peak"), "peak_month", F.coalesce(F.col("peak") >= before - 1e-12, F.lit(True)).alias("monotone"))
 
 
+def macro_tornado(book: DataFrame, as_of: str, pd: Model, lgd: Model | Column, terms: DataFrame, horizon: int, fit_from: str, base: str = "base") -> DataFrame:
+    """By macro term of the default model: its standard deviation from fit_from to as_of, the expected loss of the base path, and that after moving the term one
+    deviation the adverse way in all months ahead; the greatest change first (place).
+
+    All shocks are scenarios of one projection.
+    """
+    beta = dict(zip(pd.names, pd.beta, strict=True))
+    moved = {t.column: 1 if beta[t.column] * t.sd > 0 else -1 for t in pd.terms if t.column in terms.columns and beta.get(t.column)}
+    own, date = terms.filter(F.col("scenario") == base), lambda d: F.lit(d).cast("date")
+    seen = (F.col("month") >= date(fit_from)) & (F.col("month") <= date(as_of))
+    # One row of deviations, which all months get.
+    sd = own.agg(*[F.stddev_pop(F.when(seen, F.col(t))).alias(f"sd {t}") for t in moved]) if moved else None
+    wide = own.join(F.broadcast(sd)) if moved else own
+    shocks = wide.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in [base, *moved]])))
+    ahead = F.col("month") > date(as_of)
+    shocks = shocks.withColumns({t: F.when(ahead & (F.col("scenario") == t), F.col(t) + sign * F.col(f"sd {t}")).otherwise(F.col(t)) for t, sign in moved.items()})
+    loss = losses.losses(projected(book, as_of, pd, lgd, shocks.select(terms.columns), horizon)).select("scenario", "ecl")
+    whole = loss.filter(F.col("scenario") == base).select(F.col("ecl").alias("base_ecl"))
+    sds = F.create_map(*[x for t in moved for x in (F.lit(t), F.col(f"sd {t}"))]) if moved else F.lit(None)
+    out = loss.filter(F.col("scenario") != base).join(F.broadcast(whole)).join(F.broadcast(sd)) if moved else loss.filter("false").withColumn("base_ecl", F.col("ecl"))
+    out = out.select(F.col("scenario").alias("term"), (sds[F.col("scenario")] if moved else F.lit(None).cast("double")).alias("sd"), "base_ecl", F.col("ecl").alias("shocked_ecl"), (F.col("ecl") - F.col("base_ecl")).alias("change"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.abs("change")), "term")))  # a row of each macro term
+
+
 def smoothness(terms: DataFrame, name: str) -> DataFrame:
     """By scenario the greatest second difference of a path, in size."""
     w = Window.partitionBy("scenario").orderBy("month")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import estimate, fit_record
+from ..operators import estimate, fit_record, scenarios
+from ..sources import panels
 from ..sources.panels import BOOK_SQL, book
+from . import search
 from .queries import query
 from .screening_queries import FRAME_SQL, third_of_book
 
@@ -109,3 +113,14 @@ def aliased_columns(spark: SparkSession, sf: str) -> DataFrame:
     terms = [estimate.Term("months_on_book", "scaled", sd=10.0), estimate.Term("current_balance", "scaled", sd=100_000.0), estimate.Term("doubled", "scaled", sd=10.0)]
     model = estimate.Model(["(intercept)", "months_on_book", "current_balance", "doubled"], [-4.0, 0.1, 0.1, 0.1], [0.1] * 4, 0.0, 0, terms)
     return fit_record.recorded(df, "default_flag", model).table(spark).select("name", F.round("vif", 5).alias("vif"), "aliased")
+
+
+@query()
+def joint_search_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two cores with all allowed combinations of macro terms, fitted before a boundary and measured before and after it."""
+    terms = [("ticket", "yoy", 3), ("orders", "yoy", 0)]
+    rows = scenarios.with_terms(book(spark, sf), panels.macro(spark, sf), terms)
+    names = ["ticket@yoy@3", "orders@yoy@0"]
+    combos = [c for k in (1, 2) for c in combinations(names, k)]
+    cores = {"age": ["months_on_book", "segment"], "size": ["months_on_book", "current_balance"]}
+    return search.joint_rows(rows, "default_flag", "2000-01-01", cores, {"months_on_book": "hinges", "segment": "woe_levels", "current_balance": "scaled"}, combos, {"ticket@yoy@3": -1, "orders@yoy@0": None})

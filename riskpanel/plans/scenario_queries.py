@@ -311,3 +311,16 @@ def stored_model_slices(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {BOOK_SQL}, v AS (SELECT * FROM ({unpivot_sql("book", ["months_on_book", "nation"], "account_id")}) WHERE value IS NOT NULL) SELECT name AS column_name, count(DISTINCT value) AS n_unique, CASE WHEN count(DISTINCT value) > 12 THEN 'numeric' ELSE 'categorical' END AS kind FROM v GROUP BY 1""")
 def univariate_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return quality.column_kinds(book(spark, sf), ["months_on_book", "nation"])
+
+
+TORNADO_SQL = RUN_SQL.replace("tx AS (SELECT scenario", "tx0 AS (SELECT scenario").replace("tr AS (SELECT", f"""sdv AS (SELECT stddev_pop(x) AS sd FROM tx0 WHERE scenario = 'base' AND month BETWEEN DATE '1996-01-01' AND DATE '{AS_OF}'),
+tx AS (SELECT scenario, month, x FROM tx0 WHERE scenario = 'base' UNION ALL SELECT '{TERM}', month, CASE WHEN month > DATE '{AS_OF}' THEN x - sd ELSE x END FROM tx0, sdv WHERE scenario = 'base'),
+tr AS (SELECT""")
+
+
+@query(f"""WITH {TORNADO_SQL}, l AS (SELECT scenario, sum({LOSS}) AS ecl FROM proj WHERE NOT capped GROUP BY 1)
+SELECT a.scenario AS term, round(sd, 6) AS sd, round(b.ecl, 2) AS base_ecl, round(a.ecl, 2) AS shocked_ecl, round(a.ecl - b.ecl, 2) AS change, 1::INT AS place FROM l a, l b, sdv WHERE a.scenario <> 'base' AND b.scenario = 'base'""")
+def macro_tornado(spark: SparkSession, sf: str) -> DataFrame:
+    """One deviation of each macro term, the adverse way, projected."""
+    found = scenarios.macro_tornado(scenarios.as_of_book(book(spark, sf), AS_OF), AS_OF, PD_MODEL, LGD_MODEL, macro_terms(spark, sf), HORIZON, "1996-01-01")
+    return found.select("term", "place", *[F.round(c, d).alias(c) for c, d in (("sd", 6), ("base_ecl", 2), ("shocked_ecl", 2), ("change", 2))])

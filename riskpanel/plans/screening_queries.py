@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, frames, macro, macro_severity, null_floors, optimal_binning
+from ..operators import binning, evaluate, frames, macro, macro_severity, null_floors, optimal_binning
 from ..sources import panels
 from ..sources.panels import BOOK_SQL, LINES_SQL, NUMERIC, book, lines, unpivot_sql
-from .queries import TERMS_SQL, query
+from .queries import COHORT_SQL, PAIRS, SCORED_SQL, TERMS_SQL, query, scored
 
 LAGS = [0, 3, 6, 9, 12]
 
@@ -138,3 +138,37 @@ def shape_null_floors(spark: SparkSession, sf: str) -> DataFrame:
         own = null_floors.shape_floor(b, "default_flag", FRAME_KEY, kind, levels, DRAWS, 8 if kind == "numeric" else 12)
         out = own if out is None else out.unionByName(own)
     return out.select("kind", "levels", F.round("mean_iv", 9).alias("mean_iv"), F.round("floor", 9).alias("floor"))
+
+
+@query(f"WITH {LINES_SQL}, " + ", ".join(f"j{i} AS (SELECT {a} AS x, {b} AS y FROM lines WHERE {a} IS NOT NULL AND {b} IS NOT NULL), r{i} AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y FROM j{i})" for i, (a, b) in enumerate(PAIRS)) + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr(x, y), 7) AS r FROM r{i}" for i, (a, b) in enumerate(PAIRS)))
+def rank_correlation_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Spearman's correlation of all pairs of numeric columns."""
+    return binning.rank_correlations(lines(spark, sf), NUMERIC)
+
+
+@query(f"WITH {LINES_SQL}, c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS r FROM lines" for a, b in PAIRS) + ") SELECT a, b, r, abs(r) >= 0.9 AS high FROM c")
+def correlation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The correlation report's pairs; its order of columns, which comes of a tree, has no SQL."""
+    return binning.correlation_report(lines(spark, sf), NUMERIC).select("a", "b", "r", "high")
+
+
+@query(f"""WITH {SCORED_SQL}, q AS (SELECT list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM scored), b AS (SELECT len(list_filter(e, lambda x: x <= p)) + 1 AS bin, y, p FROM scored, q),
+g AS (SELECT bin, count(*) AS n, sum(y) AS o, sum(p) AS x FROM b GROUP BY 1), h AS (SELECT count(*)::INT AS groups, sum(round(CASE WHEN x > 0 AND x < n THEN pow(o - x, 2) / (x * (1 - x / n)) ELSE 0 END, 6)) AS s FROM g)
+SELECT groups, round(s, 5) AS statistic, groups - 2 AS df, round(exp(-s / 2) * list_sum(list_transform(range(0, (groups - 2) // 2), lambda i: pow(s / 2, i) / gamma(i + 1))), 8) AS p_value FROM h""")
+def hosmer_lemeshow_test(spark: SparkSession, sf: str) -> DataFrame:
+    """The calibration test; of an even number of degrees of freedom its tail is a finite sum."""
+    found = evaluate.hosmer_lemeshow_table(evaluate.calibration(scored(spark, sf)))
+    return found.select("groups", F.round("statistic", 5).alias("statistic"), "df", F.round("p_value", 8).alias("p_value"))
+
+
+#: The beta distribution's mass below a rate, by the trapezoid rule over its peak; a rate lies within Jeffreys' interval if that is within 2.5 and 97.5 percent.
+@query(f"""WITH {COHORT_SQL}, k AS (SELECT period, predicted, events, n, events + 0.5 AS a, n - events + 0.5 AS b FROM coh),
+w AS (SELECT *, greatest(0, a / (a + b) - 12 * sqrt(a * b / (a + b + 1)) / (a + b)) AS lo, least(1, a / (a + b) + 16 * sqrt(a * b / (a + b + 1)) / (a + b)) AS hi FROM k),
+g AS (SELECT period, predicted, events, n, lo, hi, lo + (hi - lo) * (i + 0.5) / 40000 AS t, (a - 1) * (ln(lo + (hi - lo) * (i + 0.5) / 40000) - ln(a / (a + b))) + (b - 1) * (ln(1 - lo - (hi - lo) * (i + 0.5) / 40000) - ln(b / (a + b))) AS l FROM w, range(0, 40000) r(i)),
+m AS (SELECT period, any_value(events) AS events, any_value(n) AS n, sum(exp(l)) FILTER (WHERE t <= predicted) / sum(exp(l)) AS mass FROM g GROUP BY 1),
+c AS (SELECT period, CASE WHEN events = 0 THEN coalesce(mass, 0) <= 0.975 WHEN events = n THEN coalesce(mass, 0) >= 0.025 ELSE coalesce(mass, 0) BETWEEN 0.025 AND 0.975 END AS covered FROM m),
+s AS (SELECT covered, unnest(['all', CASE WHEN period < DATE '2000-01-01' THEN 'in_time' ELSE 'out_of_time' END]) AS slice FROM c)
+SELECT slice, count(*) AS periods, count(*) FILTER (WHERE covered) AS covered, round(avg(covered::INT), 6) AS coverage FROM s GROUP BY 1""")
+def interval_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How often predicted rates lie within the cohorts' intervals."""
+    return evaluate.coverage(evaluate.with_intervals(evaluate.cohorts(scored(spark, sf))), "2000-01-01")

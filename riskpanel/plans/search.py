@@ -74,7 +74,8 @@ class Trials:
         self.width = at
         rows, _ = estimate.design(train, list(self.terms.values()), F.col(target).cast("double").alias("y"))
         self.rows = rows.persist()
-        s = self.rows.agg(F.avg("y").alias("rate"), F.sum("y").alias("events")).first()
+        s = self.rows.agg(F.avg("y").alias("rate"), F.sum("y").alias("events"), F.count(F.lit(1)).alias("n")).first()
+        self.n = s.n
         self.rate, self.events, self.known, self.r = s.rate, s.events or 0.0, {}, None
         train.unpersist()
 
@@ -283,6 +284,62 @@ def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps
     return rows.sparkSession.createDataFrame(out, "combo string, n long, log_likelihood double, bic double, beta array<double>")
 
 
+JOINT = (
+    "core string, terms array<string>, columns array<string>, n long, events long, log_likelihood double, bic double, max_p double, max_inflation double, shifted array<string>, "
+    "wrong_signs array<string>, auc_in double, ks_in double, auc_oot double, ks_oot double, filtered string"
+)
+
+
+def joint_rows(rows: DataFrame, target: str, boundary: str, cores: dict[str, Sequence[str]], treatments: dict[str, str], combos: Sequence[Sequence[str]], priors: dict[str, int | None], rules: Rules = Rules(), shift: float = 0.30, at_once: int = 40) -> DataFrame:
+    """Each core alone and with each combination of macro terms, one row for each set of columns.
+
+    All sets are fitted beside each other on the rows before the boundary (an event-preserving frame of them), and scored on that
+    frame and on all later rows; their AUC and KS are one aggregate for at_once models. shifted: core columns of which a
+    coefficient turned its sign or moved by more than shift of itself against the core alone. wrong_signs: terms against
+    their prior. filtered names the rule that a fit breaks: p (a single-column term above rules.leave), inflation or sign.
+    """
+    early = F.col("performance_date") < F.lit(boundary).cast("date")
+    every = {**{c: treatments[c] for core in cores.values() for c in core}, **{t: "scaled" for combo in combos for t in combo}}
+    trials = Trials(rows.filter(early), target, every, rules.frame)
+    sets: dict[tuple[str, ...], tuple[str, tuple[str, ...]]] = {}
+    for name, core in cores.items():
+        core = [c for c in core if c in trials.terms]
+        for combo in [(), *combos]:
+            if core and all(t in trials.terms for t in combo):
+                sets.setdefault(tuple(sorted([*core, *combo])), (name, tuple(combo)))
+    trials.fit_all(list(sets))
+    alone = {name: tuple(sorted(c for c in core if c in trials.terms)) for name, core in cores.items()}
+    trials.fit_all([a for a in alone.values() if a])
+    own = rows.filter(F.col(target).isNotNull()).select(F.when(early, "in").otherwise("oot").alias("slice"), F.col(target).alias("y"), *every).persist()
+    power: dict[tuple, tuple] = {}
+    for at in range(0, len(sets), at_once):
+        keys = list(sets)[at : at + at_once]
+        scores = [F.struct(F.lit(i).alias("model"), sigmoid(sum((c * float(b) for c, b in zip([F.lit(1.0), *[x for k in key for _, x in trials.terms[k].columns()]], trials.fitted(key)[1], strict=True)), F.lit(0.0))).alias("p")) for i, key in enumerate(keys)]
+        long = own.select("slice", "y", F.explode(F.array(*scores)).alias("s")).select("slice", "y", "s.model", "s.p")
+        for r in evaluate.discrimination(long, ["model", "slice"]).collect():  # two rows of each model
+            power[keys[r.model], r.slice] = (r.auc, r.ks)
+    out = []
+    for key, (name, combo) in sets.items():
+        ll, beta, h = trials.fitted(key)
+        cells = trials.cells(key)
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(h)), 0))
+        at = {c: [cells.index(i) for i in trials.places[c]] for c in key}
+        p = {c: normal_tail(float(beta[i[0]] / se[i[0]])) if se[i[0]] else 1.0 for c, i in at.items() if len(i) == 1}
+        base = trials.fitted(alone[name])
+        base_at = {c: [trials.cells(alone[name]).index(i) for i in trials.places[c]] for c in alone[name]}
+        moved = [c for c in alone[name] if any(beta[i] * base[1][j] < 0 or abs(beta[i] - base[1][j]) > shift * abs(base[1][j]) for i, j in zip(at[c], base_at[c], strict=True))]
+        wrong = [t for t in combo if priors.get(t) and float(beta[at[t][0]]) * priors[t] <= 0]
+        inflation = trials.inflation(key)
+        worst = max(p.values(), default=0.0)
+        why = "sign" if wrong else "p" if worst > rules.leave else "inflation" if rules.inflation and inflation > rules.inflation else None
+        r = lambda v, d=6: None if v is None else round(float(v), d)
+        auc = [power.get((key, s), (None, None)) for s in ("in", "oot")]
+        out.append((name, list(combo), list(key), trials.n, int(trials.events), r(ll), r(len(cells) * math.log(max(trials.events, 2)) - 2 * ll), r(worst, 8), r(inflation), moved, wrong, *[r(v, 8) for a in auc for v in a], why))
+    own.unpersist()
+    trials.close()
+    return rows.sparkSession.createDataFrame(out, JOINT)
+
+
 def model_run(panel: DataFrame, target: str, treatments: dict[str, str], boundary: str, test_fraction: float = 0.2, account: str | None = "account_id") -> tuple[estimate.Model, DataFrame]:
     """Split by date and account, fit on the training rows, score all: the model, and the panel with p and slice."""
     late = F.col("performance_date") >= F.lit(boundary).cast("date")

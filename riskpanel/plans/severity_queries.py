@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, curves, estimate, forms, quality, scenarios, severity
+from ..operators import binning, curves, estimate, forms, knots, quality, scenarios, severity
 from ..sources import panels
 from ..sources.panels import BOOK_SQL, LINES_SQL, NUMERIC, book, lines, unpivot_sql
 from . import search, severity_search
@@ -189,9 +189,8 @@ def severity_fits(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def spline_knots(spark: SparkSession, sf: str) -> DataFrame:
     """Knots of default by age, and of severity by price, found by search."""
-    points = sorted((r for r in curves.log_odds_curve(book(spark, sf), "months_on_book", "default_flag").collect()), key=lambda r: r.bucket)  # 30 buckets
-    age = curves.auto_knots([r.x for r in points], [r.n for r in points], [r.events for r in points])
-    loss = curves.severity_knots(seen_lines(spark, sf), "price", "lgd_realised")
+    age = knots.search(book(spark, sf), "months_on_book", "default_flag").knots
+    loss = knots.search(seen_lines(spark, sf), "price", "lgd_realised", 3, 40, severity=True).knots
     return spark.createDataFrame([("months_on_book", "default_flag", age), ("price", "lgd_realised", loss)], "column_name string, target string, knots array<double>")
 
 
@@ -218,3 +217,28 @@ DIGESTED = {"account_id": "BIGINT", "current_balance": "DOUBLE", "interest_rate"
 @query(f"""WITH {BOOK_SQL} SELECT substring(sha256(concat_ws('|', {", ".join(f"concat_ws(':', '{c}', " + ", ".join(f"printf('%.5e', {f}({c})::DOUBLE)" for f in ("avg", "stddev_samp", "min", "max")) + ")" for c in sorted(DIGESTED))})), 1, 12) AS digest FROM book""")
 def content_digest(spark: SparkSession, sf: str) -> DataFrame:
     return quality.content_digest(book(spark, sf).select(*DIGESTED, "segment"))
+
+
+FORM_KNOT, FORM_CENTER, FORM_SCALE, FORM_BETA = 40_000.0, 30_000.0, 20_000.0, [-0.1, 0.15, -0.2]
+
+
+def _form_sql() -> str:
+    eta = " + ".join(f"({b}::DOUBLE) * x{i}" for i, b in enumerate(FORM_BETA))
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    h = ", ".join(f"sum(x{i} * x{j} * p * (1 - p)) AS h{i}{j}, sum(x{i} * x{j} * (y - p) * (y - p)) AS m{i}{j}" for i, j in pairs)
+    # The last row of the inverse of a symmetric 3 x 3 matrix, by cofactors.
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    r = ["(h01 * h12 - h02 * h11)", "(h01 * h02 - h00 * h12)", "(h00 * h11 - h01 * h01)"]
+    var = " + ".join(f"{r[i]} * {r[j]} * m{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3))
+    return f"""WITH {SEEN_SQL}, x AS (SELECT lgd_realised AS y, 1.0::DOUBLE AS x0, (price - {FORM_CENTER}) / {FORM_SCALE} AS x1, greatest(price - {FORM_KNOT}, 0) / {FORM_SCALE} AS x2 FROM seen),
+s AS (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM x), g AS (SELECT count(*) AS n, sum(y * ln(p) + (1 - y) * ln(1 - p)) AS ll, sum((y - p) * (y - p) / (p * (1 - p))) / (count(*) - 3) AS phi, {h} FROM s)
+SELECT n, 3 AS parameters, round(ll, 5) AS log_likelihood, round(phi, 8) AS dispersion, round(-2 * ll / phi + 3 * ln(n), 4) AS bic, round({FORM_BETA[2]}::DOUBLE * {FORM_BETA[2]}::DOUBLE * {det} * {det} / ({var}), 4) AS wald FROM g"""
+
+
+@query(_form_sql())
+def severity_form_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Quasi-likelihood, dispersion, scaled BIC and the robust test of a bend, at fixed coefficients."""
+    rows = forms.severity_cells(seen_lines(spark, sf), "price", "lgd_realised", FORM_CENTER, FORM_SCALE, [FORM_KNOT])
+    s = forms.quasi_statistics(rows, FORM_BETA, [2])
+    row = (s["n"], s["parameters"], round(s["log_likelihood"], 5), round(s["dispersion"], 8), round(forms.scaled_bic(s, s["dispersion"]), 4), round(s["wald"], 4))
+    return spark.createDataFrame([row], "n long, parameters int, log_likelihood double, dispersion double, bic double, wald double")

@@ -24,7 +24,7 @@ from .search import Rules, Trials, cyclical
 AT_ONCE = 40
 FITS = (
     "core string, terms array<string>, columns array<string>, n_train long, n_test long, log_likelihood double, bic double, max_p double, max_inflation double, "
-    "shifted array<string>, mae_in double, mae_oot double, rmse_oot double, filtered string"
+    "shifted array<string>, mae_in double, mae_oot double, rmse_oot double, rises boolean, filtered string"
 )
 
 
@@ -130,12 +130,24 @@ def combinations_of(trials: SeverityTrials, terms: Sequence[str], most: int = 3,
     return [c for size in range(1, most + 1) for c in combinations(terms, size) if len({family(t) for t in c}) == size and all(trials.correlation(a, b) <= limit for a, b in combinations(c, 2))]
 
 
-def fits(seen: DataFrame, severity: str, cores: dict[str, Sequence[str]], terms: Sequence[str], boundary: str, rules: Rules = Rules(), most: int = 3, shift: float = 0.30) -> DataFrame:
+def rises(coefficients: dict[str, float], rows: Sequence, order: Sequence[str]) -> bool:
+    """Whether the greatest move of the predictor since each path's first month grows along the order of scenarios, and ends above 0."""
+    peaks = []
+    for scenario in order:
+        own = [r for r in rows if r["scenario"] == scenario]
+        value = [sum(b * (r[t] or 0.0) for t, b in coefficients.items()) for r in own]
+        peaks.append(max((v - value[0] for v in value[1:]), default=0.0))
+    return bool(peaks) and all(b >= a - 1e-12 for a, b in zip(peaks, peaks[1:], strict=False)) and peaks[-1] > 0
+
+
+def fits(seen: DataFrame, severity: str, cores: dict[str, Sequence[str]], terms: Sequence[str], boundary: str, rules: Rules = Rules(), most: int = 3, shift: float = 0.30, paths: DataFrame | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Each core alone and with each combination of the terms that pass beside it, one row for each set of columns.
 
     Fitted on rows before the boundary. shifted: core columns whose coefficient turned its sign or moved by more than shift of
     itself against the core alone. mae_oot and rmse_oot are null under LEAST_TEST later rows. filtered names the
-    rule that a fit breaks: p (a column above rules.leave) or inflation.
+    rule that a fit breaks: p (a column above rules.leave), inflation, or stress. paths: scenario, month and the terms' values, from a
+    date on; order: scenarios from the mildest on. rises: whether the peak of the macro terms' part of the
+    predictor, from the first month on, grows from scenario to scenario and is above 0 in the severest (null: no terms or paths).
     """
     late = F.col("performance_date") >= F.lit(boundary).cast("date")
     every = list(dict.fromkeys([*[c for core in cores.values() for c in core], *terms]))
@@ -148,6 +160,8 @@ def fits(seen: DataFrame, severity: str, cores: dict[str, Sequence[str]], terms:
         for combo in [(), *combinations_of(trials, passed, most)]:
             sets.setdefault(tuple(sorted([*core, *combo])), (name, combo))
     trials.test_all([*[k for k in sets if k], *[[c for c in k if c not in combo] for k, (_, combo) in sets.items() if set(k) - set(combo)]])
+    # Months by scenarios: a few hundred rows.
+    ahead = paths.orderBy("month").collect() if paths is not None else []
     models = {key: trials.model(key) for key in sets if key}
     errors: dict[tuple, tuple] = {}
     for at in range(0, len(models), AT_ONCE):
@@ -165,9 +179,11 @@ def fits(seen: DataFrame, severity: str, cores: dict[str, Sequence[str]], terms:
         n, m, mae_in, mae_oot, rmse_oot = errors[key]
         moved = [c for c in core if now[c][0] * alone[c][0] < 0 or abs(now[c][0] - alone[c][0]) > shift * abs(alone[c][0])]
         p, inflation, ll = max(now[c][2] for c in key), trials.inflation(key), trials.fitted(key)[0]
-        why = "p" if p > rules.leave else "inflation" if rules.inflation and inflation > rules.inflation else None
+        steep = {t: now[t][0] / trials.terms[t].sd for t in combo}
+        up = rises(steep, ahead, order) if combo and ahead else None
+        why = "p" if p > rules.leave else "inflation" if rules.inflation and inflation > rules.inflation else "stress" if up is False else None
         r = lambda v, d=6: None if v is None else round(float(v), d)
-        out.append((name, list(combo), list(key), n, m, r(ll), r(len(key) * math.log(max(n, 1)) - 2 * ll), r(p, 8), r(inflation), moved, r(mae_in, 8), r(mae_oot, 8), r(rmse_oot, 8), why))
+        out.append((name, list(combo), list(key), n, m, r(ll), r(len(key) * math.log(max(n, 1)) - 2 * ll), r(p, 8), r(inflation), moved, r(mae_in, 8), r(mae_oot, 8), r(rmse_oot, 8), up, why))
     trials.close()
     seen.unpersist()
     return seen.sparkSession.createDataFrame(out, FITS)

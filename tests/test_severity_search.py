@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskpanel.operators import curves, estimate, quality
+from riskpanel.operators import estimate, forms, knots, quality
 from riskpanel.plans import reviews, search, severity_search, specs
 
 
@@ -105,9 +105,9 @@ def test_severity_knot_where_the_slope_turns(spark):
     x = rng.uniform(0, 10, 4000)
     s = 1 / (1 + np.exp(-(1.2 * np.maximum(x - 6, 0) - 2)))
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, s)], "x double, s double")
-    knots = curves.severity_knots(df, "x", "s")
-    assert knots and min(abs(k - 6) for k in knots) < 0.6
-    assert curves.severity_knots(df.limit(50), "x", "s") == []
+    found = knots.search(df, "x", "s", 1, 40, severity=True)
+    assert len(found.knots) == 1 and abs(found.knots[0] - 6) < 0.6 and found.gain_over_line > 0 and found.gain_over_even >= 0
+    assert knots.search(df.limit(50), "x", "s", severity=True).note == "too few events"
 
 
 def test_reviews_need_reasons(spark, tmp_path):
@@ -159,3 +159,46 @@ def test_digest_tells_changes(spark):
     assert len(one) == 12 and one == quality.content_digest(df.select("v", "k")).first().digest
     assert one != quality.content_digest(df.withColumn("v", F.col("v") * 1.001)).first().digest
     assert one == quality.content_digest(df.withColumn("v", F.col("v") * (1 + 1e-9))).first().digest
+
+
+def test_knots_of_an_event(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(50, 20, 8000)
+    p = 1 / (1 + np.exp(-(-3 + 0.12 * np.maximum(x - 60, 0) - 0.1 * np.maximum(x - 85, 0))))
+    y = (rng.random(8000) < p).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)] + [(None, 1)], "x double, y int")
+    found = knots.search(df, "x", "y", 2)
+    lo, hi = np.quantile(x, [0.01, 0.99])
+    candidates = np.quantile(np.clip(x, lo, hi), knots.GRID)
+    assert all(min(abs(k - candidates)) < 1e-9 for k in found.knots) and len(found.knots) == 2
+    assert found.knots[1] - found.knots[0] > knots.SEPARATION * (hi - lo) and abs(found.knots[0] - 60) < 8
+    assert found.gain_over_even >= 0
+    # Of all pairs none is better by much: the search is greedy, but it refines.
+    edges = np.unique(np.quantile(np.clip(x, lo, hi), np.linspace(0, 1, 121)))
+    at = np.clip(np.digitize(np.clip(x, lo, hi), edges[1:-1]), 0, len(edges) - 2)
+    n, e = np.bincount(at).astype(float), np.bincount(at, weights=y)
+    assert found.buckets == len(n)
+    mid = (edges[:-1] + edges[1:]) / 2
+    line = knots.likelihood(mid, n, e, [])
+    best = max(knots.likelihood(mid, n, e, [a, b]) for i, a in enumerate(candidates) for b in candidates[i + 1 :] if b - a > knots.SEPARATION * (hi - lo))
+    assert found.gain_over_line == pytest.approx(knots.likelihood(mid, n, e, found.knots) - line, abs=1e-6) and best - line - found.gain_over_line < 0.1 * (best - line)
+    assert knots.search(df.limit(400), "x", "y").note and knots.search(df.withColumn("x", F.lit(1.0)), "x", "y").note == "no range"
+    assert knots.search(df.withColumn("x", F.round(F.col("x") / 60)), "x", "y").note == "too few values"
+
+
+def test_severity_forms(spark):
+    rng = np.random.default_rng(8)
+    v = rng.uniform(0, 10, 1200)
+    s = np.clip(1 / (1 + np.exp(-(0.9 * np.maximum(v - 6, 0) - 1))) + rng.normal(0, 0.2, 1200), 0, 1)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, s)] + [(None, 0.5), (1.0, None)], "x double, s double")
+    got = forms.severity_forms(df, "x", "s", [6.0, 99.0])
+    z = (v - df.filter("s IS NOT NULL").toPandas()["x"].mean()) / df.filter("s IS NOT NULL").toPandas()["x"].std(ddof=0)
+    d = np.column_stack([np.ones(1200), z, np.maximum(v - 6, 0)])
+    beta, se, p = fractional(d, s)
+    bent = got["bent"]
+    assert bent["knots"] == [6.0] and bent["wald"] == pytest.approx((beta[2] / se[2]) ** 2, rel=1e-3) and bent["wald_p"] < 1e-6
+    phi = ((s - p) ** 2 / (p * (1 - p))).sum() / (1200 - 3)
+    assert bent["dispersion"] == pytest.approx(phi, rel=1e-6)
+    ll = (s * np.log(p) + (1 - s) * np.log(1 - p)).sum()
+    assert bent["bic"] == pytest.approx(-2 * ll / phi + 3 * np.log(1200), rel=1e-6) and bent["delta_bic"] < 0
+    assert forms.severity_forms(df, "x", "s", [])["bent"] is None
