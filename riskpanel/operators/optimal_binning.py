@@ -117,13 +117,13 @@ def merged(n: Sequence[float], events: Sequence[float], most: int = 8, least_bin
 def optimal_bins(counts: DataFrame, edges: DataFrame, most: int = 8, least_bins: int = 1, least_share: float = 0.02, least_rows: int = 30, trend: str = "auto") -> DataFrame:
     """By column the best merge of its pre-bins: column_name, bins, iv, trend, starts (first pre-bins) and edges.
 
-    counts: name, bin, n, events, as bin_counts() gives them; missing values (bin -1) are no part of the order. edges: name, edges.
+    counts: name, bin, n, events, as bin_counts() gives them; missing values (bin -1) are no part of the order, and neither are pre-bins without rows. edges: name, edges.
     """
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["bin"] >= 0].sort_values("bin")
-        starts, iv, name = merged(pdf["n"], pdf["events"], most, least_bins, least_share, least_rows, trend)
-        cut = list(pdf["edges"].iloc[0]) if len(pdf) else []
+        pdf = pdf[(pdf["bin"] >= 0) & (pdf["n"] > 0)].sort_values("bin")
+        places, iv, name = merged(pdf["n"], pdf["events"], most, least_bins, least_share, least_rows, trend)
+        starts, cut = [int(pdf["bin"].iloc[p]) for p in places], list(pdf["edges"].iloc[0]) if len(pdf) else []
         return pd.DataFrame({"column_name": [pdf["name"].iloc[0]], "bins": [len(starts)], "iv": [iv], "trend": [name], "starts": [starts], "edges": [[float(cut[s - 1]) for s in starts[1:]]]}) if len(pdf) else pd.DataFrame(columns=["column_name", "bins", "iv", "trend", "starts", "edges"])
 
     return counts.join(edges, "name").groupBy("name").applyInPandas(own, "column_name string, bins int, iv double, trend string, starts array<int>, edges array<double>")

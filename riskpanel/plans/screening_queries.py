@@ -23,7 +23,7 @@ SEEN_SQL = "d AS (SELECT performance_date AS month, greatest(0, least(1, lgd_rea
 
 @query(f"""WITH {CANDIDATES_SQL}, {SEEN_SQL},
 dc AS (SELECT month, s, count(*) AS n FROM d GROUP BY 1, 2),
-j AS (SELECT candidate, month, x, s, n FROM c JOIN dc USING (month)),
+j AS (SELECT candidate, month, round(x, 9) AS x, s, n FROM c JOIN dc USING (month)),
 ys AS (SELECT candidate, s, sum(n) AS t FROM j GROUP BY 1, 2), yr AS (SELECT candidate, s, sum(t) OVER (PARTITION BY candidate ORDER BY s) - t + (t + 1) / 2 AS ry FROM ys),
 xs AS (SELECT candidate, x, sum(n) AS t FROM j GROUP BY 1, 2), xr AS (SELECT candidate, x, sum(t) OVER (PARTITION BY candidate ORDER BY x) - t + (t + 1) / 2 AS rx FROM xs),
 r AS (SELECT candidate, sum(n)::BIGINT AS n, count(DISTINCT month) AS months, sum(n * rx * ry) - sum(n * rx) * sum(n * ry) / sum(n) AS cov, sum(n * rx * rx) - sum(n * rx) ** 2 / sum(n) AS vx, sum(n * ry * ry) - sum(n * ry) ** 2 / sum(n) AS vy FROM j JOIN yr USING (candidate, s) JOIN xr USING (candidate, x) GROUP BY 1),
@@ -34,7 +34,8 @@ t AS (SELECT candidate, n, months, CASE WHEN ok THEN ne END AS ne, CASE WHEN ok
 SELECT candidate, n, months, round(ne, 4) AS n_effective, round(r, 7) AS r, round(t, 5) AS t, CASE WHEN t IS NOT NULL THEN round({area_sql("atan2(sqrt(ne - 2), abs(t))", "(ne - 2)")} / {area_sql("(pi() / 2)", "(ne - 2)")}, 6) END AS p FROM t""")
 def macro_severity_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """Every macro candidate's rank correlation with the severity of single defaults."""
-    candidates = macro.lagged(macro.transformed(panels.macro(spark, sf)), LAGS)
+    # Rounded, as equal changes of a term differ in their last digits from engine to engine.
+    candidates = macro.lagged(macro.transformed(panels.macro(spark, sf)), LAGS).withColumn("value", F.round("value", 9))
     found = macro_severity.rank_correlations(candidates, macro_severity.severity_counts(lines(spark, sf), "y"))
     return found.select("candidate", "n", "months", *[F.round(c, d).alias(c) for c, d in (("n_effective", 4), ("r", 7), ("t", 5), ("p", 6))])
 
@@ -154,11 +155,11 @@ def correlation_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {SCORED_SQL}, q AS (SELECT list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM scored), b AS (SELECT len(list_filter(e, lambda x: x <= p)) + 1 AS bin, y, p FROM scored, q),
 g AS (SELECT bin, count(*) AS n, sum(y) AS o, sum(p) AS x FROM b GROUP BY 1), h AS (SELECT count(*)::INT AS groups, sum(round(CASE WHEN x > 0 AND x < n THEN pow(o - x, 2) / (x * (1 - x / n)) ELSE 0 END, 6)) AS s FROM g)
-SELECT groups, round(s, 5) AS statistic, groups - 2 AS df, round(exp(-s / 2) * list_sum(list_transform(range(0, (groups - 2) // 2), lambda i: pow(s / 2, i) / gamma(i + 1))), 8) AS p_value FROM h""")
+SELECT groups, round(s, 4) AS statistic, groups - 2 AS df, round(exp(-s / 2) * list_sum(list_transform(range(0, (groups - 2) // 2), lambda i: pow(s / 2, i) / gamma(i + 1))), 6) AS p_value FROM h""")
 def hosmer_lemeshow_test(spark: SparkSession, sf: str) -> DataFrame:
     """The calibration test; of an even number of degrees of freedom its tail is a finite sum."""
     found = evaluate.hosmer_lemeshow_table(evaluate.calibration(scored(spark, sf)))
-    return found.select("groups", F.round("statistic", 5).alias("statistic"), "df", F.round("p_value", 8).alias("p_value"))
+    return found.select("groups", F.round("statistic", 4).alias("statistic"), "df", F.round("p_value", 6).alias("p_value"))
 
 
 #: The beta distribution's mass below a rate, by the trapezoid rule over its peak; a rate lies within Jeffreys' interval if that is within 2.5 and 97.5 percent.
