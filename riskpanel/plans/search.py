@@ -60,8 +60,8 @@ class Trials:
     """
 
     def __init__(self, train: DataFrame, target: str, candidates: dict[str, str], frame: int | None = None) -> None:
-        train = train.select(target, *candidates).filter(F.col(target).isNotNull())
-        train = (frames.event_frame(train, target, frame).rows if frame else train).persist()
+        whole = train.select(target, *candidates).filter(F.col(target).isNotNull()).persist()  # a frame takes several passes
+        train = frames.event_frame(whole, target, frame).rows.persist() if frame else whole
         ends = train.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(candidates)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(candidates)]).first()
         #: Columns of one value, or none, which no fit can estimate.
         self.constant = [c for i, c in enumerate(candidates) if ends[f"a{i}"] == ends[f"b{i}"]]
@@ -78,6 +78,7 @@ class Trials:
         self.n = s.n
         self.rate, self.events, self.known, self.r = s.rate, s.events or 0.0, {}, None
         train.unpersist()
+        whole.unpersist()
 
     def cells(self, key: Sequence[str]) -> list[int]:
         return [0, *[i for c in key for i in self.places[c]]]
