@@ -11,8 +11,11 @@ have a Jaccard similarity of about 0.001, for which hundreds of hash functions a
 
 Candidates are then verified by exact shingle containment, on the shingles' text.
 
-Defined results: a null or empty text has no shingles; an item of fewer than five words has none and
-matches nothing, as one or two common words would condemn clean documents; repeated rows of an id and text give one
+An item of fewer than five words is one shingle of all its words, which a document has to hold as it stands;
+documents are shingled by such a width too only where an item has it. Items of fewer than SHORTEST words match nothing,
+as one or two common words would condemn clean documents; the bound is a parameter, and 1 leaves no item out.
+
+Defined results: a null or empty text has no shingles and matches nothing; repeated rows of an id and text give one
 pair, rows of one id but different texts are judged each by its own text; repeated items of one id are one item with
 the shingles of all its rows; a null id is an id like others; an empty table of either kind gives no pair; other
 columns are not looked at.
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_key, within
 
 WORDS, SHARE = 5, 0.8
+#: Words that an item needs.
+SHORTEST = 3
 
 
 def words_of(text: str) -> Column:
@@ -48,24 +53,30 @@ def missable(n: Column, share: float) -> Column:
     return n - F.ceil(F.round(n * F.lit(share), 6)).cast("int")
 
 
-def item_shingles(items: DataFrame, item_id: str, text: str, share: float) -> DataFrame:
-    """Distinct shingles of each item: _item, _s, _n, _part (of sizes from 2 ** _part on), _need (of the sketch), and whether the shingle is in the sketch."""
-    words = items.select(F.col(item_id).alias("_item"), words_of(text).alias("_w"))
-    each = words.select("_item", F.explode(shingles_of("_w")).alias("_s")).distinct()
+def item_shingles(items: DataFrame, item_id: str, text: str, share: float, shortest: int = SHORTEST) -> DataFrame:
+    """Distinct shingles of each item: _item, _s, _width, _n, _part (of sizes from 2 ** _part on), _need (of the sketch), and whether the shingle is in the sketch.
+
+    _width: the words of a shingle, which are WORDS but for the rows of fewer words.
+    """
+    words = items.select(F.col(item_id).alias("_item"), words_of(text).alias("_w")).filter(F.size("_w") >= max(shortest, 1))
+    own = F.when(F.size("_w") < WORDS, F.array(F.concat_ws(" ", "_w"))).otherwise(shingles_of("_w"))
+    each = words.select("_item", F.explode(own).alias("_s")).distinct()
     whole = each.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("_s").alias("h"), F.col("_s").alias("s")))).alias("_all"))
     sized = whole.withColumn("_n", F.size("_all")).withColumn("_part", F.floor(F.log2("_n")).cast("int"))
     most = (F.lit(2) * F.pow(F.lit(2), F.col("_part")) - 1).cast("int")
     k = F.least(F.col("_n"), missable(most, share) + 1)
     sized = sized.withColumns({"_k": k, "_need": k - missable(F.col("_n"), share)})
-    return sized.select("_item", "_n", "_part", "_need", "_k", F.posexplode("_all").alias("_i", "_x")).select("_item", "_n", "_part", "_need", F.col("_x.s").alias("_s"), (F.col("_i") < F.col("_k")).alias("_sketch"))
+    return sized.select("_item", "_n", "_part", "_need", "_k", F.posexplode("_all").alias("_i", "_x")).select("_item", "_n", "_part", "_need", F.col("_x.s").alias("_s"), F.size(F.split("_x.s", " ")).alias("_width"), (F.col("_i") < F.col("_k")).alias("_sketch"))
 
 
-def contained(docs: DataFrame, key: list[str], items: DataFrame, text: str, item_id: str, item_text: str, share: float) -> DataFrame:
+def contained(docs: DataFrame, key: list[str], items: DataFrame, text: str, item_id: str, item_text: str, share: float, shortest: int = SHORTEST) -> DataFrame:
     """Pairs of a key of docs and an item of whose distinct shingles its rows hold the share or more: key, _item, _n, _found."""
-    parts = stored(item_shingles(items, item_id, item_text, share), "items")
+    parts = stored(item_shingles(items, item_id, item_text, share, shortest), "items")
+    widths = sorted(r._width for r in parts.select("_width").distinct().collect()) or [WORDS]  # WORDS of them at most
+    every = lambda words: reduce(F.concat, [shingles_of(words, n) for n in widths])
     sketch = stored(parts.filter("_sketch").select("_part", "_item", "_need", F.xxhash64("_s").alias("_x")), "sketch")
     words = docs.select(*key, words_of(text).alias("_w"))
-    probes = words.select(*key, F.explode(shingles_of("_w")).alias("_s")).select(*key, F.xxhash64("_s").alias("_x"))
+    probes = words.select(*key, F.explode(every("_w")).alias("_s")).select(*key, F.xxhash64("_s").alias("_x"))
     hits = probes.join(within(sketch), "_x").groupBy(*key, "_part", "_item", "_need").agg(F.count_distinct("_x").alias("_hits"))
     found = stored(hits.filter("_hits >= _need").select(*key, "_item"), "candidates")
     # Verification reads the candidate documents only, and compares them with their candidate items.
@@ -73,23 +84,23 @@ def contained(docs: DataFrame, key: list[str], items: DataFrame, text: str, item
     holders = within(theirs.select(*[F.col(c).alias(f"{c}g") for c in key], "_items"), theirs)
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}g")) for c in key])
     again = docs.select(*key, F.col(text).alias("_text")).join(holders, same).select(*key, "_text", "_items")
-    own = again.select(*key, "_items", words_of("_text").alias("_w")).select(*key, "_items", F.explode(F.array_distinct(shingles_of("_w"))).alias("_s"))
+    own = again.select(*key, "_items", words_of("_text").alias("_w")).select(*key, "_items", F.explode(F.array_distinct(every("_w"))).alias("_s"))
     # A null item is in no set of items; its pairs are told by the set's being empty.
     met = own.join(within(parts.select("_item", "_n", "_s"), parts), "_s").filter(F.coalesce(F.array_contains("_items", F.col("_item")), F.col("_item").isNull()))
     hits = met.groupBy(*key, "_item", "_n").agg(F.count_distinct("_s").alias("_found"))
     return hits.filter(F.col("_found") >= F.col("_n") - missable(F.col("_n"), share))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, shortest: int = SHORTEST) -> DataFrame:
     """Pairs of a document and an item of whose distinct shingles it holds the share or more: id, item id, n_shingles, n_found, containment."""
     slim = docs.select(F.col(id_col).alias("_id"), *text_key(text), F.col(text).alias("_whole"))
-    kept = contained(slim, ["_id", "_h1", "_h2"], items, "_whole", item_id, item_text, share)
+    kept = contained(slim, ["_id", "_h1", "_h2"], items, "_whole", item_id, item_text, share, shortest)
     return kept.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id), F.col("_n").cast("long").alias("n_shingles"), F.col("_found").alias("n_found"), F.round(F.col("_found") / F.col("_n"), 6).alias("containment"))
 
 
-def filter_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
+def filter_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, shortest: int = SHORTEST) -> DataFrame:
     """The rows of docs whose own text holds no item, with all their columns: ids are not looked at."""
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *text_key(text))
-    held = contained(own, ["_h1", "_h2"], items, names[text], item_id, item_text, share).select("_h1", "_h2").distinct()
+    held = contained(own, ["_h1", "_h2"], items, names[text], item_id, item_text, share, shortest).select("_h1", "_h2").distinct()
     return own.join(within(stored(held, "held")), ["_h1", "_h2"], "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -164,8 +164,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH w AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT k, doc_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM b),
+z AS (SELECT DISTINCT least(len(w), 5) AS z FROM b WHERE len(w) >= 3),
+ds AS (SELECT DISTINCT k, doc_id, unnest(list_transform(generate_series(1, len(w) - z + 1), lambda i: array_to_string(w[i : i + z - 1], ' '))) AS s FROM w, z),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - least(len(w), 5) + 1), lambda i: array_to_string(w[i : i + least(len(w), 5) - 1], ' '))) AS s FROM b WHERE len(w) >= 3),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, round(count(*) / n, 6) AS containment
 FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY k, doc_id, item_id, n HAVING count(*) >= ceil(round(0.8 * n, 6))

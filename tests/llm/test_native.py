@@ -143,6 +143,19 @@ def test_containment_is_exact(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_held_whole(spark):
+    items = [(1, "alpha beta gamma delta"), (2, "Beta, gamma delta"), (3, "gamma delta"), (4, "alpha"), (5, None), (6, "alpha beta gamma delta epsilon zeta")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(0, "xx ALPHA beta\ngamma delta yy", "a"), (1, "beta gamma xx delta", "a"), (2, "gamma delta", "a"), (3, None, "a"), (4, "alpha beta gamma delta epsilon zeta", "a"), (4, "alpha beta gamma delta epsilon zeta", "a")]
+    pairs = lambda **x: sorted((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in decontaminate.contaminated(docs(spark, rows), bench, **x).collect())
+    three = [(0, 1, 1, 1), (0, 2, 1, 1), (4, 1, 1, 1), (4, 2, 1, 1), (4, 6, 2, 2)]
+    assert pairs() == three
+    assert pairs(shortest=1) == sorted([*three, (0, 3, 1, 1), (2, 3, 1, 1), (4, 3, 1, 1), (0, 4, 1, 1), (4, 4, 1, 1)])
+    assert pairs(shortest=5) == [(4, 6, 2, 2)]
+    assert sorted(r.doc_id for r in decontaminate.filter_documents(docs(spark, rows), bench).collect()) == [1, 2, 3]
+    assert decontaminate.contaminated(docs(spark, rows), bench.filter("item_id IN (3, 5)")).count() == 0
+
+
 def test_hashes_read_back(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b<|")], "conv_id long, turn long, role string, text string")
     row = chat_format.read_back(chat_format.format_conversations(df)).select(F.sha2("loss_text", 256).alias("h")).first()

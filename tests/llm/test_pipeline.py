@@ -62,4 +62,4 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.dtypes == table.dtypes, name
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "source_mix", "shards"]
-    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(["toxicity", "token_counts", "mix_sources", "chat_format", "order_minhash", "line_dedup", "quality_rules", "suffix_dedup", "shard", "decontaminate"], 1))
+    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(["toxicity", "token_counts", "mix_sources", "chat_format", "order_minhash", "line_dedup", "quality_rules", "suffix_dedup", "shard", "decontaminate", "vector_codes", "neighbours", "resample"], 1))
