@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, evaluate, frames, macro, macro_severity, null_floors, optimal_binning
+from ..operators import binning, evaluate, frames, macro, macro_library, macro_severity, null_floors, optimal_binning
 from ..sources import panels
 from ..sources.panels import BOOK_SQL, LINES_SQL, NUMERIC, book, lines, unpivot_sql
 from .queries import COHORT_SQL, PAIRS, SCORED_SQL, TERMS_SQL, query, scored
@@ -21,16 +21,20 @@ CANDIDATES_SQL = f"{TERMS_SQL}, {LINES_SQL.strip()}, c AS (SELECT key || '@' ||
 SEEN_SQL = "d AS (SELECT performance_date AS month, greatest(0, least(1, lgd_realised)) AS s FROM lines WHERE y = 1 AND lgd_realised IS NOT NULL)"
 
 
-@query(f"""WITH {CANDIDATES_SQL}, {SEEN_SQL},
-dc AS (SELECT month, s, count(*) AS n FROM d GROUP BY 1, 2),
-j AS (SELECT candidate, month, round(x, 9) AS x, s, n FROM c JOIN dc USING (month)),
+#: Ranks by candidate and the t of their correlation, of the candidates in view.
+SEVERITY_SQL = """dc AS (SELECT month, s, count(*) AS n FROM d GROUP BY 1, 2),
+j AS (SELECT candidate, month, round(x, 9) AS x, s, n FROM {view} JOIN dc USING (month)),
 ys AS (SELECT candidate, s, sum(n) AS t FROM j GROUP BY 1, 2), yr AS (SELECT candidate, s, sum(t) OVER (PARTITION BY candidate ORDER BY s) - t + (t + 1) / 2 AS ry FROM ys),
 xs AS (SELECT candidate, x, sum(n) AS t FROM j GROUP BY 1, 2), xr AS (SELECT candidate, x, sum(t) OVER (PARTITION BY candidate ORDER BY x) - t + (t + 1) / 2 AS rx FROM xs),
 r AS (SELECT candidate, sum(n)::BIGINT AS n, count(DISTINCT month) AS months, sum(n * rx * ry) - sum(n * rx) * sum(n * ry) / sum(n) AS cov, sum(n * rx * rx) - sum(n * rx) ** 2 / sum(n) AS vx, sum(n * ry * ry) - sum(n * ry) ** 2 / sum(n) AS vy FROM j JOIN yr USING (candidate, s) JOIN xr USING (candidate, x) GROUP BY 1),
 m AS (SELECT DISTINCT candidate, month, x FROM j), md AS (SELECT *, x - avg(x) OVER (PARTITION BY candidate) AS dx FROM m), ml AS (SELECT *, dx * lag(dx) OVER (PARTITION BY candidate ORDER BY month) AS l FROM md),
 a AS (SELECT candidate, least(0.99, (sum(l) / sum(dx * dx)) ** 2) AS q, max(x) - min(x) AS span FROM ml GROUP BY 1),
 e AS (SELECT r.*, n >= 30 AND span > 1e-12 AND vy > 1e-6 AS ok, least(months, CASE WHEN months < 12 THEN months ELSE greatest(4, months * (1 - q) / (1 + q)) END) AS ne, cov / sqrt(vx * vy) AS rho FROM r JOIN a USING (candidate)),
-t AS (SELECT candidate, n, months, CASE WHEN ok THEN ne END AS ne, CASE WHEN ok THEN rho END AS r, CASE WHEN ok AND ne > 2 AND abs(rho) < 1 THEN rho * sqrt((ne - 2) / (1 - rho * rho)) END AS t FROM e)
+t AS (SELECT candidate, n, months, CASE WHEN ok THEN ne END AS ne, CASE WHEN ok THEN rho END AS r, CASE WHEN ok AND ne > 2 AND abs(rho) < 1 THEN rho * sqrt((ne - 2) / (1 - rho * rho)) END AS t FROM e)"""
+
+
+@query(f"""WITH {CANDIDATES_SQL}, {SEEN_SQL},
+{SEVERITY_SQL.format(view="c")}
 SELECT candidate, n, months, round(ne, 4) AS n_effective, round(r, 7) AS r, round(t, 5) AS t, CASE WHEN t IS NOT NULL THEN round({area_sql("atan2(sqrt(ne - 2), abs(t))", "(ne - 2)")} / {area_sql("(pi() / 2)", "(ne - 2)")}, 6) END AS p FROM t""")
 def macro_severity_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """Every macro candidate's rank correlation with the severity of single defaults."""
@@ -53,6 +57,39 @@ def macro_beside_targets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("candidate", "month", *[F.round(c, d).alias(c) for c, d in (("value", 5), ("log_odds", 7), ("severity", 8))])
 
 
+PRIORS = {"orders": -1, "sales_growth": -1, "ticket_yoy": 1}
+P_SQL = f"{area_sql('atan2(sqrt(ne - 2), abs(t))', '(ne - 2)')} / {area_sql('(pi() / 2)', '(ne - 2)')}"
+
+
+@query(f"""WITH {CANDIDATES_SQL}, {SEEN_SQL},
+o AS (SELECT performance_date AS month, ln(((sum(y) + 0.5) / (count(*) + 1)) / (1 - (sum(y) + 0.5) / (count(*) + 1))) AS y FROM lines GROUP BY 1 HAVING count(*) >= 500),
+v AS (SELECT candidate, month, round(x, 9) AS x FROM c WHERE month BETWEEN (SELECT min(month) FROM o) AND (SELECT max(month) FROM o) QUALIFY count(*) OVER (PARTITION BY candidate) >= 24),
+{SEVERITY_SQL.format(view="v")},
+pb AS (SELECT candidate, month, x - avg(x) OVER p AS dx, y - avg(y) OVER p AS dy FROM v JOIN o USING (month) WINDOW p AS (PARTITION BY candidate)),
+pl AS (SELECT *, dx * lag(dx) OVER s AS px, dy * lag(dy) OVER s AS py FROM pb WINDOW s AS (PARTITION BY candidate ORDER BY month)),
+pg AS (SELECT candidate, count(*) AS n, round(sum(dx * dy) / sqrt(sum(dx * dx) * sum(dy * dy)), 7) AS r, greatest(-0.99, least(0.99, sum(px) / sum(dx * dx) * (sum(py) / sum(dy * dy)))) AS q FROM pl GROUP BY 1 HAVING count(*) >= 24 AND sum(dx * dx) > 1e-12 AND sum(dy * dy) > 1e-12),
+pt AS (SELECT *, round(greatest(4, n * (1 - q) / (1 + q)), 4) AS ne FROM pg), pp AS (SELECT *, CASE WHEN ne > 2 AND abs(r) < 1 THEN r * sqrt((ne - 2) / (1 - r * r)) END AS t FROM pt),
+ps AS (SELECT candidate, n, ne, r, CASE WHEN t IS NOT NULL THEN {P_SQL} END AS p FROM pp), ts AS (SELECT candidate, n, ne, r, CASE WHEN t IS NOT NULL THEN {P_SQL} END AS p FROM t),
+k AS (SELECT candidate, split_part(candidate, '@', 1) AS key, split_part(candidate, '@', 2) AS transform, split_part(candidate, '@', 3)::INT AS lag, count(*) AS months, CASE split_part(candidate, '@', 1) WHEN 'orders' THEN -1 WHEN 'sales' THEN -1 WHEN 'ticket' THEN 1 END AS expected_sign FROM v GROUP BY 1),
+z AS (SELECT k.*, ps.n AS dn, ps.ne AS dne, ps.r AS dr, ps.p AS dp, CASE WHEN ps.r > 0 THEN 1 WHEN ps.r IS NOT NULL THEN -1 END AS ds, ts.n AS sn, ts.ne AS sne, ts.r AS sr, ts.p AS sp, CASE WHEN ts.r > 0 THEN 1 WHEN ts.r IS NOT NULL THEN -1 END AS ss FROM k LEFT JOIN ps USING (candidate) LEFT JOIN ts USING (candidate))
+SELECT candidate, key, transform, lag, months, expected_sign, dn AS default_n, dne AS default_n_effective, dr AS default_r, round(dp, 5) AS default_p, ds AS default_sign, ds = expected_sign AS default_sign_ok,
+       sn AS severity_n, round(sne, 4) AS severity_n_effective, round(sr, 7) AS severity_r, round(sp, 5) AS severity_p, ss AS severity_sign, ss = expected_sign AS severity_sign_ok FROM z""")
+def macro_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The library of macro candidates over the estimation window: both correlations and signs of every term at every lag."""
+    df = lines(spark, sf)
+    candidates = macro.lagged(macro.transformed(panels.macro(spark, sf)), LAGS).withColumn("value", F.round("value", 9))
+    found = macro_library.library(candidates, macro.target_log_odds(df, "y"), macro_severity.severity_counts(df, "y"), PRIORS)
+    digits = {"n_effective": 4, "r": 7, "p": 5}
+    return found.withColumns({f"{side}_{c}": F.round(f"{side}_{c}", d) for side in ("default", "severity") for c, d in digits.items()})
+
+
+@query()
+def candidate_unit_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Test of a unit root of every macro candidate over the months of the panel."""
+    candidates = macro.lagged(macro.transformed(panels.macro(spark, sf)), LAGS)
+    return macro_library.unit_roots(macro_library.windowed(candidates, macro.target_log_odds(lines(spark, sf), "y", 1)))
+
+
 FRAME_KEY = ["account_id", "performance_date"]
 #: A third of the rows of book at any size is more than its events, and less than all.
 FRAME_SQL = f"""{BOOK_SQL}, h AS (SELECT account_id, performance_date, default_flag, current_balance, ('0x' || substr(md5(account_id || '|' || strftime(performance_date, '%Y-%m-%d')), 1, 15))::BIGINT AS h FROM book),
