@@ -56,7 +56,8 @@ def rank_correlations(candidates: DataFrame, counts: DataFrame, least: int = LEA
     n, rx = F.col("n"), F.col("rx")
     m = rows.groupBy("candidate", "cover").agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("months"), F.sum(rx * F.col("y")).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum(F.col("dx") * F.col("dx")).alias("s"), F.sum("lagged").alias("l"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     m = m.join(spread, "cover")
-    mean = n * (n + 1) * (n + 1) / 4
+    # In doubles: the cube of some two million defaults is beyond a long.
+    mean = n.cast("double") * (n + 1) * (n + 1) / 4
     vx, vy = F.col("xx") - mean, F.col("yy") - mean
     auto = F.coalesce(F.col("l") / F.nullif("s", F.lit(0.0)), F.lit(0.0))
     size = F.least(F.col("months").cast("double"), effective_size(F.col("months"), auto, auto))

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from riskpanel.operators import macro_library as ml
+from riskpanel.operators.macro_severity import rank_correlations
 
 MONTHS = [d.date() for d in pd.date_range("2001-01-01", periods=60, freq="MS")]
 CANDIDATE = "candidate string, key string, transform string, lag int, month date, value double"
@@ -73,3 +74,12 @@ def test_library(spark):
     assert flat.months == 40 and all(flat[c] is None for c in ("default_r", "default_p", "default_sign", "default_sign_ok", "severity_r", "severity_sign", "expected_sign"))
     window = ml.estimation_window(target).first()
     assert tuple(window) == (dt.date(2001, 1, 1), MONTHS[39], 40)
+
+
+def test_rank_correlation_of_millions_of_defaults(spark):
+    months = MONTHS[:30]
+    x = [math.sin(i) for i in range(30)]
+    cells = lambda times: [(m, round(0.1 + 0.02 * ((7 * i + k) % 30), 2), times * (k + 1)) for i, m in enumerate(months) for k in range(3)]
+    terms = spark.createDataFrame(series("rate", x), CANDIDATE)
+    few, many = [rank_correlations(terms, spark.createDataFrame(cells(n), "month date, severity double, n long")).first() for n in (1, 100_000)]
+    assert many.n == 18_000_000 and many.r == pytest.approx(few.r, abs=1e-6) and many.n_effective == few.n_effective
