@@ -41,8 +41,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each document: slots follow the order of the mix, documents of a shared line gather."""
-    return sharding.shard(docs, links=sharding.line_links(docs), source="source")
+    """The shard and slot of each document: slots follow the order in which the mix was written, documents of a shared line gather.
+
+    Documents that don't come from files have no such order; they are mixed and written first.
+    """
+    docs = docs if docs.inputFiles() else stored(source_mix(spark, docs, sf_dir), "source_mix")
+    return sharding.shard(sharding.in_written_order(docs), links=sharding.line_links(docs), source="source", place="_place")
 
 
 STAGES: list[tuple[str, Stage]] = [

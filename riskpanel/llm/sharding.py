@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation.
 
-Rows are first dealt to the shards evenly, or, if a source is given, in the order of its Pfair mix, so that each
-shard's slots follow the mix. Then, in each round, the rows of a group (of equal texts, or of a group that a table
+Rows are first dealt to the shards evenly, or, if a source is given, in the order of its Pfair mix (or of a mix that
+was made before, by each row's place), so that each shard's slots follow the mix. Then, in each round, the rows of a group (of equal texts, or of a group that a table
 of links gives) wish for the shard that holds most of their group. A row moves only if another row of its
 source takes its place, so the mix and the counts by shard stay as they are; these are equal to within one row, and
 the law that holds is `rows`. Wishes from a to b are met by wishes from b to a, by wishes around longer cycles of
@@ -24,11 +24,11 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import grown, ranked, stored, text_key
-from .mixing import BLOCK_ROWS, placed
+from .mixing import BLOCK_ROWS, placed, source_key
 
 SHARDS = 8
 
@@ -173,19 +173,32 @@ def line_links(docs: DataFrame, text: str = "text") -> DataFrame:
     return least.select("_h1", "_h2", F.col("_x.group").alias("group"))
 
 
+def in_written_order(docs: DataFrame, to: str = "_place") -> DataFrame:
+    """docs, a table that is read from files, with the place of each row in them, from 0 without gaps. Files of which rows are left out are refused."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), (F.max("_index") + 1).alias("_end"))
+    # One row for each file, of which a task writes one.
+    start = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.when(F.col("_n") == F.col("_end"), start).otherwise(F.raise_error(F.lit("rows of a file are left out")).cast("long"))
+    return rows.join(F.broadcast(files.select("_file", whole.alias("_start"))), "_file").withColumn(to, F.col("_start") + F.col("_index")).drop("_file", "_index", "_start")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text: str = "text", links: DataFrame | None = None,
-          source: str | None = None, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+          source: str | None = None, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, place: str | None = None) -> DataFrame:
     """id, size, text_crc32, law, shard, slot and grown_shard (null: only the law `key` has one) of each row.
 
     links: the group (any type) of texts by their text key: _h1, _h2, group; without it, equal texts are a group.
     source: a column by which the rows are mixed, as mixing.mix does it with the same weights and block_rows.
+    place: a column of the rows' places in a mix that was made before (from 0, gapless), which is then kept; source is that of its rows.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     own = F.col(source).cast("string") if source else F.lit(None).cast("string")
-    slim = docs.select(F.col(id_col).alias("_id"), own.alias("_source"), *text_key(text), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"))
+    slim = docs.select(F.col(id_col).alias("_id"), own.alias("_source"), *text_key(text), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), *([F.col(place).cast("long").alias("_row")] if place else []))
     slim = stored(slim, "slim")
     n = slim.count()
-    if source:
+    if place:
+        dealt = slim.withColumn("_mix", source_key("_source"))
+    elif source:
         dealt = placed(slim, ["_id", "_h1"], weights, "_source", block_rows).withColumnsRenamed({"position": "_row", "_key": "_mix"})
     else:
         dealt = ranked(slim, [], ["_id", "_h1", "_h2"], "_row", n).withColumn("_mix", F.lit(""))

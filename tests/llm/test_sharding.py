@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from riskpanel.llm import mixing, sharding
@@ -81,3 +82,15 @@ def test_pipeline_shards_follow_the_mix(spark):
         for r in sorted((x for x in out if x.shard == s and x.slot < max(first)), key=lambda x: x.slot):
             done[source[r.doc_id]] += 1
             assert all(abs(done[k[1:]] - (r.slot + 1) * a / sum(weights.values())) < mixing.BLOCK_ROWS for k, a in weights.items())
+
+
+def test_the_written_mix_decides_the_shards(spark, tmp_path):
+    table = docs(spark, [(i, f"text {i} of its own", "abc"[i % 7 % 3]) for i in range(1203)])
+    mixing.mixed_documents(table, {"a": 3, "b": 2, "c": 1}, block_rows=16).write.parquet(str(tmp_path / "mixed"))
+    at = {r.doc_id: k for k, r in enumerate(mixing.mixed_documents(table, {"a": 3, "b": 2, "c": 1}, block_rows=16).collect())}
+    written = spark.read.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.shards(spark, written, "").collect()
+    assert len(out) == 1203 and all((r.shard, r.slot) == (at[r.doc_id] % 8, at[r.doc_id] // 8) for r in out)
+    with pytest.raises(Exception, match="left out"):
+        sharding.in_written_order(written.filter("doc_id != 5")).collect()
+    assert corpus_pipeline.shards(spark, written.limit(0), "").count() == 0
