@@ -284,8 +284,20 @@ def representatives(df: DataFrame, columns: Sequence[str], target: str, threshol
     return df.sparkSession.createDataFrame([(c, k, iv.get(c, 0.0), best[k] == c) for c, k in zip(columns, label, strict=True)], "column_name string, cluster int, iv double, recommended boolean")
 
 
-def gram(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Correlation matrix of columns, over the rows where all are present."""
+def gram(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> np.ndarray:
+    """Correlation matrix of columns, over the rows where all are present. weight: a column of counts, of the rows that a row stands for."""
+    if weight:
+        own = df.dropna(subset=list(columns))
+        s = own.agg(*[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+        centred = [F.col(c) - F.lit(s[f"m{i}"]) for i, c in enumerate(columns)]
+        pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+        t = own.agg(*[F.sum(centred[i] * centred[j] * F.col(weight)).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        spread = [float(np.sqrt(t[f"c{i}_{i}"] or 0.0)) for i in range(len(columns))]
+        m = np.eye(len(columns))
+        for i, j in pairs:
+            if i != j:
+                m[i, j] = m[j, i] = round(t[f"c{i}_{j}"] / (spread[i] * spread[j]), 8) if spread[i] * spread[j] > 0 else 0.0
+        return m
     found = correlations(df.dropna(subset=list(columns)), columns).collect()  # pairs of columns
     at, m = {c: i for i, c in enumerate(columns)}, np.eye(len(columns))
     for r in found:

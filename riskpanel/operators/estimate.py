@@ -2,7 +2,7 @@
 
 A fitted transform (edges, weights, knots, means) is a small JSON artefact; applying it is one generated select, so a
 score is one codegen stage. A Newton step is one pass over the kept design for all models that are fitted beside each other: tasks
-multiply Arrow batches and send the Gram matrix, the gradient and the likelihood as sums, so the driver gets these numbers only and
+multiply Arrow batches of the different rows and their numbers and send the Gram matrix, the gradient and the likelihood as sums, so the driver gets these numbers only and
 no step compiles anything anew. sums() has one step as an aggregate of Columns.
 """
 
@@ -144,6 +144,11 @@ def design(df: DataFrame, terms: Sequence[Term], *keep: str) -> tuple[DataFrame,
     return df.select(*keep, *[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(cells)]), [n for n, _ in cells]
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """The different rows of a design with their number n: sums over them are those over all rows, and each Newton step reads these only."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 @dataclass
 class Model:
     """A fit of named design cells. Cells of its terms that aren't among the names had one value in training and were dropped."""
@@ -219,19 +224,30 @@ def newton(rows: DataFrame, k: int, l2: float = 0.0, steps: int = 25, tol: float
     return newton_many(rows, {"": list(range(k))}, l2, steps, tol, rate)[""]
 
 
-def summing(trials: dict[str, tuple[list[int], np.ndarray]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's sums for each trial (its cells and coefficients): information, gradient, likelihood and rows, as one list."""
+def weighted(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """y, the named cells and n, the rows that each row stands for (1 without such a column)."""
+    return rows.select("y", *names, (F.col("n") if "n" in rows.columns else F.lit(1)).cast("double").alias("n"))
+
+
+def summing(trials: dict[str, tuple[list[int], np.ndarray]], names: list[str], partial: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's sums for each trial (its cells and coefficients): information, gradient, likelihood and rows, as one list.
+
+    A row counts n times. partial: a trial leaves out the rows in which one of its cells is missing.
+    """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]) if batch.num_rows else np.zeros((0, len(names)))
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+            y, n = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "n")]
+            gone = np.isnan(x)
+            holes = partial and gone.any()
             for name, (cells, beta) in trials.items():
-                own = x[:, cells]
+                kept = ~gone[:, cells].any(axis=1) if holes else slice(None)
+                own, t, w = x[kept][:, cells], y[kept], n[kept]
                 p = 1 / (1 + np.exp(-np.clip(own @ beta, -35, 35)))
                 q = np.clip(p, 1e-12, 1 - 1e-12)
-                parts = [((own * (p * (1 - p))[:, None]).T @ own).ravel(), own.T @ (y - p), [(y * np.log(q) + (1 - y) * np.log(1 - q)).sum(), len(y)]]
+                parts = [((own * (w * p * (1 - p))[:, None]).T @ own).ravel(), own.T @ (w * (t - p)), [(w * (t * np.log(q) + (1 - t) * np.log(1 - q))).sum(), w.sum()]]
                 totals[name] = totals.get(name, 0.0) + np.concatenate(parts)
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))], ["trial", "s"])
@@ -239,12 +255,13 @@ def summing(trials: dict[str, tuple[list[int], np.ndarray]], names: list[str]) -
     return sums
 
 
-def newton_many(rows: DataFrame, trials: dict[str, list[int]], l2: float = 0.0, steps: int = 25, tol: float = 1e-8, rate: float | None = None, start: dict[str, np.ndarray] | None = None) -> dict[str, tuple[np.ndarray, np.ndarray, float, int]]:
+def newton_many(rows: DataFrame, trials: dict[str, list[int]], l2: float = 0.0, steps: int = 25, tol: float = 1e-8, rate: float | None = None, start: dict[str, np.ndarray] | None = None, partial: bool = False) -> dict[str, tuple[np.ndarray, np.ndarray, float, int]]:
     """Fits of many subsets of a design's cells at once: by trial (its cells, of which 0 is the intercept) what newton() gives.
 
     A step is one pass over the rows for all trials: a task multiplies its batches and sends one list of sums for each
     trial, which Spark adds up by place, so the driver gets k (k + 1) + 2 numbers of each. A move that lowers the likelihood is
-    halved. rate: the mean of y, from whose log odds intercepts begin; start: coefficients to begin from.
+    halved. rate: the mean of y, from whose log odds intercepts begin; start: coefficients to begin from. Where rows have a
+    column n, each stands for so many rows. partial: each trial is fitted on the rows that have all of its cells.
     """
     names = [f"x{i}" for i in sorted({c for own in trials.values() for c in own})]
     at = {n: i for i, n in enumerate(names)}
@@ -259,7 +276,7 @@ def newton_many(rows: DataFrame, trials: dict[str, list[int]], l2: float = 0.0,
     for _ in range(6 * steps):
         own = {t: (cells[t], beta[t] + move[t]) for t in live}
         # Lists of one trial are added place by place; there are as many as tasks.
-        lists = rows.select("y", *names).mapInArrow(summing(own, names), "trial string, s array<double>").select("trial", F.posexplode("s").alias("i", "v"))
+        lists = weighted(rows, names).mapInArrow(summing(own, names, partial), "trial string, s array<double>").select("trial", F.posexplode("s").alias("i", "v"))
         found: dict[str, dict[int, float]] = {}
         for r in lists.groupBy("trial", "i").agg(F.sum("v").alias("v")).collect():
             found.setdefault(r["trial"], {})[r["i"]] = r["v"]
@@ -290,15 +307,15 @@ def meats(rows: DataFrame, trials: dict[str, tuple[list[int], np.ndarray]]) -> d
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+            y, n = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "n")]
             for t, (cells, beta) in own.items():
                 z = x[:, cells]
-                z = z * (y - 1 / (1 + np.exp(-np.clip(z @ beta, -35, 35))))[:, None]
+                z = z * (np.sqrt(n) * (y - 1 / (1 + np.exp(-np.clip(z @ beta, -35, 35)))))[:, None]
                 totals[t] = totals.get(t, 0.0) + (z.T @ z).ravel()
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))], ["trial", "s"])
 
-    lists = rows.select("y", *names).mapInArrow(sums, "trial string, s array<double>").select("trial", F.posexplode("s").alias("i", "v"))
+    lists = weighted(rows, names).mapInArrow(sums, "trial string, s array<double>").select("trial", F.posexplode("s").alias("i", "v"))
     out = {t: np.zeros(len(c) ** 2) for t, (c, _) in own.items()}
     for r in lists.groupBy("trial", "i").agg(F.sum("v").alias("v")).collect():  # k^2 numbers of each trial
         out[r["trial"]][r["i"]] = r["v"]
@@ -317,11 +334,11 @@ def fit_logistic(train: DataFrame, target: str, treatments: dict[str, str], l2:
     where = slice_of(train, target, [f"`{c}`" for c in columns])
     terms = bound(fit_terms(train, target, treatments) if terms is None else terms, where)
     rows, names = design(train, terms, F.col(target).cast("double").alias("y"))
-    rows = rows.persist()
-    s = rows.agg(F.avg("y").alias("rate"), *[F.stddev_pop(f"x{i}").alias(f"x{i}") for i in range(1, len(names))]).first()
+    rows = counted(rows).persist()
+    s = rows.agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("rate"), *[F.stddev_pop(f"x{i}").alias(f"x{i}") for i in range(1, len(names))]).first()
     train.unpersist()
     alive = [0, *[i for i in range(1, len(names)) if (s[f"x{i}"] or 0.0) > 1e-12]]
-    own = rows if len(alive) == len(names) else rows.select("y", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(alive)])
+    own = rows if len(alive) == len(names) else rows.select("y", "n", *[F.col(f"x{c}").alias(f"x{i}") for i, c in enumerate(alive)])
     beta, h, ll, n = newton(own, len(alive), l2, rate=s.rate)
     inverse = np.linalg.pinv(h)
     if robust:

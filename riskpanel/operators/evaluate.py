@@ -15,15 +15,16 @@ from ..functions.special import chi2_tail, jeffreys_interval
 from .ranks import quantiles, running_totals
 
 
-def by_score(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per score (within by): n, e, and before_ and all_ totals of both."""
-    counted = scored.filter("p IS NOT NULL AND y IS NOT NULL").groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("e"))
+def by_score(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """One row per score (within by): n, e, and before_ and all_ totals of both. weight: a column of counts, of which y has the sums."""
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = scored.filter("p IS NOT NULL AND y IS NOT NULL").groupBy(*by, "p").agg(rows.alias("n"), F.sum("y").alias("e"))
     return running_totals(counted, "p", ["n", "e"], by)
 
 
-def discrimination(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """AUC (ties count half), Gini and KS, with the score at the greatest gap; null without both outcomes."""
-    t = by_score(scored, by)
+def discrimination(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """AUC (ties count half), Gini and KS, with the score at the greatest gap; null without both outcomes. weight: as by_score has it."""
+    t = by_score(scored, by, weight)
     good = F.col("all_n") - F.col("all_e")
     gap = F.abs((F.col("before_e") + F.col("e")) / F.col("all_e") - (F.col("before_n") + F.col("n") - F.col("before_e") - F.col("e")) / good)
     out = t.withColumn("_gap", F.round(gap, 12)).groupBy(*by).agg(

@@ -53,7 +53,7 @@ class Rules:
 
 
 class Trials:
-    """The designs of all candidates, fitted and kept once, on an event-preserving frame of exactly so many rows.
+    """The designs of all candidates, fitted and kept once (equal rows as one with their number), on an event-preserving frame of exactly so many rows.
 
     Any subsets of them are fitted beside each other, without another read of the input: a Newton step of all trials of
     a pass is one aggregate.
@@ -73,8 +73,9 @@ class Trials:
             at += len(t.columns())
         self.width = at
         rows, _ = estimate.design(train, list(self.terms.values()), F.col(target).cast("double").alias("y"))
-        self.rows = rows.persist()
-        s = self.rows.agg(F.avg("y").alias("rate"), F.sum("y").alias("events"), F.count(F.lit(1)).alias("n")).first()
+        self.rows = estimate.counted(rows).persist()
+        events = F.sum(F.col("y") * F.col("n"))
+        s = self.rows.agg((events / F.sum("n")).alias("rate"), events.alias("events"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         self.n = s.n
         self.rate, self.events, self.known, self.r = s.rate, s.events or 0.0, {}, None
         train.unpersist()
@@ -112,7 +113,7 @@ class Trials:
         if len(chosen) < 2:
             return 1.0
         if self.r is None:
-            self.r = binning.gram(self.rows, [f"x{i}" for i in range(1, self.width)])
+            self.r = binning.gram(self.rows, [f"x{i}" for i in range(1, self.width)], "n")
         cells = [i - 1 for c in chosen for i in self.places[c]]
         groups, at = {}, 0
         for c in chosen:
@@ -237,51 +238,27 @@ def macro_screen(train: DataFrame, target: str, core: dict[str, str], priors: di
 def joint_fits(rows: DataFrame, target: str, combos: dict[str, list[str]], steps: int = 30, tol: float = 1e-8) -> DataFrame:
     """Logistic fits of all combinations at once: combo, n, log likelihood, BIC on events, and coefficients.
 
-    Rows are summed by the values of each combination's columns and kept. A Newton step is one aggregate by
-    combination, which Spark spreads over tasks whatever a combination holds; the driver gets a small Gram matrix of each.
+    Equal rows are one with their number. A Newton step is one pass over these for all combinations, each of which leaves out
+    the rows where one of its columns is missing; the driver gets a small Gram matrix of each.
     """
-    most = max(map(len, combos.values())) + 1
-    parts, scale = None, {c: 1.0 for x in combos.values() for c in x}
-    rows = rows.select(target, *scale).persist()
-    ends = rows.agg(*[F.max(F.abs(c)).cast("double").alias(c) for c in scale]).first()
-    scale = {c: max(ends[c] or 0.0, 1e-12) for c in scale}
-    for name, columns in combos.items():
-        own = rows.dropna(subset=columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("e"))
-        x = [F.lit(1.0), *[F.col(c).cast("double") / scale[c] for c in columns], *[F.lit(0.0)] * (most - 1 - len(columns))]
-        own = own.select(F.lit(name).alias("combo"), *[c.alias(f"x{i}") for i, c in enumerate(x)], "n", "e")
-        parts = own if parts is None else parts.unionByName(own)
-    # Spread anew once, so that a step has as many tasks as a shuffle and not those of each combination.
-    parts = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).persist()
-    pairs = [(i, j) for i in range(most) for j in range(i, most)]
-    beta, live, found = {c: np.zeros(most) for c in combos}, set(combos), {}
-    for _ in range(steps + 1):
-        table = parts.sparkSession.createDataFrame([(c, [float(v) for v in beta[c]]) for c in combos], "combo string, b array<double>")
-        own = parts.join(F.broadcast(table), "combo")
-        eta = sum((F.col(f"x{i}") * F.col("b")[i] for i in range(most)), F.lit(0.0))
-        own = own.withColumn("p", sigmoid(eta)).withColumns({"w": F.col("n") * F.col("p") * (1 - F.col("p")), "r": F.col("e") - F.col("n") * F.col("p"), "q": F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("p")))})
-        likelihood = F.sum(F.col("e") * F.log("q") + (F.col("n") - F.col("e")) * F.log(1 - F.col("q")))
-        cells = [F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")).alias(f"h{i}_{j}") for i, j in pairs] + [F.sum(F.col(f"x{i}") * F.col("r")).alias(f"g{i}") for i in range(most)]
-        for r in own.groupBy("combo").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), likelihood.alias("ll"), *cells).collect():  # a row of each combination
-            found[r.combo] = r
-            h, g = np.zeros((most, most)), np.array([r[f"g{i}"] for i in range(most)])
-            for i, j in pairs:
-                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-            move = np.linalg.lstsq(h, g, rcond=None)[0]
-            if r.combo in live and np.abs(move).max() >= tol:
-                beta[r.combo] = beta[r.combo] + move
-            else:
-                live.discard(r.combo)
-        if not live:
-            break
-    parts.unpersist()
+    every = list(dict.fromkeys(c for x in combos.values() for c in x))
+    rows = rows.select(F.coalesce(F.col(target), F.lit(0)).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in every])
+    rows = estimate.counted(rows).persist()
+    whole = lambda columns: F.lit(True) if not columns else F.forall(F.array(*[F.col(c).isNotNull() & ~F.isnan(c) for c in columns]), lambda x: x)
+    events = [F.sum(F.when(whole(columns), F.col("y") * F.col("n"))).alias(f"e{i}") for i, columns in enumerate(combos.values())]
+    ends = rows.agg(*[F.max(F.abs(c)).alias(f"m{i}") for i, c in enumerate(every)], *events).first()
+    scale = {c: max(ends[f"m{i}"] or 0.0, 1e-12) for i, c in enumerate(every)}
+    cells = {c: i + 1 for i, c in enumerate(every)}
+    scaled = rows.select("y", "n", F.lit(1.0).alias("x0"), *[(F.col(c) / scale[c]).alias(f"x{cells[c]}") for c in every])
+    fits = estimate.newton_many(scaled, {name: [0, *[cells[c] for c in columns]] for name, columns in combos.items()}, steps=steps, tol=tol, partial=True)
     rows.unpersist()
     out = []
-    for name, columns in combos.items():
-        if name in found:
-            r, k = found[name], len(columns) + 1
-            bic = -2 * r.ll + k * math.log(max(r.e, 1))
-            whole = [beta[name][0], *[beta[name][i + 1] / scale[c] for i, c in enumerate(columns)]]
-            out.append((name, int(r.n), round(float(r.ll), 5), round(float(bic), 5), [round(float(v), 8) for v in whole]))
+    for i, (name, columns) in enumerate(combos.items()):
+        beta, _, ll, n = fits[name]
+        if n:
+            bic = -2 * ll + (len(columns) + 1) * math.log(max(ends[f"e{i}"], 1))
+            beta = [beta[0], *[b / scale[c] for b, c in zip(beta[1:], columns, strict=True)]]
+            out.append((name, n, round(float(ll), 5), round(float(bic), 5), [round(float(v), 8) for v in beta]))
     return rows.sparkSession.createDataFrame(out, "combo string, n long, log_likelihood double, bic double, beta array<double>")
 
 
@@ -311,13 +288,19 @@ def joint_rows(rows: DataFrame, target: str, boundary: str, cores: dict[str, Seq
     trials.fit_all(list(sets))
     alone = {name: tuple(sorted(c for c in core if c in trials.terms)) for name, core in cores.items()}
     trials.fit_all([a for a in alone.values() if a])
-    own = rows.filter(F.col(target).isNotNull()).select(F.when(early, "in").otherwise("oot").alias("slice"), F.col(target).alias("y"), *every).persist()
+    # A core's models are scored on the different values of its columns and terms only, with their rows and events.
+    own = rows.filter(F.col(target).isNotNull()).groupBy(F.when(early, "in").otherwise("oot").alias("slice"), *every).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("y")).persist()
     power: dict[tuple, tuple] = {}
     for at in range(0, len(sets), at_once):
-        keys = list(sets)[at : at + at_once]
-        scores = [F.struct(F.lit(i).alias("model"), sigmoid(sum((c * float(b) for c, b in zip([F.lit(1.0), *[x for k in key for _, x in trials.terms[k].columns()]], trials.fitted(key)[1], strict=True)), F.lit(0.0))).alias("p")) for i, key in enumerate(keys)]
-        long = own.select("slice", "y", F.explode(F.array(*scores)).alias("s")).select("slice", "y", "s.model", "s.p")
-        for r in evaluate.discrimination(long, ["model", "slice"]).collect():  # two rows of each model
+        keys, long = list(sets)[at : at + at_once], None
+        for core in dict.fromkeys(sets[key][0] for key in keys):
+            of = {i: key for i, key in enumerate(keys) if sets[key][0] == core}
+            used = sorted({c for key in of.values() for c in key})
+            scores = [F.struct(F.lit(i).alias("model"), sigmoid(sum((c * float(b) for c, b in zip([F.lit(1.0), *[x for k in key for _, x in trials.terms[k].columns()]], trials.fitted(key)[1], strict=True)), F.lit(0.0))).alias("p")) for i, key in of.items()]
+            cells = own.groupBy("slice", *used).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+            part = cells.select("slice", "n", "y", F.explode(F.array(*scores)).alias("s")).select("slice", "n", "y", "s.model", "s.p")
+            long = part if long is None else long.unionByName(part)
+        for r in evaluate.discrimination(long, ["model", "slice"], "n").collect():  # two rows of each model
             power[keys[r.model], r.slice] = (r.auc, r.ks)
     out = []
     for key, (name, combo) in sets.items():

@@ -113,3 +113,34 @@ def test_coverage_of_intervals(spark):
     table = spark.createDataFrame([("2000-01-01", 1000, 20, 0.02), ("2000-04-01", 1000, 20, 0.08), ("2001-01-01", 500, 0, 0.0001)], "d string, n long, events long, predicted double").withColumn("period", F.to_date("d")).select("period", "n", "events", "predicted")
     got = {r["slice"]: (r.periods, r.covered) for r in evaluate.coverage(evaluate.with_intervals(table), "2001-01-01").collect()}
     assert got == {"all": (3, 2), "in_time": (2, 1), "out_of_time": (1, 1)}
+
+
+def test_counted_rows_stand_for_all(spark, panel):
+    """Fits, errors, correlations and discrimination of different rows with their numbers are those of all rows."""
+    few = panel.selectExpr("1D AS x0", "round(a) AS x1", "round(b) AS x2", "round(a) * round(b) AS x3", "double(y) AS y")
+    cells = estimate.counted(few).persist()
+    assert cells.count() < 200
+    trials = {"one": [0, 1], "all": [0, 1, 2, 3]}
+    every, own = estimate.newton_many(few, trials, rate=0.3), estimate.newton_many(cells, trials, rate=0.3)
+    for name, cols in trials.items():
+        assert own[name][3] == 4000 and np.allclose(own[name][0], every[name][0], atol=1e-10) and np.allclose(own[name][1], every[name][1])
+        assert np.allclose(estimate.meats(cells, {name: (cols, own[name][0])})[name], estimate.meats(few, {name: (cols, own[name][0])})[name])
+    assert np.allclose(binning.gram(cells, ["x1", "x2", "x3"], "n"), binning.gram(few, ["x1", "x2", "x3"]), atol=1e-8)
+    plain = evaluate.discrimination(few.withColumn("p", F.col("x1"))).first()
+    assert evaluate.discrimination(cells.groupBy(F.col("x1").alias("p")).agg(F.sum("n").alias("n"), F.sum(F.col("y") * F.col("n")).alias("y")), weight="n").first() == plain
+
+
+def test_joint_fits_are_those_of_the_rows_that_have_the_columns(spark, data):
+    a, b, _, _, _, y = data
+    a, b = 3 * np.round(a, 1), np.where(np.arange(len(y)) % 9 == 0, np.nan, np.round(b, 1))
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), y.tolist(), strict=True)), "a double, b double, y int").selectExpr("a", "nanvl(b, null) AS b", "y")
+    found = {r.combo: r for r in search.joint_fits(df, "y", {"a": ["a"], "b": ["b"], "a+b": ["a", "b"]}).collect()}
+    for name, x in (("a", [a]), ("b", [b]), ("a+b", [a, b])):
+        kept = ~np.isnan(sum(x))
+        z = np.column_stack([np.ones(len(y)), *x])[kept]
+        beta = logit_fit(z, y[kept])[0]
+        p = 1 / (1 + np.exp(-z @ beta))
+        ll = np.where(y[kept] == 1, np.log(p), np.log(1 - p)).sum()
+        r = found[name]
+        assert r.n == kept.sum() and np.abs(np.array(r.beta) - beta).max() <= 5.1e-9 and r.log_likelihood == pytest.approx(ll, abs=1e-5)
+        assert r.bic == pytest.approx(len(beta) * np.log(y[kept].sum()) - 2 * ll, abs=2e-5)
