@@ -98,8 +98,7 @@ frame AS (SELECT account_id, performance_date, default_flag, current_balance FRO
 
 
 def third_of_book(spark: SparkSession, sf: str) -> frames.Frame:
-    b = book(spark, sf)
-    return frames.event_frame(b, "default_flag", b.count() // 3, FRAME_KEY)
+    return frames.event_frame(book(spark, sf), "default_flag", lambda rows: rows // 3, FRAME_KEY)
 
 
 @query(f"WITH {FRAME_SQL} SELECT * FROM frame")
