@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, period_of
 from ..sources.panels import unpivoted
-from .ranks import quantiles, spearman
+from .ranks import quantiles, running_totals
 
 #: Bands of information value, and what looks like leakage.
 IV_BANDS = [(0.02, "not predictive"), (0.1, "weak"), (0.3, "medium"), (0.5, "strong")]
 LEAKAGE_LIFT, LEAKAGE_IV, REVIEW_IV = 25.0, 0.75, 0.5
 LEAST_PSI_ROWS = 50
+#: Values of a column whose ranks are broadcast at most: some 5 MB.
+BROADCAST_VALUES = 100_000
 
 
 def value_cells(long: DataFrame, target: str, *keys: str) -> DataFrame:
@@ -161,15 +163,14 @@ def null_floor(counts: DataFrame, draws: int = 8, seed: int = 11) -> DataFrame:
 
 def psi_table(long: DataFrame, base: Column, period: Column, bins: int = 10, least: int = LEAST_PSI_ROWS) -> DataFrame:
     """Population stability of each name and period against its base rows: psi and n. Empty cells count as half an observation."""
-    # Periods and base are sums over one count table, which is kept.
+    # Only base rows are counted by value, for the edges; all others are binned where they are, so their bins' counts alone are shuffled.
     rows = long.filter("value IS NOT NULL").select("name", "value", base.alias("_base"), period.alias("period"))
-    rows = rows.groupBy("name", "value", "_base", "period").agg(F.count(F.lit(1)).alias("_c")).persist()
-    baseline = rows.filter("_base").groupBy("name", "value").agg(F.sum("_c").alias("_w")).persist()
+    baseline = rows.filter("_base").groupBy("name", "value").agg(F.count(F.lit(1)).alias("_w")).persist()
     q = quantiles(baseline, "value", [i / bins for i in range(bins + 1)], ["name"], weight="_w")
     inner = F.array_distinct("q")
     edges = q.select("name", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))).alias("edges"), F.size(inner).alias("_m"))
     binned = rows.join(F.broadcast(edges), "name").withColumn("bin", bin_index(F.col("value"), F.col("edges")))
-    binned = binned.groupBy("name", "period", "bin", "_m", "_base").agg(F.sum("_c").alias("c")).persist()
+    binned = binned.groupBy("name", "period", "bin", "_m", "_base").agg(F.count(F.lit(1)).alias("c")).persist()
     cells = binned.groupBy("name", "period", "bin", "_m").agg(F.sum("c").alias("c"))
     base_cells = binned.filter("_base").groupBy("name", "bin").agg(F.sum("c").alias("b"))
     periods = cells.groupBy("name", "period", "_m").agg(F.sum("c").alias("n"))
@@ -184,10 +185,11 @@ def psi_table(long: DataFrame, base: Column, period: Column, bins: int = 10, lea
 
 
 def psi_over_time(df: DataFrame, columns: Sequence[str], baseline_months: int = 12, freq: str = "QS", least: int = LEAST_PSI_ROWS) -> DataFrame:
-    """Stability by period against the first months."""
-    start = F.broadcast(df.agg(F.add_months(F.min("performance_date"), baseline_months).alias("_cut")))
-    long = unpivoted(df, list(columns), "performance_date").withColumn("value", F.col("value").cast("double")).crossJoin(start)
-    return psi_table(long, F.col("performance_date") < F.col("_cut"), period_of(F.col("performance_date"), freq), least=least)
+    """Stability by period against the first months. The columns are kept, as they are read for the start, the edges and the bins."""
+    own = df.select("performance_date", *[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    start = own.agg(F.add_months(F.min("performance_date"), baseline_months)).first()[0]
+    long = unpivoted(own, list(columns), "performance_date")
+    return psi_table(long, F.col("performance_date") < F.lit(start), period_of(F.col("performance_date"), freq), least=least)
 
 
 def bivariate(df: DataFrame, column: str, target: str, edges: Sequence[float], freq: str = "QS", least: int = 250) -> DataFrame:
@@ -252,10 +254,30 @@ def clusters(matrix: np.ndarray, threshold: float = 0.7) -> list[int]:
 
 
 def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman's correlation of all pairs a < b in one pass, each over the rows where both are present."""
-    pairs = [F.struct(F.lit(a).alias("one"), F.lit(b).alias("other"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(columns) for b in list(columns)[i + 1 :]]
-    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-    return spearman(long, "x", "y", ["one", "other"]).select(F.col("one").alias("a"), F.col("other").alias("b"), "n", F.round("rho", 7).alias("r"))
+    """Spearman's correlation of all pairs a < b, each over the rows where both are present.
+
+    Equal rows are one with their number, and get the ranks of all their columns: a column's ranks are shared by all pairs, but for
+    those with a column that has holes. Ranks are joined, and no pair is shuffled.
+    """
+    at = range(len(columns))
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")).persist()
+    gone = rows.agg(*[F.max(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in at]).first()
+    holes = [j for j in at if gone[f"v{j}"]]
+    ranked = rows
+    for i in at:
+        # Ranks less their mean among the rows that have this column, and among those of them that have a column with holes.
+        sides = [i, *[j for j in holes if j != i]]
+        counts = rows.filter(F.col(f"v{i}").isNotNull()).groupBy(f"v{i}").agg(*[F.sum(F.when(F.col(f"v{j}").isNotNull(), F.col("n")).otherwise(0)).alias(f"s{j}") for j in sides]).persist()
+        run = running_totals(counts, f"v{i}", [f"s{j}" for j in sides], kept=True)
+        table = run.select(f"v{i}", *[(F.col(f"before_s{j}") + (F.col(f"s{j}") + 1) / 2 - (F.col(f"all_s{j}") + 1) / 2).alias(f"r{i}_{j}") for j in sides])
+        ranked = ranked.join(F.broadcast(table) if counts.count() <= BROADCAST_VALUES else table, f"v{i}", "left")
+    rank = lambda i, j: F.when(F.col(f"v{j}").isNotNull(), F.col(f"r{i}_{j}" if j in holes else f"r{i}_{i}"))
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rank(i, j).alias("x"), rank(j, i).alias("y")) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    x, y, n = F.col("p.x"), F.col("p.y"), F.col("n")
+    sums = ranked.select("n", F.explode(F.array(*pairs)).alias("p")).filter(x.isNotNull() & y.isNotNull()).groupBy("p.a", "p.b").agg(F.sum(n).alias("n"), F.sum(n * x * y).alias("_c"), F.sum(n * x * x).alias("_x"), F.sum(n * y * y).alias("_y"))
+    rho = F.when((F.col("_x") > 0) & (F.col("_y") > 0), F.col("_c") / F.sqrt(F.col("_x")) / F.sqrt(F.col("_y")))
+    return sums.select("a", "b", "n", F.round(rho, 7).alias("r"))
 
 
 def correlation_report(df: DataFrame, columns: Sequence[str], method: str = "pearson", most: int = 40, high: float = 0.90) -> DataFrame:
@@ -278,8 +300,10 @@ def correlation_report(df: DataFrame, columns: Sequence[str], method: str = "pea
 
 def representatives(df: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.7) -> DataFrame:
     """By column its cluster, its information value, and whether it is the one of its cluster to take: that of most information."""
+    df = df.select(*dict.fromkeys([*columns, target])).persist()  # read for the correlations and for the screen
     label = clusters(gram(df, columns), threshold)
     iv = {r.column_name: r.iv or 0.0 for r in screen(numeric_screen(df, columns, target)).collect()}  # columns
+    df.unpersist()
     best = {k: max((c for c, m in zip(columns, label, strict=True) if m == k), key=lambda c: iv.get(c, 0.0)) for k in set(label)}
     return df.sparkSession.createDataFrame([(c, k, iv.get(c, 0.0), best[k] == c) for c, k in zip(columns, label, strict=True)], "column_name string, cluster int, iv double, recommended boolean")
 

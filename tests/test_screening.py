@@ -154,3 +154,48 @@ def test_rank_correlation_of_loans(spark):
         rho = min(0.99, (a[:-1] @ a[1:] / (a @ a)) ** 2)
         assert own.n_effective == pytest.approx(min(len(m), max(4, len(m) * (1 - rho) / (1 + rho))))
         assert own.t == pytest.approx(own.r * ((own.n_effective - 2) / (1 - own.r**2)) ** 0.5) and 0 <= own.p <= 1
+
+
+def test_frame_reads_its_input_once_before_it_is_taken(spark):
+    """Only the frame's own rows read the input again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    df = spark.range(5000).selectExpr("id AS account", "int(id % 50 = 0) AS y").mapInPandas(counted, "account long, y int")
+    out = frames.event_frame(df, "y", lambda n: n // 5, ["account"], 100)
+    assert seen.value == 5000
+    rows = out.rows.collect()
+    assert seen.value == 10_000 and len(rows) == 1000 and sum(r.y for r in rows) == 100 and out.kept_share == 900 / 4900
+
+
+def test_rank_correlations_with_holes_shuffle_no_pairs(spark):
+    from riskpanel.operators import binning
+
+    r = np.random.default_rng(3)
+    t = pd.DataFrame({"a": r.integers(0, 9, 3000).astype(float), "b": r.normal(size=3000).round(1), "c": r.integers(0, 4, 3000).astype(float), "one": 1.0})
+    t["b"] += t["a"] / 5
+    t.loc[r.random(3000) < 0.2, "a"] = np.nan
+    t.loc[r.random(3000) < 0.1, "c"] = np.nan
+    df = spark.createDataFrame(t).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in t])
+    out = binning.rank_correlations(df, list(t))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    found = {(x.a, x.b): (x.n, x.r) for x in out.collect()}
+    for x, y in combinations(t, 2):
+        own = t[[x, y]].dropna().rank()
+        want = None if "one" in (x, y) else round(own[x].corr(own[y]), 7)
+        assert found[x, y][0] == len(own) and found[x, y][1] == (want if want is None else pytest.approx(want, abs=1.1e-7))
+    assert plan[: plan.index("InMemoryRelation")].count("Generate explode") == 1 and "Aggregate [one#" not in plan
+
+
+def test_stability_counts_base_values_only(spark):
+    """What is kept by value are base rows; other rows are kept by bin."""
+    from riskpanel.operators import binning
+
+    df = spark.range(6000).selectExpr("add_months(DATE'2010-01-01', int(id % 48)) AS performance_date", "id * 7919 % 6007 / 3.0 AS v")
+    out = binning.psi_over_time(df, ["v"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 16 and "value#" in plan and not [line for line in plan.split("\n") if "Aggregate [name#" in line and "value#" in line.split("], [")[0] and "period#" in line.split("], [")[0]]
