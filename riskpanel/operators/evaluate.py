@@ -16,10 +16,13 @@ from .ranks import quantiles, running_totals
 
 
 def by_score(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """One row per score (within by): n, e, and before_ and all_ totals of both. weight: a column of counts, of which y has the sums."""
+    """One row per score (within by): n, e, and before_ and all_ totals of both. weight: a column of counts, of which y has the sums.
+
+    Rows without a score go after the grouping, by a count: as a filter on p Spark would evaluate the whole score once more, and slowly.
+    """
     rows = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = scored.filter("p IS NOT NULL AND y IS NOT NULL").groupBy(*by, "p").agg(rows.alias("n"), F.sum("y").alias("e"))
-    return running_totals(counted, "p", ["n", "e"], by)
+    counted = scored.filter("y IS NOT NULL").groupBy(*by, "p").agg(rows.alias("n"), F.sum("y").alias("e"), F.count("p").alias("_scored"))
+    return running_totals(counted.filter("_scored > 0").drop("_scored"), "p", ["n", "e"], by)
 
 
 def discrimination(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
