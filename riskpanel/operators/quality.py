@@ -120,21 +120,31 @@ def top_levels(df: DataFrame, column: str, k: int = 12) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """By column: sample moments (spelled out), median absolute deviation, share of the mode, zeros and negatives, whether integral, p99 / p50."""
+    """By column: sample moments (spelled out), median absolute deviation, share of the mode, zeros and negatives, whether integral, p99 / p50.
+
+    All are sums over one count table by column and value, which is kept: df is read once.
+    """
     long = unpivoted(df, list(columns)).withColumn("value", F.col("value").cast("double")).filter("value IS NOT NULL")
-    stats = long.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.avg((F.col("value") == 0).cast("int")).alias("zero"), F.avg((F.col("value") < 0).cast("int")).alias("negative"),
-        F.min((F.col("value") == F.floor("value")).cast("int")).alias("whole"),
+    cells = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("c")).persist()
+    v, c = F.col("value"), F.col("c")
+    q = quantiles(cells, "value", [0.5, 0.99], ["name"], weight="c")
+    q = df.sparkSession.createDataFrame(q.collect(), q.schema)  # two numbers of each column
+    # Values on both sides of the median may be as far from it as each other.
+    far = cells.join(F.broadcast(q), "name").groupBy("name", F.abs(v - F.col("q")[0]).alias("dev")).agg(F.sum(c).alias("c")).persist()
+    mad = quantiles(far, "dev", [0.5], ["name"], "mad", weight="c")
+    means = cells.groupBy("name").agg((F.sum(v * c) / F.sum(c)).alias("mean"))
+    d = v - F.col("mean")
+    share = lambda there: F.sum(F.when(there, c).otherwise(0)) / F.sum(c)
+    stats = cells.join(F.broadcast(means), "name").groupBy("name", "mean").agg(
+        F.sum(c).alias("n"), *[F.sum(F.pow(d, F.lit(k)) * c).alias(f"d{k}") for k in (2, 3, 4)], share(v == 0).alias("zero"), share(v < 0).alias("negative"),
+        F.min((v == F.floor(v)).cast("int")).alias("whole"), F.max(c).alias("mode_n"),
     )
-    z = (F.col("value") - F.col("mean")) / F.col("sd")
-    centred = long.join(F.broadcast(stats.select("name", "mean", "sd")), "name").groupBy("name").agg(F.avg(F.pow(z, F.lit(3))).alias("skew"), (F.avg(F.pow(z, F.lit(4))) - 3).alias("kurtosis"))
-    q = quantiles(long, "value", [0.5, 0.99], ["name"])
-    mad = quantiles(long.join(F.broadcast(q), "name").select("name", F.abs(F.col("value") - F.col("q")[0]).alias("dev")), "dev", [0.5], ["name"], "mad")
-    mode = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("c")).groupBy("name").agg(F.max("c").alias("mode_n"))
-    out = stats.join(centred, "name").join(q, "name").join(mad, "name").join(mode, "name")
+    stats = stats.withColumn("sd", F.when(F.col("n") > 1, F.sqrt(F.col("d2") / (F.col("n") - 1))))
+    moment = lambda k: F.when(F.col("sd") > 0, F.col(f"d{k}") / F.col("n") / F.pow("sd", F.lit(k))).when(F.col("sd") == 0, float("nan"))
+    out = stats.join(q, "name").join(mad, "name")
     r = lambda c, d=6: F.round(c, d)
     return out.select(
-        F.col("name").alias("column_name"), "n", F.round("mean", 9).alias("mean"), r("sd").alias("sd"), r("skew", 5).alias("skew"), r("kurtosis", 5).alias("kurtosis"), r(F.col("mad")[0]).alias("mad"),
+        F.col("name").alias("column_name"), "n", F.round("mean", 9).alias("mean"), r("sd").alias("sd"), r(moment(3), 5).alias("skew"), r(moment(4) - 3, 5).alias("kurtosis"), r(F.col("mad")[0]).alias("mad"),
         r(F.col("mode_n") / F.col("n")).alias("mode_share"), r(100 * F.col("zero")).alias("zero_pct"), r(100 * F.col("negative")).alias("negative_pct"), (F.col("whole") == 1).alias("integral"),
         r(F.when(F.col("q")[0] != 0, F.col("q")[1] / F.col("q")[0])).alias("tail_ratio"),
     )
