@@ -23,9 +23,15 @@ LEAST_PSI_ROWS = 50
 BROADCAST_VALUES = 100_000
 
 
-def value_cells(long: DataFrame, target: str, *keys: str) -> DataFrame:
-    """Rows and events (n, e) by name, value and keys: one scan and one shuffle, kept, as edges, bins and profiles are sums over it."""
-    return long.groupBy("name", "value", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(target).cast("long").alias("e")).persist()
+def tally(target: str, weight: str | None = None) -> tuple[Column, Column]:
+    """Rows and the target's sum. weight: a column of counts, of the rows that a row stands for."""
+    return (F.sum(weight), F.sum(F.col(target) * F.col(weight))) if weight else (F.count(F.lit(1)), F.sum(target))
+
+
+def value_cells(long: DataFrame, target: str, *keys: str, weight: str | None = None) -> DataFrame:
+    """Rows and events (n, e) by name, value and keys: one scan and one shuffle, kept, as edges, bins and profiles are sums over it. weight: as tally has it."""
+    n, e = tally(target, weight)
+    return long.groupBy("name", "value", *keys).agg(n.alias("n"), e.cast("long").alias("e")).persist()
 
 
 def quantile_edges(long: DataFrame, bins: int, weight: str | None = None) -> DataFrame:
@@ -43,9 +49,10 @@ def bin_counts(long: DataFrame, edges: DataFrame, target: str, weight: str | Non
     return binned.join(every, ["name", "bin"], "full_outer").select("name", "bin", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).cast("long").alias("events"))
 
 
-def level_counts(long: DataFrame, target: str, max_levels: int = 12, min_share: float = 0.01) -> DataFrame:
-    """By name and level count and events, and the name's levels before grouping: levels below the share or beyond the most frequent are one, "Other"; null is "Missing"."""
-    each = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("events"))
+def level_counts(long: DataFrame, target: str, max_levels: int = 12, min_share: float = 0.01, weight: str | None = None) -> DataFrame:
+    """By name and level count and events, and the name's levels before grouping: levels below the share or beyond the most frequent are one, "Other"; null is "Missing". weight: as tally has it."""
+    n, e = tally(target, weight)
+    each = long.groupBy("name", "value").agg(n.alias("n"), e.alias("events"))
     present = F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).over(Window.partitionBy("name"))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.col("value").isNull(), F.desc("n"), "value"))
     label = F.when(F.col("value").isNull(), "Missing").when((F.col("n") >= min_share * F.col("_all")) & (F.col("_at") <= max_levels), F.col("value")).otherwise("Other")

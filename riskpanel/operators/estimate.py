@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bin_index, sigmoid
+from ..functions.exprs import bin_index, counted_mean, sigmoid
 from ..functions.special import normal_tail
 from . import splines
 from ..sources.panels import unpivoted
@@ -81,18 +81,27 @@ class Term:
 NUMBERS, BINNED = ("scaled", "hinges", "spline", "woe", "dummies", "ordinal"), ("woe", "dummies", "ordinal")
 
 
-def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: int = 5) -> list[Term]:
-    """Fit each column's treatment on the training rows only: all columns from one count table by column and value."""
+def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: int = 5, weight: str | None = None) -> list[Term]:
+    """Fit each column's treatment on the training rows only: all columns from one count table by column and value.
+
+    weight: a column of counts, of the rows that a row stands for.
+    """
     numbers = [c for c, how in treatments.items() if how in NUMBERS]
     binned = [c for c in numbers if treatments[c] in BINNED]
     levels = [c for c, how in treatments.items() if how == "woe_levels"]
-    rows = train.withColumn("_y", F.col(target))
+    rows, kept = train.withColumn("_y", F.col(target)), ["_y", *([weight] if weight else [])]
     mean, q, table, edges, woe = {}, {}, {}, {}, {}
     if numbers:
-        s = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(numbers) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        own = [F.col(f"`{c}`").cast("double") for c in numbers]
+        if weight:
+            w = F.col(weight)
+            s = train.agg(*[counted_mean(x, w).alias(f"m{i}") for i, x in enumerate(own)]).first().asDict()
+            s |= train.agg(*[F.sqrt(counted_mean((x - F.lit(s[f"m{i}"])) * (x - F.lit(s[f"m{i}"])), w)).alias(f"s{i}") for i, x in enumerate(own)]).first().asDict()
+        else:
+            s = train.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(own) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         mean = {c: (s[f"m{i}"], s[f"s{i}"] or 1.0) for i, c in enumerate(numbers)}
-        long = unpivoted(rows.select("_y", *[F.col(f"`{c}`").cast("double").alias(c) for c in numbers]), [f"`{c}`" for c in numbers], "_y", names=numbers)
-        cells = value_cells(long, "_y")
+        long = unpivoted(rows.select(*kept, *[F.col(f"`{c}`").cast("double").alias(c) for c in numbers]), [f"`{c}`" for c in numbers], *kept, names=numbers)
+        cells = value_cells(long, "_y", weight=weight)
         q = {r["name"]: r.q for r in quantiles(cells, "value", [0.5, *[i / bins for i in range(1, bins)]], ["name"], weight="n").collect()}
         edges = {c: list(dict.fromkeys(v[1:])) for c, v in q.items()}
         if binned:
@@ -101,15 +110,15 @@ def fit_terms(train: DataFrame, target: str, treatments: dict[str, str], bins: i
                 table.setdefault(r["name"], {})[str(r.bin)] = r.woe
         cells.unpersist()
     if levels:
-        long = unpivoted(rows.select("_y", *[F.col(f"`{c}`").cast("string").alias(c) for c in levels]), [f"`{c}`" for c in levels], "_y", names=levels)
-        for r in woe_table(level_counts(long, "_y")).collect():  # at most 14 levels of each column
+        long = unpivoted(rows.select(*kept, *[F.col(f"`{c}`").cast("string").alias(c) for c in levels]), [f"`{c}`" for c in levels], *kept, names=levels)
+        for r in woe_table(level_counts(long, "_y", weight=weight)).collect():  # at most 14 levels of each column
             woe.setdefault(r["name"], {})[r.bin] = r.woe
     terms = []
     for column, how in treatments.items():
         if how in ("scaled", "hinges"):
             terms.append(Term(column, how, sorted(edges[column]) if how == "hinges" else [], {}, *mean[column], q[column][0]))
         elif how == "spline":
-            terms.append(spline_term(train, column, q[column][1:], q[column][0]))
+            terms.append(spline_term(train, column, q[column][1:], q[column][0], weight))
         elif how in ("dummy_levels", "vintage"):
             terms.append(level_term(train, column, how))
         elif how in BINNED:
@@ -132,9 +141,9 @@ def level_term(train: DataFrame, column: str, how: str) -> Term:
     return Term(column, how, [], {str(v): 0.0 for v in known}, missing=float(how == "dummy_levels" and None in found))
 
 
-def spline_term(train: DataFrame, column: str, knots: Sequence[float], missing: float) -> Term:
-    """A spline with these knots, as far as the training rows straddle them."""
-    live, center, matrix = splines.fitted(train, F.coalesce(F.col(column).cast("double"), F.lit(missing)), knots)
+def spline_term(train: DataFrame, column: str, knots: Sequence[float], missing: float, weight: str | None = None) -> Term:
+    """A spline with these knots, as far as the training rows straddle them. weight: as fit_terms has it."""
+    live, center, matrix = splines.fitted(train, F.coalesce(F.col(column).cast("double"), F.lit(missing)), knots, weight)
     return Term(column, "spline", live, missing=missing, center=center, matrix=matrix)
 
 

@@ -27,7 +27,8 @@ def cyclical(columns: Sequence[str]) -> list[str]:
 class Rules:
     """How terms enter and leave: by p-value, or by AIC or BIC, whose penalty counts events, and a cap on inflation (None: no cap).
 
-    frame: rows that trials are fitted on at most; all events are among them (None: all rows).
+    frame: rows that trials of cores and of a macro screen are fitted on at most; all events are among them (None: all rows).
+    joint_rows fits on all rows.
     """
 
     metric: str = "bic"
@@ -56,24 +57,26 @@ class Trials:
     """The designs of all candidates, fitted and kept once (equal rows as one with their number), on an event-preserving frame of exactly so many rows.
 
     Any subsets of them are fitted beside each other, without another read of the input: a Newton step of all trials of
-    a pass is one aggregate.
+    a pass is one aggregate. weight: a column of counts of train, which is kept already, holds the different rows and is fitted
+    as a whole; designs are then made of it in each pass.
     """
 
-    def __init__(self, train: DataFrame, target: str, candidates: dict[str, str], frame: int | None = None) -> None:
-        whole = train.select(target, *candidates).filter(F.col(target).isNotNull()).persist()  # a frame takes several passes
-        train = frames.event_frame(whole, target, frame).rows.persist() if frame else whole
+    def __init__(self, train: DataFrame, target: str, candidates: dict[str, str], frame: int | None = None, weight: str | None = None) -> None:
+        whole = train.select(target, *candidates, *([weight] if weight else [])).filter(F.col(target).isNotNull())
+        whole = whole if weight else whole.persist()  # a frame takes several passes
+        train = frames.event_frame(whole, target, frame).rows.persist() if frame and not weight else whole
         ends = train.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(candidates)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(candidates)]).first()
         #: Columns of one value, or none, which no fit can estimate.
         self.constant = [c for i, c in enumerate(candidates) if ends[f"a{i}"] == ends[f"b{i}"]]
         own = {c: how for c, how in candidates.items() if c not in self.constant}
-        self.terms = dict(zip(own, estimate.fit_terms(train, target, own), strict=True))
+        self.terms = dict(zip(own, estimate.fit_terms(train, target, own, weight=weight), strict=True))
         self.places, at = {}, 1
         for c, t in self.terms.items():
             self.places[c] = list(range(at, at + len(t.columns())))
             at += len(t.columns())
         self.width = at
-        rows, _ = estimate.design(train, list(self.terms.values()), F.col(target).cast("double").alias("y"))
-        self.rows = estimate.counted(rows).persist()
+        rows, _ = estimate.design(train, list(self.terms.values()), F.col(target).cast("double").alias("y"), *([F.col(weight).alias("n")] if weight else []))
+        self.rows = rows if weight else estimate.counted(rows).persist()
         events = F.sum(F.col("y") * F.col("n"))
         s = self.rows.agg((events / F.sum("n")).alias("rate"), events.alias("events"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         self.n = s.n
@@ -271,14 +274,16 @@ JOINT = (
 def joint_rows(rows: DataFrame, target: str, boundary: str, cores: dict[str, Sequence[str]], treatments: dict[str, str], combos: Sequence[Sequence[str]], priors: dict[str, int | None], rules: Rules = Rules(), shift: float = 0.30, at_once: int = 40) -> DataFrame:
     """Each core alone and with each combination of macro terms, one row for each set of columns.
 
-    All sets are fitted beside each other on the rows before the boundary (an event-preserving frame of them), and scored on that
-    frame and on all later rows; their AUC and KS are one aggregate for at_once models. shifted: core columns of which a
+    All sets are fitted beside each other on all rows before the boundary, and scored on these and on all later rows; their AUC and
+    KS are one aggregate for at_once models. The rows are read once: fits and scores are sums over one kept table of the different
+    values of all columns and terms, with the target and their number. shifted: core columns of which a
     coefficient turned its sign or moved by more than shift of itself against the core alone. wrong_signs: terms against
     their prior. filtered names the rule that a fit breaks: p (a single-column term above rules.leave), inflation or sign.
     """
     early = F.col("performance_date") < F.lit(boundary).cast("date")
     every = {**{c: treatments[c] for core in cores.values() for c in core}, **{t: "scaled" for combo in combos for t in combo}}
-    trials = Trials(rows.filter(early), target, every, rules.frame)
+    own = rows.filter(F.col(target).isNotNull()).groupBy(F.when(early, "in").otherwise("oot").alias("slice"), *every, target).agg(F.count(F.lit(1)).alias("_n")).persist()
+    trials = Trials(own.filter("slice = 'in'"), target, every, weight="_n")
     sets: dict[tuple[str, ...], tuple[str, tuple[str, ...]]] = {}
     for name, core in cores.items():
         core = [c for c in core if c in trials.terms]
@@ -289,7 +294,6 @@ def joint_rows(rows: DataFrame, target: str, boundary: str, cores: dict[str, Seq
     alone = {name: tuple(sorted(c for c in core if c in trials.terms)) for name, core in cores.items()}
     trials.fit_all([a for a in alone.values() if a])
     # A core's models are scored on the different values of its columns and terms only, with their rows and events.
-    own = rows.filter(F.col(target).isNotNull()).groupBy(F.when(early, "in").otherwise("oot").alias("slice"), *every).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("y")).persist()
     power: dict[tuple, tuple] = {}
     for at in range(0, len(sets), at_once):
         keys, long = list(sets)[at : at + at_once], None
@@ -297,7 +301,7 @@ def joint_rows(rows: DataFrame, target: str, boundary: str, cores: dict[str, Seq
             of = {i: key for i, key in enumerate(keys) if sets[key][0] == core}
             used = sorted({c for key in of.values() for c in key})
             scores = [F.struct(F.lit(i).alias("model"), sigmoid(sum((c * float(b) for c, b in zip([F.lit(1.0), *[x for k in key for _, x in trials.terms[k].columns()]], trials.fitted(key)[1], strict=True)), F.lit(0.0))).alias("p")) for i, key in of.items()]
-            cells = own.groupBy("slice", *used).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+            cells = own.groupBy("slice", *used).agg(F.sum("_n").alias("n"), F.sum(F.col(target) * F.col("_n")).alias("y"))
             part = cells.select("slice", "n", "y", F.explode(F.array(*scores)).alias("s")).select("slice", "n", "y", "s.model", "s.p")
             long = part if long is None else long.unionByName(part)
         for r in evaluate.discrimination(long, ["model", "slice"], "n").collect():  # two rows of each model
